@@ -56,3 +56,12 @@ def hash60(*cols: Column) -> Column:
 def fold(doc_id: Column, n: int) -> Column:
     """The fold of a row: CRC-32 of its id as text, modulo n. A null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def arrow_rows(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Hand Python so many rows at once at most, so that long texts fit a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if int(conf.get(key, "10000")) != rows:
+        conf.set(key, str(rows))
+    return df

@@ -4,37 +4,48 @@ Merging follows a score-ordered agenda of adjacent symbol pairs: all pairs whose
 joined text is in the vocabulary wait in a heap, best score first and leftmost
 among equals; a merge adds the pairs that it makes with its neighbours.
 
-No piece of such a vocabulary has the space mark after another character (this is
-verified when a model is loaded), so a text may be cut before each run of space
-marks and the parts merge independently. Parts repeat, so each worker keeps their
-results. Every part that a worker sees for the first time is also encoded by the
-sentencepiece library, in one call for an Arrow batch; a difference stops the job.
+Pieces of such a vocabulary do not mix letters with other characters, and have the
+space mark only in front (both are verified for each piece when a model is loaded).
+So a text may be cut where letters begin or end and before each run of space marks,
+and the parts merge independently. Parts repeat, so each worker keeps their results.
+Every part that a worker has no result for is also encoded by the sentencepiece
+library, in one call for an Arrow batch, as is one whole text of each batch; a
+difference stops the job.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from sentencepiece import sentencepiece_model_pb2
 
 from sessile.llm.common import arrow_rows, table
 
 MARK = "▁"
 #: Parts that a worker remembers in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 300_000
+#: Letters, or other characters, after space marks if any; or space marks alone.
+PARTS = regex.compile(r"▁*[\p{L}\p{M}]+|▁*[^\p{L}\p{M}▁]+|▁+")
 
 
 class MergeModel:
     """A merge-type vocabulary with byte fallback, read from a serialised model."""
 
     def __init__(self, proto: bytes) -> None:
+        bare = sentencepiece_model_pb2.ModelProto.FromString(proto)
+        if bare.normalizer_spec.name != "identity" or bare.normalizer_spec.remove_extra_whitespaces or not bare.normalizer_spec.add_dummy_prefix:
+            raise ValueError("only vocabularies over unchanged text are supported")
+        bare.normalizer_spec.add_dummy_prefix = False
         self.library = sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
+        self.bare = sentencepiece.SentencePieceProcessor(model_proto=bare.SerializeToString())  # for parts within a text
         n = sp.get_piece_size()
         self.scores: dict[str, float] = {}
         self.ids: dict[str, int] = {}
@@ -52,7 +63,7 @@ class MergeModel:
             elif not sp.is_control(i):
                 self.ids[piece], self.scores[piece] = i, sp.get_score(i)
                 self.surface[i] = piece.replace(MARK, " ").encode()
-                if MARK in piece.lstrip(MARK):
+                if not PARTS.fullmatch(piece) or len(PARTS.findall(piece)) != 1:
                     raise ValueError(f"piece {piece!r} spans a cut")
         if len(self.byte_ids) != 256:
             raise ValueError("the vocabulary has no byte fallback")
@@ -123,7 +134,7 @@ class MergeModel:
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         """For each text its ids as little-endian 32-bit integers, an end id last, and the text they decode to."""
-        recent, older, split = self.recent, self.older, re.compile(f"{MARK}+[^{MARK}]*").findall
+        recent, older, split = self.recent, self.older, PARTS.findall
         cut, new = [], {}
         for text in texts:
             parts = split(MARK + text.replace(" ", MARK)) if text else []
@@ -149,20 +160,24 @@ class MergeModel:
 
     def learn(self, parts: list[str]) -> None:
         """Merge parts, compare them with the library's encoding, and remember them."""
-        # The library puts one mark before a text itself.
-        theirs = self.library.encode([p[1:].replace(MARK, " ") for p in parts], num_threads=1)
+        surface, byte_ids = self.surface, set(self.byte_ids.values())
+        theirs = self.bare.encode(parts, num_threads=1)
         for part, other in zip(parts, theirs, strict=True):
             own = self.part_ids(part)
-            if other and own != other:
+            if own != other:
                 raise ValueError(f"{part!r} encodes as {own}, the library has {other}")
-            self.recent[part] = (np.array(own, "<i4").tobytes(), self.decode_ids(own))
+            back = b"".join([surface[i] for i in own]) if byte_ids.isdisjoint(own) else self.decode_ids(own)
+            self.recent[part] = (struct.pack(f"<{len(own)}i", *own), back)
 
 
 def encode_batches(proto: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = MergeModel(proto)
         for batch in batches:
-            ids, back = model.encode([x or "" for x in batch.column("text").to_pylist()])
+            texts = [x or "" for x in batch.column("text").to_pylist()]
+            ids, back = model.encode(texts)
+            if texts and (theirs := model.library.encode(texts[0], add_eos=True)) != np.frombuffer(ids[0], "<i4").tolist() or texts and model.library.decode(theirs).encode() != back[0]:
+                raise ValueError(f"the library encodes a whole text otherwise: {texts[0][:200]!r}")
             flat = np.frombuffer(b"".join(ids), "<i4")
             offsets = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from sessile.llm import exact_dedup, mixing
+from sessile.llm import density, exact_dedup, mixing, ogg, pieces
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op4_media_columns": ogg.op4_media_columns,
+    "op5_html_extraction": density.op5_html_extraction,
+    "op7_sentencepiece": pieces.op7_sentencepiece,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,8 +61,22 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once a session, for clusters where it is not installed."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_sessile_sent", False):
+        package = Path(__file__).resolve().parents[1]
+        path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="sessile-")), "sessile.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f.relative_to(package.parent))
+        sc.addPyFile(path)
+        sc._sessile_sent = True
+
+
 def arrow_rows(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """Hand Python so many rows at once at most, so that long texts fit a worker's memory."""
+    """Make a frame ready for Python: so many rows at once at most, so that long texts fit a worker's memory."""
+    ship(df.sparkSession)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = df.sparkSession.conf
     if int(conf.get(key, "10000")) != rows:

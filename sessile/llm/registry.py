@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from sessile.llm import density, exact_dedup, mixing, ogg, pieces
+from sessile.llm import density, exact_dedup, jaccard, mixing, ogg, pieces, quality, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_quality": quality.op3_quality,
     "op4_media_columns": ogg.op4_media_columns,
     "op5_html_extraction": density.op5_html_extraction,
+    "op6_ngram_join": jaccard.op6_ngram_join,
     "op7_sentencepiece": pieces.op7_sentencepiece,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }

@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples.
 
-Examples are TF-IDF vectors over terms whose presence depends on the label (by the
-likelihood ratio of a 2x2 table). A block-max inverted index over them finds, for
+Examples are TF-IDF vectors over terms that speak for label 1 (by the likelihood
+ratio of a 2x2 table, and by how much they raise its share). A block-max inverted index over them finds, for
 each text, the examples of largest cosine exactly: example numbers are cut into
 blocks, each term knows its largest weight in each block, and blocks are visited
 in order of the bound that this gives until no bound beats the k-th best. The
@@ -28,8 +28,10 @@ FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
 #: The classifier is fitted on at most so many labelled rows, and knows at most so many terms.
 EXAMPLES, TERMS = 8_000, 5_000
-#: A term needs this likelihood ratio (chi-squared, 1 degree of freedom) and so many examples.
-RATIO, LEAST = 25.0, 3
+#: A term needs so many examples, and a likelihood ratio that so many of all such terms would reach by chance.
+LEAST, BY_CHANCE = 3, 0.5
+#: Its examples have label 1 so many times as often as all (at most halfway from all to always).
+LIFT = 3.0
 NEIGHBOURS = 15
 BLOCK = 64
 #: Neighbours shown as evidence.
@@ -51,6 +53,12 @@ def ratio(n: float, n1: float, df: float, df1: float) -> float:
     return 2 * (part(df1, df, n1) + part(df - df1, df, n - n1) + part(n1 - df1, n - df, n1) + part(n - df - n1 + df1, n - df, n - n1))
 
 
+def needed_ratio(terms: int) -> float:
+    """The ratio that BY_CHANCE of so many unrelated terms exceed (tail of chi-squared, 1 degree of freedom)."""
+    log_p = math.log(max(2.0, terms / BY_CHANCE))
+    return 2 * log_p - math.log(2 * log_p) - math.log(math.pi / 2)
+
+
 class Index:
     """Block-max inverted index of unit vectors, with their labels."""
 
@@ -68,10 +76,9 @@ class Index:
         self.at = [np.array([p[0] for p in x], np.int64) for x in postings]
         self.weight = [np.array([p[1] for p in x]) for x in postings]
         self.top = np.zeros((len(idf), self.blocks))
-        self.starts = []
-        for t, (at, w) in enumerate(zip(self.at, self.weight, strict=True)):
-            np.maximum.at(self.top[t], at // BLOCK, w)
-            self.starts.append(np.searchsorted(at, np.arange(self.blocks + 1) * BLOCK))
+        self.block = [at // BLOCK for at in self.at]
+        for t, w in enumerate(self.weight):
+            np.maximum.at(self.top[t], self.block[t], w)
         empty = np.array([not len(v[0]) for v in self.vectors], bool)
         # What to expect of a text that shares no term with any example.
         self.prior = (self.labels[empty].sum() + 0.5 * self.labels.mean() if len(examples) else 0.0) / (empty.sum() + 0.5) if len(examples) else 0.0
@@ -87,18 +94,26 @@ class Index:
         if not terms:
             return []
         bounds = np.array(weights) @ self.top[terms]
-        order = np.argsort(-bounds, kind="stable")
         best: list[tuple[float, int]] = []
-        for b in order:
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < -best[-1][0] - 1e-12:
-                break
-            found = np.zeros(BLOCK)
-            for t, w in zip(terms, weights, strict=True):
-                lo, hi = self.starts[t][b], self.starts[t][b + 1]
-                if hi > lo:
-                    found[self.at[t][lo:hi] - b * BLOCK] += w * self.weight[t][lo:hi]
-            new = [(-round(float(found[i]), 12), int(b * BLOCK + i)) for i in np.flatnonzero(found > 0) if b * BLOCK + i != without]
-            best = sorted(best + new)[:k]
+        # The blocks of highest bounds set the mark; then all blocks whose bounds reach it.
+        first = np.zeros(self.blocks, bool)
+        first[np.argsort(-bounds, kind="stable")[:8]] = True
+        for mask in (first & (bounds > 0), None):
+            if mask is None:
+                mask = ~first & (bounds > 0) & (bounds >= (best[-1][0] * -1 - 1e-9 if len(best) == k else 0))
+            if mask.any():
+                found = np.zeros(len(self.labels))
+                for t, w in zip(terms, weights, strict=True):
+                    keep = mask[self.block[t]]
+                    found[self.at[t][keep]] += w * self.weight[t][keep]
+                found[without : without + 1 if without >= 0 else 0] = 0
+                found = np.round(found, 12)
+                if np.count_nonzero(found) > 4 * k:
+                    mark = np.partition(found, -k)[-k]
+                    some = np.flatnonzero(found >= mark)
+                else:
+                    some = np.flatnonzero(found)
+                best = sorted(best + [(-float(found[i]), int(i)) for i in some])[:k]
         return [(-s, i) for s, i in best]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
@@ -148,11 +163,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     each = {r.doc_id: r.y for r in sample.collect()}
     n, n1 = len(each), sum(each.values())
     dfs = rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("y").alias("df1")).filter(F.col("df") >= LEAST)
+    least = needed_ratio(dfs.count())
     # Terms that may reach the ratio: a test that Spark can make, then the ratio itself.
     share = n1 / n if n else 0.0
-    apart = dfs.withColumn("chi", (F.col("df1") - F.col("df") * share) ** 2 / (F.col("df") * (share * (1 - share) or 1.0))).orderBy(F.desc("chi"), "term").limit(4 * TERMS)
+    lifted = min(LIFT * share, (1 + share) / 2)
+    apart = dfs.filter(F.col("df1") >= lifted * F.col("df")).withColumn("chi", (F.col("df1") - F.col("df") * share) ** 2 / (F.col("df") * (share * (1 - share) or 1.0))).orderBy(F.desc("chi"), "term").limit(4 * TERMS)
     scored = [(ratio(n, n1, r.df, r.df1), r.term, r.df) for r in apart.collect()]
-    chosen = sorted((x for x in scored if x[0] >= RATIO), key=lambda x: (-x[0], x[1]))[:TERMS]
+    chosen = sorted((x for x in scored if x[0] >= least), key=lambda x: (-x[0], x[1]))[:TERMS]
     idf = {t: math.log(1 + n / df) for _, t, df in chosen}
     spark = docs.sparkSession
     known = spark.createDataFrame([(t,) for t in idf], "term string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sessile.llm import density, exact_dedup, jaccard, mixing, ogg, pieces, quality, toxicity
+from sessile.llm import density, exact_dedup, jaccard, mixing, ogg, pieces, pseudonyms, quality, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_html_extraction": density.op5_html_extraction,
     "op6_ngram_join": jaccard.op6_ngram_join,
     "op7_sentencepiece": pieces.op7_sentencepiece,
+    "op8_pii": pseudonyms.op8_pii,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {

@@ -227,7 +227,7 @@ KINDS: tuple[tuple[str, str, Callable], ...] = (
     ("date", rf"(?<!\d)(?P<d3>\d{{1,2}}) (?P<name>{'|'.join(MONTHS)}) (?P<y3>\d{{4}})(?!\d)", date_named),
     ("social", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])", social),
     ("phone", r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)", phone),
-    ("card", r"(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d])", card),
+    ("card", r"(?<!\d)(?:\d{13,19}|\d{4}(?P<g>[ -])\d{4}(?P=g)\d{4}(?P=g)\d{4}|\d{4}(?P<h>[ -])\d{6}(?P=h)\d{5})(?!\d)", card),
 )
 #: Cheap signs that a text may hold any of them.
 _SIGN = re.compile(r"[0-9@]|(?:key|secret|token|passw)")

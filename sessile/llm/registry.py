@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sessile.llm import density, exact_dedup, jaccard, mixing, ogg, pieces, pseudonyms, quality, toxicity
+from sessile.llm import density, exact_dedup, jaccard, maxent, mixing, ogg, pieces, pseudonyms, quality, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_ngram_join": jaccard.op6_ngram_join,
     "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_pii": pseudonyms.op8_pii,
+    "op9_lm_scoring": maxent.op9_lm_scoring,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {

@@ -49,6 +49,11 @@ def _powers_up_to(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts in order, and the number of words of each text."""
+    return words_and_ends(texts, False)[:2]
+
+
+def words_and_ends(texts: list[bytes], with_ends: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Word hashes, words of each text, and a hash of the last three bytes of each word (fewer in shorter words)."""
     buffer = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
     space = _SPACE[buffer]
     edges = np.flatnonzero(space[1:] != space[:-1]) + 1
@@ -58,7 +63,14 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         total = np.cumsum(_VALUE[_LOWER[buffer]] * power[: len(buffer)], dtype=np.uint64)
         hashes = mixed((total[ends - 1] - total[starts - 1]) * inverse[starts])
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    return hashes, np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]) + 1))
+    counts = np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]) + 1))
+    if not with_ends:
+        return hashes, counts, None
+    code = np.zeros(len(ends), np.uint64)
+    for back in (1, 2, 3):
+        at = ends - back
+        code = code << np.uint64(8) | np.where(at >= starts, _LOWER[buffer[np.maximum(at, 0)]], 0).astype(np.uint64)
+    return hashes, counts, mixed(code * _BASE)
 
 
 def in_chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:

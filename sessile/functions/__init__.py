@@ -1,0 +1 @@
+"""Column and aggregate expressions."""

@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from sessile.plans import predictions
+
+_PLANS = (predictions,)
+QUERIES: dict = {k: q for p in _PLANS for k, q in p.QUERIES.items()}
+ORACLES: dict[str, str] = {k: q for p in _PLANS for k, q in p.ORACLES.items()}

@@ -62,8 +62,8 @@ def solve(sums: DataFrame) -> DataFrame:
 
 
 def free_fit(fits: DataFrame) -> DataFrame:
-    """[A15] The unconstrained solution: components as squares, and whether a coefficient is negative."""
-    return fits.select(*KEYS, "target_liquid_id", "fit_status", (F.col("u1") * F.col("u1")).alias("free_d"), (F.col("u2") * F.col("u2")).alias("free_p"), F.when((F.col("u1") < 0) | (F.col("u2") < 0), "yes").otherwise("no").alias("negative"))
+    """[A15] The unconstrained solution: components as squares, and whether a coefficient is negative (beyond rounding)."""
+    return fits.select(*KEYS, "target_liquid_id", "fit_status", (F.col("u1") * F.col("u1")).alias("free_d"), (F.col("u2") * F.col("u2")).alias("free_p"), F.when((F.col("u1") < -1e-9) | (F.col("u2") < -1e-9), "yes").otherwise("no").alias("negative"))
 
 
 def forward(fits: DataFrame, liquids: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sessile.plans import predictions
+from sessile.plans import cleaning, fitting, predictions
 
-_PLANS = (predictions,)
+_PLANS = (predictions, cleaning, fitting)
 QUERIES: dict = {k: q for p in _PLANS for k, q in p.QUERIES.items()}
 ORACLES: dict[str, str] = {k: q for p in _PLANS for k, q in p.ORACLES.items()}

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sessile.plans import cleaning, curation, fitting, predictions
+from sessile.plans import cleaning, curation, fitting, modelling, predictions, validation
 
-_PLANS = (predictions, cleaning, fitting, curation)
+_PLANS = (predictions, cleaning, fitting, curation, validation, modelling)
 QUERIES: dict = {k: q for p in _PLANS for k, q in p.QUERIES.items()}
 ORACLES: dict[str, str] = {k: q for p in _PLANS for k, q in p.ORACLES.items()}

@@ -1,17 +1,18 @@
 """Near duplicates: an exact Jaccard join of shingle sets with a count-vector R-tree.
 
-A set's shingles are hashed into GROUPS groups; its counts by group are a point.
+A set's shingles are hashed into groups, a power of two that follows its size; its
+counts by group are a point. Points of twice the groups fold into points of half.
 Two sets share at most the sum of the smaller counts, and boxes of points bound
 that from above, so a tree of boxes finds the pairs that can reach the threshold.
 The survivors are verified on their sets.
 
 Points of unrelated texts of one length lie close together, so a single tree over
-a whole corpus would visit most pairs of leaves. The trees are therefore built per
-cell: sets that can reach the threshold share one of the first elements in a fixed
-order of all shingles (very frequent ones last), and a cell holds the sets that
-have an element among their first. Within a cell every set first meets the cell's
-least one; sets already linked with each other need no pair of their own, and only
-cells that still hold several components are joined by their tree.
+a whole corpus would visit most pairs of leaves. Sets that can reach the threshold
+share one of the first elements in a fixed order of all shingles (very frequent ones
+last). All sets that share a first element form a cell, the least of them leads it,
+and the cells of one leader are a star. Every set first meets its leaders; a tree is
+then built for each star whose members are still in several components, in blocks
+of bounded size. Sets already linked with each other need no pair of their own.
 """
 
 from __future__ import annotations
@@ -31,10 +32,16 @@ from sessile.llm.components import components
 WIDTH = 5
 #: Similarity of at least PART / WHOLE.
 PART, WHOLE = 75, 100
-GROUPS = 32
+#: Fewest and most groups, and shingles of a set for each group. Counts of unrelated sets of n
+#: shingles differ by about 1.1 * sqrt(n * groups) in all, linked ones by 2 n / 7 at most.
+GROUPS, MOST_GROUPS, EACH = 32, 1 << 22, 1
+#: Trees fold points to at most so many groups; pairs that survive are bounded again by all of theirs.
+TREE_GROUPS = 1024
 LEAF = 16
-#: Members of a cell that one task joins with each other; larger cells are joined in blocks of this size.
-BLOCK = 2048
+#: Stars with at most so many members need no tree.
+SMALL = 48
+#: Members of a star that meet at once; larger stars are joined in blocks of this size.
+BLOCK = 1024
 #: At most so many shingles are held to be very frequent: those in this share of all first elements, at least MANY.
 FREQUENT = 1_000_000
 MANY = 64
@@ -52,6 +59,33 @@ def least_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -(-PART * (a + b) // (PART + WHOLE))
 
 
+def groups_for(n: int) -> int:
+    """Groups for a set of n shingles; sizes of linked sets are so close that theirs differ by a factor of 2 at most."""
+    g = GROUPS
+    while g < MOST_GROUPS and g * EACH < n:
+        g *= 2
+    return g
+
+
+def count_vector(s: np.ndarray) -> bytes:
+    """A byte for the count of each group; more groups where a count would not fit."""
+    g = groups_for(len(s))
+    while True:
+        counts = np.bincount((s & np.uint64(g - 1)).astype(np.int64), minlength=g)
+        if counts.max() < 256:
+            return counts.astype(np.uint8).tobytes()
+        g *= 2
+
+
+def folded(points: np.ndarray, groups: int) -> np.ndarray:
+    """Points (rows) over fewer groups."""
+    return points if points.shape[1] == groups else points.reshape(len(points), -1, groups).sum(axis=1, dtype=np.int32)
+
+
+def _points(counts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(counts), np.uint8).reshape(len(counts), -1).astype(np.int32)
+
+
 def _sets(batch: pa.RecordBatch) -> list[np.ndarray]:
     return tokens.shingle_sets([x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()], WIDTH)
 
@@ -93,7 +127,7 @@ def feature_batches(common: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]],
                 digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 sizes.append(n)
                 digests.append(digest)
-                counts.append(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<i4").tobytes())
+                counts.append(count_vector(s))
                 if digest in seen or not n:
                     firsts.append(np.zeros(0, np.int64))
                     continue
@@ -115,111 +149,205 @@ def feature_batches(common: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]],
 
 
 def cell_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one partition, ordered by cell and row: those of cells with several members, each with the cell's least row.
+    """Rows of one partition, ordered by cell and row, to the distinct pairs of a row and the least row of a cell it is in.
 
-    Cells stream through; only the last row is held, until the next one shows whether its cell goes on.
+    Only cells of several rows count; the least row is paired with itself. Cells stream
+    through: of the last one, only the leader is held, and whether it was given out.
     """
-    last_h = last_row = leader = None
-    out = True  # whether the last row was given out
+    held: list[np.ndarray] = []
+    size, last_h, leader, out = 0, None, None, True
+
+    def flush() -> pa.RecordBatch:
+        pairs = np.unique(np.concatenate(held, axis=1), axis=1) if held else np.zeros((2, 0), np.int64)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["row", "leader"])
+
     for batch in batches:
         h, row = batch.column("h").to_numpy(), batch.column("row").to_numpy()
         if not len(h):
             continue
         goes_on = last_h is not None and h[0] == last_h
         like_last = np.concatenate([[goes_on], h[1:] == h[:-1]])
-        keep = np.flatnonzero(like_last | np.append(h[1:] == h[:-1], False))
+        several = like_last | np.append(h[1:] == h[:-1], False)
         start = np.flatnonzero(~like_last)
-        leaders = row[np.repeat(np.concatenate([[0] if goes_on else [], start]).astype(np.int64), np.diff(np.concatenate([[0] if goes_on else [], start, [len(h)]])).astype(np.int64))]
+        lead = np.empty(len(h), np.int64)
+        lead[start] = row[start]
         if goes_on:
-            leaders = leaders.copy()
-            leaders[: start[0] if len(start) else len(h)] = leader
-        held = goes_on and not out
-        if len(keep) or held:
-            one = slice(0, 1 if held else 0)
-            columns = [np.concatenate([np.array([x], np.int64)[one], y[keep]]) for x, y in ((last_h, h), (last_row, row), (leader, leaders))] if held else [y[keep] for y in (h, row, leaders)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["h", "row", "leader"])
-        last_h, last_row, leader, out = int(h[-1]), int(row[-1]), int(leaders[-1]), bool(like_last[-1])
+            lead[0] = leader
+        at = np.where(~like_last, np.arange(len(h)), 0)
+        lead = lead[np.maximum.accumulate(at)]
+        pairs = np.stack([row[several], lead[several]])
+        if goes_on and not out:
+            pairs = np.concatenate([[[leader], [leader]], pairs], axis=1)
+        if pairs.shape[1]:
+            held.append(np.unique(pairs, axis=1))
+            size += held[-1].shape[1]
+        last_h, leader, out = int(h[-1]), int(lead[-1]), bool(several[-1])
+        if size > 1_000_000:
+            yield flush()
+            size = 0
+    yield flush()
 
 
 class CountTree:
-    """Points of group counts in boxes of boxes: leaves of LEAF points, ordered by size and the heaviest groups."""
+    """Points of group counts in boxes of boxes. Leaves of LEAF points hold points of one component where it has
+    enough of them, and points of like size and like counts of the most varied groups."""
 
-    def __init__(self, points: np.ndarray) -> None:
+    def __init__(self, points: np.ndarray, component: np.ndarray) -> None:
+        points = points.astype(np.int32)
+        _, name, many = np.unique(component, return_inverse=True, return_counts=True)
+        kind = np.where(many[name] >= LEAF, name, -1)
         spread = np.argsort(-points.var(axis=0), kind="stable")[:2]
-        self.order = np.lexsort((points[:, spread[1]] // 4, points[:, spread[0]] // 4, points.sum(axis=1) // 8))
+        self.order = np.lexsort((points[:, spread[1]] // 4, points[:, spread[0]] // 4, points.sum(axis=1) // 8, kind))
         low = high = points[self.order]
-        self.levels = [(low, high, low.sum(axis=1), high.sum(axis=1))]
+        self.levels = [(low, high, low.sum(axis=1), high.sum(axis=1), component[self.order], component[self.order])]
         while len(low) > 1:
             cut = np.arange(0, len(low), LEAF)
             low, high = np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut)
-            size = np.minimum.reduceat(self.levels[-1][2], cut), np.maximum.reduceat(self.levels[-1][3], cut)
-            self.levels.append((low, high, *size))
+            last = self.levels[-1]
+            self.levels.append((low, high, np.minimum.reduceat(last[2], cut), np.maximum.reduceat(last[3], cut), np.minimum.reduceat(last[4], cut), np.maximum.reduceat(last[5], cut)))
 
-    def join(self, other: CountTree) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the pairs whose bound on the shared elements reaches what the threshold needs."""
+    def join(self, other: CountTree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions of the pairs of different components whose bound reaches what the threshold needs, and how far."""
         i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
         a, b = len(self.levels) - 1, len(other.levels) - 1
+        step = max(64, (1 << 21) // self.levels[0][0].shape[1])  # pairs compared at once, for memory
         while True:
-            keep = np.zeros(len(i), bool)
-            for at in range(0, len(i), 65536):  # in parts, for memory
-                x, y = i[at : at + 65536], j[at : at + 65536]
-                shared = np.minimum(self.levels[a][1][x], other.levels[b][1][y]).sum(axis=1)
-                keep[at : at + 65536] = shared >= least_shared(self.levels[a][2][x], other.levels[b][2][y])
+            x, y = self.levels[a], other.levels[b]
+            apart = ~((x[4][i] == x[5][i]) & (y[4][j] == y[5][j]) & (x[4][i] == y[4][j]))
+            if self is other and a == b:
+                apart &= i <= j
+            i, j = i[apart], j[apart]
+            # Sizes alone first: the smaller set bounds what is shared.
+            fit = np.minimum(x[3][i], y[3][j]) >= least_shared(x[2][i], y[2][j])
+            i, j = i[fit], j[fit]
+            shared = np.zeros(len(i), np.int64)
+            for at in range(0, len(i), step):
+                shared[at : at + step] = np.minimum(x[1][i[at : at + step]], y[1][j[at : at + step]]).sum(axis=1)
+            need = least_shared(x[2][i], y[2][j])
+            keep = shared >= need
             i, j = i[keep], j[keep]
             if a == 0 and b == 0:
-                return self.order[i], other.order[j]
+                return self.order[i], other.order[j], shared[keep] / np.maximum(need[keep], 1)
+            down = (a > 0 and a >= b, b > 0 and b >= a)
             for side in (0, 1):
-                if (a, b)[side]:
+                if down[side]:
                     n = len((self, other)[side].levels[(a, b)[side] - 1][0])
                     v = (i, j)[side]
                     children = v[:, None] * LEAF + np.arange(LEAF)
                     real = children < n
                     repeat = np.repeat((j, i)[side], real.sum(axis=1))
                     i, j = (children[real], repeat) if side == 0 else (repeat, children[real])
-            a, b = max(a - 1, 0), max(b - 1, 0)
+            a, b = a - down[0], b - down[1]
+
+
+def _small_pairs(cell: np.ndarray, node: np.ndarray, component: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs within cells of at most so many members whose components differ and whose sizes allow a link."""
+    xs, ys = [], []
+    for d in range(1, most):
+        x = np.flatnonzero(cell[d:] == cell[:-d])
+        y = x + d
+        low, high = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+        keep = (component[x] != component[y]) & (WHOLE * low >= PART * high)
+        xs.append(x[keep])
+        ys.append(y[keep])
+    x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys))
+    swap = node[x] > node[y]
+    x, y = np.where(swap, y, x), np.where(swap, x, y)
+    _, at = np.unique(np.stack([node[x], node[y]]), axis=1, return_index=True) if len(x) else (None, np.zeros(0, np.int64))
+    return x[at], y[at]
+
+
+def _ratios(counts: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How far the count bound of each pair exceeds what a link needs: 1 or more if the two may be linked."""
+    out = np.zeros(len(x))
+    width = np.array([len(c) for c in counts])
+    for gx, gy in {*zip(width[x].tolist(), width[y].tolist(), strict=True)}:
+        at = np.flatnonzero((width[x] == gx) & (width[y] == gy))
+        least, step = min(gx, gy), max(1, (1 << 22) // max(gx, gy))
+        for k in range(0, len(at), step):
+            part = at[k : k + step]
+            a, b = (folded(_points([counts[i] for i in v[part]]), least) for v in (x, y))
+            out[part] = np.minimum(a, b).sum(axis=1) / np.maximum(least_shared(a.sum(axis=1), b.sum(axis=1)), 1)
+    return out
+
+
+def _tree_pairs(rows: list[tuple], found: dict[tuple[int, int], tuple[int, int, float]]) -> None:
+    """Pairs of one block, given as (node, component, counts, side, whether it is one block with itself)."""
+    node, component, side = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 3))
+    if component.min() == component.max():
+        return
+    counts = [r[2] for r in rows]
+    groups = np.minimum([len(c) for c in counts], TREE_GROUPS)
+    own = rows[0][4]
+    at = {(g, s): np.flatnonzero((groups == g) & (own | (side == s))) for g in np.unique(groups).tolist() for s in ((0,) if own else (0, 1))}
+    points = {k: np.concatenate([folded(_points([counts[i]]), k[0]) for i in v]) for k, v in at.items() if len(v)}
+    for g, s in points:
+        for other in points:
+            if (own and other[0] < g) or (not own and (s, other[1]) != (0, 1)):
+                continue
+            least = min(g, other[0])
+            tree = CountTree(folded(points[g, s], least), component[at[g, s]])
+            x, y, _ = tree.join(tree if other == (g, s) else CountTree(folded(points[other], least), component[at[other]]))
+            x, y = at[g, s][x], at[other][y]
+            ratio = _ratios(counts, x, y)
+            x, y, ratio = x[ratio >= 1], y[ratio >= 1], ratio[ratio >= 1]
+            swap = node[x] > node[y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            found.update(zip(zip(node[x].tolist(), node[y].tolist(), strict=True), zip(component[x].tolist(), component[y].tolist(), ratio.tolist(), strict=True), strict=True))
 
 
 def tree_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of cells, ordered by (h, i, j), to the pairs of different components that may be linked.
+    """Blocks of stars, ordered by (lead, i, j), to the pairs of different components that may be linked.
 
-    A block (i, i) joins its members with each other, a block (i, j) those of i with those of j.
+    A block (i, i) joins its members with each other, a block (i, j) those of i with
+    those of j. Small stars are compared directly, many at once.
     """
-    found: set[tuple[int, int]] = set()
-
-    def pairs(rows: list[tuple]) -> None:
-        node, component, side = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 3))
-        points = np.frombuffer(b"".join(r[2] for r in rows), "<i4").reshape(-1, GROUPS).astype(np.int64)
-        own = rows[0][4]
-        if own:
-            tree = CountTree(points)
-            x, y = tree.join(tree)
-            keep = (node[x] < node[y]) & (component[x] != component[y])
-        else:
-            a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            if not len(a) or not len(b):
-                return
-            x, y = CountTree(points[a]).join(CountTree(points[b]))
-            x, y = a[x], b[y]
-            keep = component[x] != component[y]
-        found.update(zip(np.minimum(node[x[keep]], node[y[keep]]).tolist(), np.maximum(node[x[keep]], node[y[keep]]).tolist(), strict=True))
+    names = ("lead", "i", "j", "node", "component", "n", "side")
+    found: dict[tuple[int, int], tuple[int, int, float]] = {}
 
     def out() -> pa.RecordBatch:
-        rows = sorted(found)
+        rows = [(*k, *v) for k, v in sorted(found.items())]
         found.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    key, rows = None, []
+        kinds = [pa.int64()] * 4 + [pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["a", "b", "ca", "cb", "ratio"])
+
+    def work(c: dict[str, np.ndarray], counts: list[bytes]) -> None:
+        new = np.concatenate([[True], (c["lead"][1:] != c["lead"][:-1]) | (c["i"][1:] != c["i"][:-1]) | (c["j"][1:] != c["j"][:-1])])
+        start = np.flatnonzero(new)
+        sizes = np.diff(np.append(start, len(new)))
+        cell = np.cumsum(new)
+        small = np.repeat((sizes <= SMALL) & (c["i"][start] == c["j"][start]), sizes)
+        at = np.flatnonzero(small)
+        x, y = _small_pairs(cell[at], c["node"][at], c["component"][at], c["n"][at], SMALL)
+        x, y = at[x], at[y]
+        ratios = _ratios(counts, x, y)
+        for p, q, ratio in zip(x.tolist(), y.tolist(), ratios.tolist(), strict=True):
+            if ratio >= 1:
+                found[int(c["node"][p]), int(c["node"][q])] = int(c["component"][p]), int(c["component"][q]), ratio
+        for k in np.flatnonzero(~small[start]):
+            span = range(start[k], start[k] + sizes[k])
+            _tree_pairs([(c["node"][r], c["component"][r], counts[r], c["side"][r], c["i"][r] == c["j"][r]) for r in span], found)
+
+    held: dict[str, np.ndarray] = {}
+    counts: list[bytes] = []
     for batch in batches:
-        for h, i, j, node, component, counts, side in zip(*[batch.column(c).to_pylist() for c in ("h", "i", "j", "node", "component", "counts", "side")], strict=True):
-            if (h, i, j) != key:
-                if len(rows) > 1:
-                    pairs(rows)
-                key, rows = (h, i, j), []
-                if len(found) > 200_000:
-                    yield out()
-            rows.append((node, component, counts, side, i == j))
-    if len(rows) > 1:
-        pairs(rows)
+        if not batch.num_rows:
+            continue
+        part = {k: batch.column(k).to_numpy().astype(np.int64) for k in names}
+        held = {k: np.concatenate([held[k], part[k]]) for k in names} if held else part
+        counts += batch.column("counts").to_pylist()
+        if len(counts) < 20_000:
+            continue
+        last = (held["lead"] == held["lead"][-1]) & (held["i"] == held["i"][-1]) & (held["j"] == held["j"][-1])
+        cut = int(np.argmax(last))  # the last block may go on
+        if cut:
+            work({k: v[:cut] for k, v in held.items()}, counts[:cut])
+            held, counts = {k: v[cut:] for k, v in held.items()}, counts[cut:]
+        if len(found) > 100_000:
+            yield out()
+    if counts:
+        work(held, counts)
     yield out()
 
 
@@ -266,27 +394,38 @@ def join(docs: DataFrame) -> DataFrame:
     sets = stored(full.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("least_id")), "set-groups")
     members = stored(full.select("row", "doc_id", "n", "digest").join(sets, "digest"), "set-members")
     nodes = stored(members.filter("row = node").select("node", "doc_id", "digest"), "set-nodes")
-    # Cells of first elements, and every set with the least of its cell.
+    # Cells of first elements, the stars of their leaders, and every set with its leaders.
     cells = stored(
         arrow_rows(full.select("row", F.explode("first").alias("h")).repartition("h").sortWithinPartitions("h", "row"), 100_000)
-        .mapInArrow(cell_batches, "h long, row long, leader long"), "cells")
+        .mapInArrow(cell_batches, "row long, leader long").distinct(), "cells")
     node_of = members.select("row", "node")
-    in_cells = stored(cells.join(node_of, "row").groupBy("h", "node").agg(F.min("leader").alias("leader")), "cell-nodes")
-    counts = stored(features.select(F.col("row").alias("node"), "n", "counts").join(in_cells.select("node").distinct(), "node"), "cell-counts")
-    with_leader = in_cells.join(node_of.select(F.col("row").alias("leader"), F.col("node").alias("lead_node")), "leader").filter("node <> lead_node")
-    star = with_leader.select(F.greatest("node", "lead_node").alias("b"), F.least("node", "lead_node").alias("a")).distinct()
-    bounded = _bounded(star, counts)
-    star_links = _linked(stored(bounded, "pairs"), docs, nodes)
+    stars = stored(cells.join(node_of, "row").join(node_of.select(F.col("row").alias("leader"), F.col("node").alias("lead")), "leader").select("lead", "node").distinct(), "stars")
+    counts = stored(features.select(F.col("row").alias("node"), "n", "counts").join(stars.select("node").distinct(), "node"), "star-counts")
+    edges = stars.filter("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
+    bounded = _bounded(edges, counts)
+    star_links = _linked(bounded, docs, nodes)
     first = stored(components(star_links), "components")
-    # Cells with several components are joined by their trees, in blocks.
-    placed = stored(in_cells.select("h", "node").join(first, "node", "left").withColumn("component", F.coalesce("component", "node")), "cell-components")
-    open_cells = placed.groupBy("h").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("h", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    in_open = placed.join(stored(open_cells, "open-cells"), "h").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = in_open.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("h", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "node", "component", F.when(F.col("block") <= F.col("k"), 0).otherwise(1).alias("side"))
-    pairs = (arrow_rows(dealt.join(counts.select("node", "counts"), "node").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j"))
-        .mapInArrow(tree_batches, "a long, b long").distinct())
-    pairs = stored(pairs.join(bounded, ["a", "b"], "left_anti"), "pairs")
-    links = star_links.union(_linked(pairs, docs, nodes)) if pairs.limit(1).count() else star_links
+    # Stars with several components are joined by their trees, in blocks.
+    placed = stored(stars.join(first, "node", "left").withColumn("component", F.coalesce("component", "node")), "star-components")
+    open_stars = placed.groupBy("lead").agg(F.count("*").alias("m"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high AND m > 2").select("lead", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    in_open = placed.join(stored(open_stars, "open-stars"), "lead").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = in_open.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("lead", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"), "node", "component", F.when(F.col("block") <= F.col("k"), 0).otherwise(1).alias("side"))
+    trees = (arrow_rows(dealt.join(counts, "node").repartition("lead", "i", "j").sortWithinPartitions("lead", "i", "j"))
+        .mapInArrow(tree_batches, "a long, b long, ca long, cb long, ratio double").groupBy("a", "b").agg(F.first("ca").alias("ca"), F.first("cb").alias("cb"), F.max("ratio").alias("ratio")))
+    pairs = stored(trees.join(bounded, ["a", "b"], "left_anti"), "pairs")
+    links = star_links
+    if pairs.limit(1).count():
+        # Of each two components first the likeliest pair; then all pairs whose components are still apart.
+        best = pairs.groupBy(F.least("ca", "cb").alias("low"), F.greatest("ca", "cb").alias("high")).agg(F.max_by(F.struct("a", "b"), F.struct("ratio", F.negative("a"), F.negative("b"))).alias("p")).select("p.a", "p.b")
+        best = stored(best, "best-pairs")
+        links = stored(links.union(_linked(best, docs, nodes)), "all-links")
+        second = stored(components(links), "components")
+        left = pairs.join(best, ["a", "b"], "left_anti")
+        for c in ("a", "b"):
+            left = left.join(second.select(F.col("node").alias(c), F.col("component").alias(f"n{c}")), c, "left").withColumn(f"n{c}", F.coalesce(f"n{c}", c))
+        left = stored(left.filter("na <> nb").select("a", "b"), "left-pairs")
+        if left.limit(1).count():
+            links = links.union(_linked(left, docs, nodes))
     named = stored(components(links), "components")
     grouped = stored(members.join(named, "node", "left").withColumn("component", F.coalesce("component", "node")), "grouped")
     names = stored(grouped.groupBy("component").agg(F.min("least_id").alias("component_id")), "component-names")
@@ -301,9 +440,9 @@ def _bounded(pairs: DataFrame, counts: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<i4").reshape(-1, GROUPS).astype(np.int64) for c in ("counts_a", "counts_b"))
-            fits = np.minimum(x, y).sum(axis=1) >= least_shared(x.sum(axis=1), y.sum(axis=1))
-            at = np.flatnonzero(fits)
+            both = batch.column("counts_a").to_pylist() + batch.column("counts_b").to_pylist()
+            n = batch.num_rows
+            at = np.flatnonzero(_ratios(both, np.arange(n), np.arange(n, 2 * n)) >= 1)
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(at)), batch.column("b").take(pa.array(at))], ["a", "b"])
 
     both = pairs.join(counts.select(F.col("node").alias("a"), F.col("counts").alias("counts_a")), "a").join(counts.select(F.col("node").alias("b"), F.col("counts").alias("counts_b")), "b")

@@ -12,29 +12,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessile.llm import exact_dedup, jaccard, mixing, pieces, toxicity
-from sessile.llm.common import stored, table, work_dir
+from sessile.llm.common import stored, table, unused, work_dir
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below the threshold; labels come from the labels table."""
     index = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, index).filter(F.col("_score") < toxicity.THRESHOLD).select(*docs.columns)
+    score, evidence = unused(docs, "_score"), unused(docs, "_evidence")
+    return toxicity.scored(docs, index, score, evidence).filter(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that are equal but for white space, the document of the smallest id (all rows of that id that are equal)."""
     decided = exact_dedup.dedup(docs)
     # The digest tells apart rows that share an id but not a text.
-    kept = decided.filter("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest")).distinct()
-    marked = docs.withColumn("_own", F.unhex(F.sha2(exact_dedup.normalised(F.coalesce("text", F.lit(""))), 256)))
-    return marked.join(kept, marked["doc_id"].eqNullSafe(kept["_id"]) & (marked["_own"] == kept["_digest"]), "left_semi").select(*docs.columns)
+    kid, digest, own = (unused(docs, c) for c in ("_id", "_digest", "_own"))
+    kept = decided.filter("kept").select(F.col("doc_id").alias(kid), F.unhex("text_sha256").alias(digest)).distinct()
+    marked = docs.withColumn(own, F.unhex(F.sha2(exact_dedup.normalised(F.coalesce("text", F.lit(""))), 256)))
+    return marked.join(kept, F.col("doc_id").eqNullSafe(F.col(kid)) & (F.col(own) == F.col(digest)), "left_semi").select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked texts: that of the smallest id."""
     decided = jaccard.join(docs)
-    dropped = stored(decided.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct(), "near-copies")
-    return docs.join(dropped, docs["doc_id"] == dropped["_id"], "left_anti").select(*docs.columns)
+    gone = unused(docs, "_id")
+    dropped = stored(decided.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(gone)).distinct(), "near-copies")
+    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col(gone)), "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

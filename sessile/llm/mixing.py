@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sessile.llm.common import WORD, hash60, joined_small, stored, table, text_or_empty
+from sessile.llm.common import WORD, hash60, joined_small, stored, table, text_or_empty, unused
 
 #: Weights of the sources in order, repeating, and the most passes over a source.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -100,10 +100,11 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns it came with."""
     sized = stored(sized_rows(docs).select("source", "size", "hash"), "mix-sizes")
     limits = thresholds(sized, stored(targets(sized), "mix-targets"))
-    limits = limits.select(F.col("source").alias("_s"), F.col("passes").alias("_passes"), F.col("threshold").alias("_threshold"))
-    taken = joined_small(docs, limits, [docs["source"].eqNullSafe(limits["_s"])])
-    copies = (F.col("_passes") + (hash60(F.col("doc_id")) < F.col("_threshold")).cast("long")).cast("int")
-    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
+    own, passes, threshold, copy = (unused(docs, f"_{c}") for c in ("s", "passes", "threshold", "copy"))
+    limits = limits.select(F.col("source").alias(own), F.col("passes").alias(passes), F.col("threshold").alias(threshold))
+    taken = joined_small(docs, limits, [F.col("source").eqNullSafe(F.col(own))])
+    copies = (F.col(passes) + (hash60(F.col("doc_id")) < F.col(threshold)).cast("long")).cast("int")
+    return taken.withColumn(copy, F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

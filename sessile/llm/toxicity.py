@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     return index
 
 
-def score_batches(index: Index, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def score_batches(index: Index, names: tuple[str, str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = set(index.idf)
         blank = index.score({})
@@ -192,15 +192,15 @@ def score_batches(index: Index, threshold: float) -> Callable[[Iterator[pa.Recor
                 told.append(index.score(counts) if counts else blank)
             scores = pa.array([s for s, _ in told], pa.float64())
             evidence = pa.array([[{"doc_id": str(index.ids[i]), "similarity": s, "label": int(index.labels[i])} for s, i in near[:SHOWN]] for _, near in told], pa.list_(pa.struct([("doc_id", pa.string()), ("similarity", pa.float64()), ("label", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores, evidence], [*batch.schema.names, "_score", "_evidence"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores, evidence], [*batch.schema.names, *names])
 
     return run
 
 
-def scored(docs: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with _score and _evidence (nearest examples: doc_id, similarity, label)."""
+def scored(docs: DataFrame, index: Index, score: str = "_score", evidence: str = "_evidence") -> DataFrame:
+    """The documents with two more columns: the score, and the nearest examples (doc_id, similarity, label)."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return arrow_rows(docs).mapInArrow(score_batches(index, threshold), f"{fields}, _score double, _evidence array<struct<doc_id:string,similarity:double,label:int>>")
+    return arrow_rows(docs).mapInArrow(score_batches(index, (score, evidence)), f"{fields}, `{score}` double, `{evidence}` array<struct<doc_id:string,similarity:double,label:int>>")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -451,3 +451,19 @@ def _bounded(pairs: DataFrame, counts: DataFrame) -> DataFrame:
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
+
+
+#: Pairs of equal shingles counted, then all that links reach. Ids are taken to be unique.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(l[i:i + 4], ' ') AS g FROM w, LATERAL (SELECT unnest(range(1, greatest(len(l) - 4, 1) + 1)) AS i) WHERE len(l) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+f AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT x, y FROM f UNION SELECT r.x, f.y FROM r JOIN f ON r.y = f.x),
+m AS (SELECT x, min(y) AS least FROM r GROUP BY 1)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(m.least, w.doc_id)) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.x = w.doc_id
+"""

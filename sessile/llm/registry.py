@@ -18,5 +18,6 @@ QUERIES = {
 }
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
+    "op6_ngram_join": jaccard.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }

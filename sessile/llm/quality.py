@@ -36,6 +36,8 @@ _CLASS = np.full(256, 10, np.uint8)
 for _i, _set in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\n\x0b\x0c\r", bytes(range(128, 256)), b".;:?", b",", b"!", b"#$%&*@^~", b"|_=<>/\\+-")):
     _CLASS[list(_set)] = _i
 _CLASS[list(b"()[]{}")] = 11
+_ENDS = np.zeros(256, bool)
+_ENDS[list(b".,;:!?#$%&*")] = True
 _CLASS[list(b"\"'`")] = 12
 
 
@@ -49,14 +51,15 @@ def features(texts: list[bytes]) -> np.ndarray:
             if not n:
                 continue
             raw = np.frombuffer(text, np.uint8)
-            kinds = np.bincount(_CLASS[raw], minlength=13) / len(raw)
+            kind = _CLASS[raw]
+            kinds = np.bincount(kind, minlength=13) / len(raw)
             letters = kinds[0] + kinds[1] + kinds[4] or 1.0
             own = words[end - n : end]
             _, each = np.unique(own, return_counts=True)
             runs = own[: n - 2] * np.uint64(3) ^ own[1 : n - 1] * np.uint64(5) ^ own[2:] if n > 2 else own
             lines = text.splitlines() or [text]
-            parts = text.split()
-            ended = sum(p[-1] in b".,;:!?#$%&*" for p in parts[:: max(1, n // 200)]) / len(parts[:: max(1, n // 200)])
+            space = kind == 3
+            ended = np.count_nonzero(_ENDS[raw[~space & np.append(space[1:], True)]]) / n
             out[i] = (
                 np.log1p(n), np.log1p(len(raw)), len(raw) / n, kinds[1] / letters, kinds[2], kinds[3], kinds[4], kinds[5], kinds[6], kinds[7], kinds[8], kinds[9], kinds[11], kinds[12], kinds[10],
                 len(each) / n, each.max() / n, len(np.unique(runs)) / len(runs), np.log1p(len(lines)), len(raw) / len(lines), len(set(lines)) / len(lines), ended,

@@ -30,8 +30,8 @@ THRESHOLD = 0.3
 EXAMPLES, TERMS = 8_000, 5_000
 #: A term needs so many examples, and a likelihood ratio that so many of all such terms would reach by chance.
 LEAST, BY_CHANCE = 3, 0.5
-#: Its examples have label 1 so many times as often as all (at most halfway from all to always).
-LIFT = 3.0
+#: Its examples have label 1 at least so far on the way from the share of all to always.
+LIFT = 0.5
 NEIGHBOURS = 15
 BLOCK = 64
 #: Neighbours shown as evidence.
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     least = needed_ratio(dfs.count())
     # Terms that may reach the ratio: a test that Spark can make, then the ratio itself.
     share = n1 / n if n else 0.0
-    lifted = min(LIFT * share, (1 + share) / 2)
+    lifted = share + LIFT * (1 - share)
     apart = dfs.filter(F.col("df1") >= lifted * F.col("df")).withColumn("chi", (F.col("df1") - F.col("df") * share) ** 2 / (F.col("df") * (share * (1 - share) or 1.0))).orderBy(F.desc("chi"), "term").limit(4 * TERMS)
     scored = [(ratio(n, n1, r.df, r.df1), r.term, r.df) for r in apart.collect()]
     chosen = sorted((x for x in scored if x[0] >= least), key=lambda x: (-x[0], x[1]))[:TERMS]

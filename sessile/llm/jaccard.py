@@ -34,7 +34,7 @@ WIDTH = 5
 PART, WHOLE = 75, 100
 #: Fewest and most groups, and shingles of a set for each group. Counts of unrelated sets of n
 #: shingles differ by about 1.1 * sqrt(n * groups) in all, linked ones by 2 n / 7 at most.
-GROUPS, MOST_GROUPS, EACH = 32, 1 << 22, 1
+GROUPS, MOST_GROUPS, EACH = 32, 1 << 22, 2
 #: Trees fold points to at most so many groups; pairs that survive are bounded again by all of theirs.
 TREE_GROUPS = 1024
 LEAF = 16

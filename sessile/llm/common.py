@@ -25,10 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def work_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares; a temporary one only where none is set (tests, one machine)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = tempfile.mkdtemp(prefix="spark-work-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = sc._sessile_work = getattr(sc, "_sessile_work", None) or tempfile.mkdtemp(prefix="spark-work-")
     return found
 
 

@@ -131,7 +131,7 @@ def perm_importance(spark, sf_dir):
 def batch_score(spark, sf_dir):
     """[M12 Q12] Requests of all surfaces: those that pass the guard are scored by an injected backend, others keep their reasons."""
     m = measurements(spark, sf_dir, with_id=False)
-    g = m.groupBy("surface_group_id").agg(F.min_by("liquid_name", "liquid_id").alias("target"), F.slice(F.array_sort(F.collect_set(F.struct(F.col("liquid_name").alias("liquid"), F.col("angle")))), 1, 4).alias("probes"))
+    g = m.groupBy("surface_group_id").agg(F.min_by("liquid_name", "liquid_id").alias("target"), F.array_sort(F.collect_set(F.struct(F.col("liquid_name").alias("liquid"), F.col("angle")))).alias("probes"))
     mode = F.when(F.col("surface_group_id") % 3 == 0, "zero_shot").when(F.col("surface_group_id") % 3 == 1, "probe_assisted").otherwise("other")
     probes = F.when(F.col("surface_group_id") % 2 == 0, F.filter("probes", lambda p: p["liquid"] != F.col("target"))).otherwise(F.col("probes"))
     probes = F.when(F.col("surface_group_id") % 6 == 0, F.slice(F.col("probes"), 1, 0)).otherwise(probes)

@@ -111,16 +111,25 @@ def address4(f: Feistel, m: re.Match, back: bool) -> str | None:
 
 
 def phone(f: Feistel, m: re.Match, back: bool) -> str | None:
-    """North American numbers (area and exchange do not start with 0 or 1), else digits after a country code."""
+    """North American numbers (area and exchange do not start with 0 or 1), else digits after a country code.
+
+    After +1, numbers that break that rule are permuted among those that break it.
+    """
     d = _digits(m[0])
     if m[0].startswith("+") and not d.startswith("1"):
         if not 8 <= len(d) <= 15:
             return None
         tail = f.permute(int(d[2:]), 10 ** (len(d) - 2), b"phone|" + d[:2].encode() + b"|%d" % len(d), back)
         return _refill(m[0], d[:2] + str(tail).zfill(len(d) - 2))
-    lead, d = ("1", d[1:]) if len(d) == 11 and d[0] == "1" else ("", d)
+    lead, d = ("1", d[1:]) if len(d) == 11 and d[0] == "1" or m[0].startswith("+") else ("", d)
     if len(d) != 10 or d[0] in "01" or d[3] in "01":
-        return None
+        if not m[0].startswith("+") or not 7 <= len(d) <= 14:
+            return None
+        tail = d
+        while True:
+            tail = str(f.permute(int(tail), 10 ** len(d), b"phone|1|%d" % len(d), back)).zfill(len(d))
+            if len(d) != 10 or tail[0] in "01" or tail[3] in "01":
+                return _refill(m[0], "1" + tail)
     x = ((int(d[:3]) - 200) * 800 + int(d[3:6]) - 200) * 10000 + int(d[6:])
     x = f.permute(x, 800 * 800 * 10000, b"nanp", back)
     rest, line = divmod(x, 10000)
@@ -158,14 +167,18 @@ def account(f: Feistel, m: re.Match, back: bool) -> str | None:
     return "".join(c if c == " " else next(left) for c in m[0])
 
 
-def _day(f: Feistel, year: int, month: int, day: int, back: bool) -> datetime.date | None:
+def _day(f: Feistel, year: int, month: int, day: int, back: bool, days: range = range(1, 32)) -> datetime.date | None:
+    """The pseudonym of a date, among the dates with such days of the month."""
     try:
         found = datetime.date(year, month, day)
     except ValueError:
         return None
     if not FIRST_DAY <= found <= LAST_DAY:
         return None
-    return FIRST_DAY + datetime.timedelta(f.permute((found - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1, b"date", back))
+    while True:
+        found = FIRST_DAY + datetime.timedelta(f.permute((found - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1, b"date", back))
+        if found.day in days:
+            return found
 
 
 def _two(like: str, n: int) -> str:
@@ -185,7 +198,9 @@ def date_dmy(f: Feistel, m: re.Match, back: bool) -> str | None:
     if b <= 12:
         new = _day(f, y, b, a, back)
         return new and f"{new.day:02d}{s}{new.month:02d}{s}{new.year:04d}"
-    return None
+    # Days beyond 12 only, so that the pseudonym too is a date with the month first alone.
+    new = _day(f, y, a, b, back, range(13, 32))
+    return new and f"{new.month:02d}{s}{new.day:02d}{s}{new.year:04d}"
 
 
 def date_named(f: Feistel, m: re.Match, back: bool) -> str | None:
@@ -193,6 +208,13 @@ def date_named(f: Feistel, m: re.Match, back: bool) -> str | None:
     return new and f"{new.day} {MONTHS[new.month - 1]} {new.year:04d}"
 
 
+def date_month_first(f: Feistel, m: re.Match, back: bool) -> str | None:
+    """A leading zero stays one."""
+    zero = m["d4"][0] == "0"
+    new = _day(f, int(m["y4"]), MONTHS.index(m["name4"]) + 1, int(m["d4"]), back, range(1, 10 if zero else 32))
+    return new and f"{MONTHS[new.month - 1]} {'0' if zero else ''}{new.day}, {new.year:04d}"
+
+
 def mail(f: Feistel, m: re.Match, back: bool) -> str | None:
     """The name and the host's first label are permuted; the registered domain stays."""
     user, host = m[0].rsplit("@", 1)
@@ -202,15 +224,25 @@ def mail(f: Feistel, m: re.Match, back: bool) -> str | None:
     return f.characters(user, b"mail|" + host.encode(), back) + "@" + host
 
 
+def _hexadecimal(f: Feistel, value: str, back: bool) -> str:
+    out = []
+    for i in range(0, len(value), 24):
+        part, known = value[i : i + 24], (value if not back else "".join(out))[:i].encode()
+        out.append(format(f.permute(int(part, 16), 16 ** len(part), b"hex|%d|" % len(part) + known, back), f"0{len(part)}x"))
+    return "".join(out)
+
+
 def secret(f: Feistel, m: re.Match, back: bool) -> str | None:
-    """Keys and tokens named as such: hexadecimal stays hexadecimal."""
+    """Keys and tokens named as such: hexadecimal stays hexadecimal, in its case."""
     value = m["secret"]
     if re.fullmatch(r"[0-9a-f]+", value):
-        out = []
-        for i in range(0, len(value), 24):
-            part, known = value[i : i + 24], (value if not back else "".join(out))[:i].encode()
-            out.append(format(f.permute(int(part, 16), 16 ** len(part), b"hex|%d|" % len(part) + known, back), f"0{len(part)}x"))
-        new = "".join(out)
+        new = _hexadecimal(f, value, back)
+    elif re.fullmatch(r"[0-9A-F]+", value):
+        # Walked on until a letter shows the case.
+        new = _hexadecimal(f, value.lower(), back)
+        while new.isdigit():
+            new = _hexadecimal(f, new, back)
+        new = new.upper()
     else:
         new = f.characters(value, b"secret", back)
     return m[0][: m.start("secret") - m.start()] + new + m[0][m.end("secret") - m.start() :]
@@ -218,20 +250,21 @@ def secret(f: Feistel, m: re.Match, back: bool) -> str | None:
 
 #: Kind, pattern, replacement; of patterns that match at one place the first that validates counts.
 KINDS: tuple[tuple[str, str, Callable], ...] = (
-    ("secret", r"(?<![A-Za-z0-9])(?:api[_-]?key|secret|token|password|passwd|access[_-]?key)\s*[=:]\s*[\"']?(?P<secret>[A-Za-z0-9_\-+/]{8,})", secret),
+    ("secret", r"(?<![A-Za-z0-9])(?ai:api[_-]?key|secret|token|password|passwd|access[_-]?key)\s*[=:]\s*[\"']?(?P<secret>[A-Za-z0-9_\-+/]{8,})", secret),
     ("mail", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", mail),
     ("account", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", account),
     ("date", r"(?<![\d.\-/])(?P<y>\d{4})(?P<s>[-/.])(?P<m>\d{2})(?P=s)(?P<d>\d{2})(?![\d\-/])", date_ymd),
     ("address", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)", address4),
     ("date", r"(?<![\d.\-/])(?P<a>\d{2})(?P<s2>[-/.])(?P<b>\d{2})(?P=s2)(?P<y2>\d{4})(?![\d\-/])", date_dmy),
     ("date", rf"(?<!\d)(?P<d3>\d{{1,2}}) (?P<name>{'|'.join(MONTHS)}) (?P<y3>\d{{4}})(?!\d)", date_named),
+    ("date", rf"(?<![A-Za-z])(?P<name4>{'|'.join(MONTHS)}) (?P<d4>\d{{1,2}}), (?P<y4>\d{{4}})(?!\d)", date_month_first),
     ("social", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])", social),
     ("phone", r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)", phone),
     ("card", r"(?<!\d)(?:\d{13,19}|\d{4}(?P<g>[ -])\d{4}(?P=g)\d{4}(?P=g)\d{4}|\d{4}(?P<h>[ -])\d{6}(?P=h)\d{5})(?!\d)", card),
 )
 #: Cheap signs that a text may hold any of them.
-_SIGN = re.compile(r"[0-9@]|(?:key|secret|token|passw)")
-_HAS = {"secret": re.compile(r"key|secret|token|passw"), "mail": re.compile("@")}
+_SIGN = re.compile(r"[0-9@]|(?ai:key|secret|token|passw)")
+_HAS = {"secret": re.compile(r"(?ai:key|secret|token|passw)"), "mail": re.compile("@")}
 
 
 def replace(text: str, feistel: Feistel, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:

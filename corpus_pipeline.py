@@ -34,10 +34,11 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked texts: that of the smallest id."""
-    decided = jaccard.join(docs)
-    gone = unused(docs, "_id")
-    dropped = stored(decided.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(gone)).distinct(), "near-copies")
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col(gone)), "left_anti").select(*docs.columns)
+    decided = jaccard.decided(docs)
+    # The digest tells apart rows that share an id but not a set of shingles.
+    gone, digest, own = (unused(docs, c) for c in ("_id", "_digest", "_own"))
+    dropped = stored(decided.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(gone), F.col("digest").alias(digest)).distinct(), "near-copies")
+    return jaccard.digested(docs, own).join(dropped, F.col("doc_id").eqNullSafe(F.col(gone)) & (F.col(own) == F.col(digest)), "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -361,6 +361,18 @@ def set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))], ["digest", "items"])
 
 
+def digested(docs: DataFrame, name: str) -> DataFrame:
+    """The documents with one more column: the digest of the set of their shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in _sets(batch)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], [*batch.schema.names, name])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return arrow_rows(docs).mapInArrow(run, f"{fields}, `{name}` binary")
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose sets reach the threshold, verified on the sets themselves.
 
@@ -386,6 +398,11 @@ def join(docs: DataFrame) -> DataFrame:
     give a row. Rows with a null id take part; a component of them alone has a null
     name. An empty table gives no rows; other columns are ignored.
     """
+    return decided(docs).drop("digest")
+
+
+def decided(docs: DataFrame) -> DataFrame:
+    """The rows of join, with the digest of each document's set."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     features = stored(
         arrow_rows(docs.select("doc_id", "text")).mapInArrow(feature_batches(frequent(docs)), f"doc_id {kind}, n int, digest binary, counts binary, first array<long>")
@@ -429,8 +446,8 @@ def join(docs: DataFrame) -> DataFrame:
     named = stored(components(links), "components")
     grouped = stored(members.join(named, "node", "left").withColumn("component", F.coalesce("component", "node")), "grouped")
     names = stored(grouped.groupBy("component").agg(F.min("least_id").alias("component_id")), "component-names")
-    empty = features.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return grouped.join(names, "component").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").unionByName(empty)
+    empty = features.filter("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"), "digest")
+    return grouped.join(names, "component").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "digest").unionByName(empty)
 
 
 def _bounded(pairs: DataFrame, counts: DataFrame) -> DataFrame:

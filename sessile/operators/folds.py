@@ -14,7 +14,7 @@ def greedy_bins(groups: DataFrame, key: str, size: str, fractions: Sequence[floa
     """[E1 Q3] (key, bin): groups by falling size (then falling key) each go to the bin that is furthest below its share, the first among equals.
 
     The assignment is sequential, so the groups (sources, far fewer than rows) meet in
-    one array; beyond some 100,000 of them use hashed bins instead.
+    one array, in one task.
     """
     total = groups.agg(F.sum(size).alias("total"), F.array_sort(F.collect_list(F.struct((-F.col(size)).alias("s"), (-F.col(key)).alias("k")))).alias("order"))
     shares = F.array(*[F.lit(float(f)) for f in fractions])

@@ -19,5 +19,9 @@ def sample_of_labels(labels: DataFrame, label: str, folds: int, held_out: int, l
 
 
 def labelled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """(doc_id, text, y) of the sample; a sample is bounded, so it is broadcast."""
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    """(doc_id, y, text) of the sampled ids that have documents; a sample is bounded, so it is broadcast.
+
+    Null texts count as empty. Of an id with several texts the least one stands, so reruns agree.
+    """
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))

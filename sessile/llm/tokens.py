@@ -73,6 +73,29 @@ def words_and_ends(texts: list[bytes], with_ends: bool = True) -> tuple[np.ndarr
     return hashes, counts, mixed(code * _BASE)
 
 
+def letter_terms(texts: list[bytes], stem: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of letters, and of the first bytes of those of more bytes than stem; and how many each text has.
+
+    Texts come in lower case. a-z and all bytes outside ASCII count as letters.
+    """
+    buffer = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
+    other = ~(((buffer >= 97) & (buffer <= 122)) | (buffer >= 128))
+    edges = np.flatnonzero(other[1:] != other[:-1]) + 1
+    starts, ends = edges[::2], edges[1::2]
+    power, inverse = _powers_up_to(len(buffer))
+    with np.errstate(over="ignore"):
+        total = np.cumsum(_VALUE[buffer] * power[: len(buffer)], dtype=np.uint64)
+        words = mixed((total[ends - 1] - total[starts - 1]) * inverse[starts])
+        long = ends - starts > stem
+        stems = mixed((total[starts[long] + stem - 1] - total[starts[long] - 1]) * inverse[starts[long]] + np.uint64(1))
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    bounds = np.concatenate([[0], np.cumsum(sizes)]) + 1
+    n_words, n_stems = np.diff(np.searchsorted(starts, bounds)), np.diff(np.searchsorted(starts[long], bounds))
+    # Words of a text, then its stems.
+    text_of = np.concatenate([np.repeat(np.arange(len(texts)), n_words), np.repeat(np.arange(len(texts)), n_stems)])
+    return np.concatenate([words, stems])[np.argsort(text_of, kind="stable")], n_words + n_stems
+
+
 def in_chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
     """The texts in groups of about CHUNK bytes, each with the position of its first text."""
     start, size = 0, 0

@@ -1,19 +1,22 @@
 """Toxicity by the nearest labelled examples.
 
-Examples are TF-IDF vectors over terms that speak for label 1 (by the likelihood
-ratio of a 2x2 table, and by how much they raise its share). A block-max inverted index over them finds, for
-each text, the examples of largest cosine exactly: example numbers are cut into
-blocks, each term knows its largest weight in each block, and blocks are visited
-in order of the bound that this gives until no bound beats the k-th best. The
-neighbours vote, weighted by closeness, and a logistic curve fitted to the
-examples' own leave-one-out votes turns the vote into a probability.
+Examples are TF-IDF vectors over all their words and the stems of their longer
+words. A term's weight is raised with how much its examples raise the share of
+label 1, so that a few words that speak for the label outweigh a page of plain
+ones; no term is left out. A block-max inverted index over the examples finds, for
+each text, those of largest cosine exactly: example numbers are cut into blocks,
+and each frequent term knows its largest weight in each block. The lists of the
+other terms give every example a part of its cosine, the maxima bound the rest, and
+each text looks at blocks in order of their bounds until none can beat its k-th best
+(many texts at once, so that a block is read once for all that need it). The neighbours vote,
+weighted by closeness, and a logistic curve fitted to the examples' own
+leave-one-out votes turns the vote into a probability.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,112 +24,171 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessile.llm.common import arrow_rows, fold, stored, table
+from sessile.llm import tokens
+from sessile.llm.common import arrow_rows, fold, table
 from sessile.llm.labels import labelled_texts, sample_of_labels
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.3
-#: The classifier is fitted on at most so many labelled rows, and knows at most so many terms.
-EXAMPLES, TERMS = 8_000, 5_000
-#: A term needs so many examples, and a likelihood ratio that so many of all such terms would reach by chance.
-LEAST, BY_CHANCE = 3, 0.5
-#: Its examples have label 1 at least so far on the way from the share of all to always.
-LIFT = 0.5
+#: The classifier is fitted on at most so many labelled rows; all their terms are used.
+EXAMPLES = 8_000
+#: Words of more bytes than this give their first ones as a second term.
+STEM = 6
+#: A term of no lift has this weight, one that always comes with label 1 one more; SHRINK rows of the common share are added to each.
+FLOOR, SHRINK = 0.02, 2.0
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 512
+#: So many of the most frequent terms have block maxima; the lists of the others are short.
+FREQUENT = 512
+#: Texts that are looked up at once.
+AT_ONCE = 128
+#: Cosines count to six digits; the number of an example stands in the lower bits of a key.
+DIGITS, NUMBER_BITS = 1e6, 20
 #: Neighbours shown as evidence.
 SHOWN = 3
 
-_LETTERS = re.compile(r"[^\W\d_]+")
 
+def digest(text: str | None) -> int:
+    return int.from_bytes(hashlib.blake2b((text or "").encode(), digest_size=8).digest(), "little", signed=True)
 
-def terms_of(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
 
+def terms_of(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text its distinct terms as hashes in order, and how often each occurs."""
+    encoded = [(t or "").lower().encode() for t in texts]
+    for _, chunk in tokens.in_chunks(encoded):
+        hashes, counts = tokens.letter_terms(chunk, STEM)
+        for part in np.split(hashes, np.cumsum(counts)[:-1]):
+            yield np.unique(part, return_counts=True)
 
-def ratio(n: float, n1: float, df: float, df1: float) -> float:
-    """Log-likelihood ratio that presence of a term and label 1 are independent (n examples, n1 of them 1)."""
 
-    def part(k: float, total: float, other: float) -> float:
-        return k * math.log(k * n / (total * other)) if k else 0.0
-
-    return 2 * (part(df1, df, n1) + part(df - df1, df, n - n1) + part(n1 - df1, n - df, n1) + part(n - df - n1 + df1, n - df, n - n1))
-
-
-def needed_ratio(terms: int) -> float:
-    """The ratio that BY_CHANCE of so many unrelated terms exceed (tail of chi-squared, 1 degree of freedom)."""
-    log_p = math.log(max(2.0, terms / BY_CHANCE))
-    return 2 * log_p - math.log(2 * log_p) - math.log(math.pi / 2)
+def _spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the ranges, one after the other, and the number of the range of each."""
+    n = end - start
+    of = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + start[of], of
 
 
 class Index:
-    """Block-max inverted index of unit vectors, with their labels."""
+    """Block-max inverted index of unit vectors, with their labels.
 
-    def __init__(self, idf: dict[str, float], examples: list[tuple[object, int, dict[str, int]]]) -> None:
-        self.idf = idf
-        self.number = {t: i for i, t in enumerate(idf)}
-        self.ids = [e[0] for e in examples]
-        self.labels = np.array([e[1] for e in examples], np.float64)
+    Examples are (id, label, digest, term hashes, counts).
+    """
+
+    def __init__(self, examples: list[tuple[object, int, int, np.ndarray, np.ndarray]]) -> None:
+        owner = np.repeat(np.arange(len(examples)), [len(e[3]) for e in examples])
+        flat = np.concatenate([e[3] for e in examples]) if examples else np.zeros(0, np.uint64)
+        tf = np.concatenate([e[4] for e in examples]) if examples else np.zeros(0, np.int64)
+        self.terms, of = np.unique(flat, return_inverse=True)
+        labels = np.array([e[1] for e in examples], np.float64)
+        self.n, self.share = len(examples), float(labels.mean()) if len(examples) else 0.0
+        self.df = np.bincount(of, minlength=len(self.terms)).astype(np.float64)
+        self.df1 = np.bincount(of, labels[owner], minlength=len(self.terms))
+        # Examples with like frequent terms stand together, so that blocks differ.
+        frequent = np.argsort(-self.df, kind="stable")[:16]
+        place = np.full(len(self.terms), 16)
+        place[frequent] = np.arange(len(frequent))
+        has = np.zeros((len(examples), 17), bool)
+        has[owner, place[of]] = True
+        order = np.lexsort([np.arange(len(examples)), *[~has[:, k] for k in range(15, -1, -1)]])
+        number = np.empty(len(examples), np.int64)
+        number[order] = np.arange(len(examples))
+        self.ids = [examples[i][0] for i in order]
+        self.labels = labels[order]
+        self.own = {examples[i][2]: int(number[i]) for i in range(len(examples) - 1, -1, -1)}
+        weight = (1 + np.log(tf)) * self.weights(self.df, self.df1)[of]
+        norm = np.sqrt(np.bincount(owner, weight**2, minlength=len(examples)))
+        weight /= np.where(norm > 0, norm, 1)[owner]
         self.blocks = -(-len(examples) // BLOCK)
-        postings: list[list[tuple[int, float]]] = [[] for _ in idf]
-        self.vectors = [self.vector(e[2]) for e in examples]
-        for i, (terms, weights) in enumerate(self.vectors):
-            for t, w in zip(terms, weights, strict=True):
-                postings[t].append((i, w))
-        self.at = [np.array([p[0] for p in x], np.int64) for x in postings]
-        self.weight = [np.array([p[1] for p in x]) for x in postings]
-        self.top = np.zeros((len(idf), self.blocks))
-        self.block = [at // BLOCK for at in self.at]
-        for t, w in enumerate(self.weight):
-            np.maximum.at(self.top[t], self.block[t], w)
-        empty = np.array([not len(v[0]) for v in self.vectors], bool)
+        top = np.argsort(-self.df, kind="stable")[:FREQUENT]
+        self.slot = np.full(len(self.terms), -1)
+        self.slot[top] = np.arange(len(top))
+        # Weights of the frequent terms in all examples, with block maxima; of the others, lists in order of term and example.
+        slot = self.slot[of]
+        self.frequent = np.zeros((self.blocks, len(top), BLOCK))
+        at = np.flatnonzero(slot >= 0)
+        self.frequent[number[owner][at] // BLOCK, slot[at], number[owner][at] % BLOCK] = weight[at]
+        self.most = np.ascontiguousarray(self.frequent.max(axis=2, initial=0).T)
+        at = np.flatnonzero(slot < 0)
+        at = at[np.lexsort((number[owner][at], of[at]))]
+        self.example, self.weight = number[owner][at].astype(np.int32), weight[at].astype(np.float32)
+        self.first = np.searchsorted(of[at], np.arange(len(self.terms) + 1))
+        empty = np.bincount(owner, minlength=len(examples))[order] == 0 if len(examples) else np.zeros(0, bool)
         # What to expect of a text that shares no term with any example.
-        self.prior = (self.labels[empty].sum() + 0.5 * self.labels.mean() if len(examples) else 0.0) / (empty.sum() + 0.5) if len(examples) else 0.0
-        self.slope, self.offset = 1.0, 0.0
-
-    def vector(self, counts: dict[str, int]) -> tuple[list[int], list[float]]:
-        pairs = sorted((self.number[t], (1 + math.log(c)) * self.idf[t]) for t, c in counts.items() if t in self.number)
-        norm = math.sqrt(sum(w * w for _, w in pairs)) or 1.0
-        return [t for t, _ in pairs], [w / norm for _, w in pairs]
-
-    def nearest(self, terms: list[int], weights: list[float], k: int = NEIGHBOURS, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of largest cosine, (cosine, number), the smaller number first among equals."""
-        if not terms:
-            return []
-        bounds = np.array(weights) @ self.top[terms]
-        best: list[tuple[float, int]] = []
-        # The blocks of highest bounds set the mark; then all blocks whose bounds reach it.
-        first = np.zeros(self.blocks, bool)
-        first[np.argsort(-bounds, kind="stable")[:8]] = True
-        for mask in (first & (bounds > 0), None):
-            if mask is None:
-                mask = ~first & (bounds > 0) & (bounds >= (best[-1][0] * -1 - 1e-9 if len(best) == k else 0))
-            if mask.any():
-                found = np.zeros(len(self.labels))
-                for t, w in zip(terms, weights, strict=True):
-                    keep = mask[self.block[t]]
-                    found[self.at[t][keep]] += w * self.weight[t][keep]
-                found[without : without + 1 if without >= 0 else 0] = 0
-                found = np.round(found, 12)
-                if np.count_nonzero(found) > 4 * k:
-                    mark = np.partition(found, -k)[-k]
-                    some = np.flatnonzero(found >= mark)
-                else:
-                    some = np.flatnonzero(found)
-                best = sorted(best + [(-float(found[i]), int(i)) for i in some])[:k]
-        return [(-s, i) for s, i in best]
-
-    def vote(self, near: list[tuple[float, int]]) -> float:
-        """Mean label of the neighbours, weighted by 1 / (distance + 0.1); missing neighbours vote as the prior, at distance 1."""
-        w = np.array([1 / (1.1 - s) for s, _ in near] + [1 / 1.1] * (NEIGHBOURS - len(near)))
-        y = np.array([self.labels[i] for _, i in near] + [self.prior] * (NEIGHBOURS - len(near)))
-        return float((w * y).sum() / w.sum())
-
-    def calibrate(self) -> None:
-        """Fit the logistic curve to leave-one-out votes, by Newton steps with a small ridge."""
-        votes = np.array([self.vote(self.nearest(*v, without=i)) for i, v in enumerate(self.vectors)])
+        self.prior = (self.labels[empty].sum() + 0.5 * self.share) / (empty.sum() + 0.5)
+        self.slope, self.offset, self.fitted = 1.0, 0.0, False
+
+    def weights(self, df: np.ndarray, df1: np.ndarray) -> np.ndarray:
+        """Inverse document frequency times the floor and the lift of label 1."""
+        share = (df1 + SHRINK * self.share) / (df + SHRINK)
+        lift = np.maximum(share - self.share, 0) / ((1 - self.share) or 1.0)
+        return np.log(1 + self.n / np.maximum(df, 1)) * (FLOOR + lift)
+
+    def vector(self, hashes: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms and unit weights; for an example, as if it were not among the examples."""
+        if not len(self.terms):
+            return np.zeros(0, np.int64), np.zeros(0)
+        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
+        known = self.terms[at] == hashes
+        at, counts = at[known], counts[known]
+        df, df1 = self.df[at], self.df1[at]
+        if without >= 0:
+            df, df1 = df - 1, df1 - self.labels[without]
+            at, counts, df, df1 = (v[df > 0] for v in (at, counts, df, df1))
+        w = (1 + np.log(counts)) * self.weights(df, df1)
+        return at, w / (math.sqrt(float(w @ w)) or 1.0)
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int], k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and numbers of each text's k examples of largest cosine, the smaller number first among equals.
+
+        Each text may leave one example out. Where fewer have a cosine above 0, the rest is 0, with number -1.
+        """
+        m, every = len(vectors), np.arange(len(vectors))
+        query, part = np.zeros((m, self.frequent.shape[1])), np.zeros((m, self.blocks * BLOCK))
+        for r, (terms, weights) in enumerate(vectors):
+            slot = self.slot[terms]
+            query[r, slot[slot >= 0]] = weights[slot >= 0]
+            rare = terms[slot < 0]
+            at, of = _spread(self.first[rare], self.first[rare + 1])
+            part[r] = np.bincount(self.example[at], weights[slot < 0][of] * self.weight[at], minlength=part.shape[1])
+            if without[r] >= 0:
+                part[r, without[r]] = -2.0
+        part = part.reshape(m, self.blocks, BLOCK)
+        bound = part.max(axis=2, initial=-2) + query @ self.most
+        order = np.argsort(-bound, axis=1, kind="stable")
+        best = np.zeros((m, k), np.int64)
+        for step in range(self.blocks):
+            at = order[:, step]
+            here = bound[every, at]
+            look = (here > 0) & (here * DIGITS + 1 >= best.min(axis=1) >> NUMBER_BITS)
+            if not look.any():
+                break
+            for b in np.unique(at[look]).tolist():
+                rows = np.flatnonzero(look & (at == b))
+                cosines = np.rint((part[rows, b] + query[rows] @ self.frequent[b]) * DIGITS).astype(np.int64)
+                key = (cosines << NUMBER_BITS) + ((1 << NUMBER_BITS) - 1 - b * BLOCK - np.arange(BLOCK))
+                best[rows] = np.partition(np.concatenate([best[rows], np.where(cosines > 0, key, 0)], axis=1), -k, axis=1)[:, -k:]
+        best = -np.sort(-best, axis=1)
+        return (best >> NUMBER_BITS) / DIGITS, np.where(best > 0, (1 << NUMBER_BITS) - 1 - (best & (1 << NUMBER_BITS) - 1), -1)
+
+    def votes(self, cosines: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Mean labels of neighbours, weighted by 1 / (distance + 0.1); missing neighbours vote as the prior, at distance 1."""
+        w = 1 / (1.1 - cosines)
+        return (w * np.where(near >= 0, np.append(self.labels, 0.0)[near], self.prior)).sum(axis=1) / w.sum(axis=1)
+
+    def looked_up(self, texts: list[tuple[np.ndarray, np.ndarray]], own: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Votes, cosines and neighbours of texts given by their terms and counts; own examples are left out."""
+        out = []
+        for a in range(0, len(texts), AT_ONCE):
+            part = own[a : a + AT_ONCE]
+            out.append(self.nearest([self.vector(*t, without=i) for t, i in zip(texts[a : a + AT_ONCE], part, strict=True)], part))
+        cosines, near = (np.concatenate([o[c] for o in out]) if out else np.zeros((0, NEIGHBOURS), kind) for c, kind in enumerate((np.float64, np.int64)))
+        return self.votes(cosines, near), cosines, near
+
+    def calibrate(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Fit the logistic curve to leave-one-out votes of the examples (by number), by Newton steps with a small ridge."""
         if not 0 < self.labels.sum() < len(self.labels):
             return
+        votes = self.looked_up(texts, list(range(len(texts))))[0]
         x = np.stack([votes, np.ones(len(votes))], 1)
         w = np.zeros(2)
         for _ in range(50):
@@ -136,63 +198,48 @@ class Index:
             if np.abs(step).max() < 1e-9:
                 break
         if w[0] > 0:
-            self.slope, self.offset = float(w[0]), float(w[1])
-            self.fitted = True
-
-    fitted = False
+            self.slope, self.offset, self.fitted = float(w[0]), float(w[1]), True
 
-    def score(self, counts: dict[str, int]) -> tuple[float, list[tuple[float, int]]]:
-        near = self.nearest(*self.vector(counts))
-        vote = self.vote(near)
-        return (1 / (1 + math.exp(-self.slope * vote - self.offset)) if self.fitted else vote), near
+    def scores(self, digests: list[int], texts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probabilities of label 1, and the neighbours. A text that is an example does not meet itself, nor its own label."""
+        votes, cosines, near = self.looked_up(texts, [self.own.get(d, -1) for d in digests])
+        return (1 / (1 + np.exp(-self.slope * votes - self.offset)) if self.fitted else votes), cosines, near
 
 
-def term_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def example_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(i, y, t, c) for i, y, x in zip(*[batch.column(k).to_pylist() for k in ("doc_id", "y", "text")], strict=True) for t, c in Counter(terms_of(x)).items()]
-        kinds = [batch.schema.field("doc_id").type, pa.int32(), pa.string(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["doc_id", "y", "term", "tf"])
+        texts = batch.column("text").to_pylist()
+        found = list(terms_of(texts))
+        lists = [pa.array([f[k].view(np.int64) for f in found], pa.list_(pa.int64())) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([digest(t) for t in texts], pa.int64()), *lists], ["doc_id", "y", "digest", "terms", "counts"])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Index:
-    """Learn terms, examples and the curve from a bounded sample outside the held-out fold."""
-    sample = stored(sample_of_labels(labels, "toxic", FOLDS, HELD_OUT, EXAMPLES), "toxic-sample")
+    """Learn weights, examples and the curve from a bounded sample outside the held-out fold."""
+    sample = sample_of_labels(labels, "toxic", FOLDS, HELD_OUT, EXAMPLES)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = arrow_rows(labelled_texts(docs, sample).select("doc_id", "y", "text"))
-    rows = stored(texts.mapInArrow(term_batches, f"doc_id {kind}, y int, term string, tf int").groupBy("doc_id", "y", "term").agg(F.max("tf").alias("tf")), "toxic-terms")
-    each = {r.doc_id: r.y for r in sample.collect()}
-    n, n1 = len(each), sum(each.values())
-    dfs = rows.groupBy("term").agg(F.count("*").alias("df"), F.sum("y").alias("df1")).filter(F.col("df") >= LEAST)
-    least = needed_ratio(dfs.count())
-    # Terms that may reach the ratio: a test that Spark can make, then the ratio itself.
-    share = n1 / n if n else 0.0
-    lifted = share + LIFT * (1 - share)
-    apart = dfs.filter(F.col("df1") >= lifted * F.col("df")).withColumn("chi", (F.col("df1") - F.col("df") * share) ** 2 / (F.col("df") * (share * (1 - share) or 1.0))).orderBy(F.desc("chi"), "term").limit(4 * TERMS)
-    scored = [(ratio(n, n1, r.df, r.df1), r.term, r.df) for r in apart.collect()]
-    chosen = sorted((x for x in scored if x[0] >= least), key=lambda x: (-x[0], x[1]))[:TERMS]
-    idf = {t: math.log(1 + n / df) for _, t, df in chosen}
-    spark = docs.sparkSession
-    known = spark.createDataFrame([(t,) for t in idf], "term string")
-    vectors: dict[object, dict[str, int]] = {i: {} for i in each}
-    for r in rows.join(F.broadcast(known), "term").select("doc_id", "term", "tf").collect():
-        vectors[r.doc_id][r.term] = r.tf
-    index = Index(idf, [(i, each[i], vectors[i]) for i in sorted(each)])
-    index.calibrate()
+    got = arrow_rows(labelled_texts(docs, sample)).mapInArrow(example_batches, f"doc_id {kind}, y int, digest long, terms array<long>, counts array<long>").toArrow()
+    lists = [[x.values.to_numpy() for x in got.column(c)] for c in ("terms", "counts")]
+    examples = []
+    ids, ys, digests = (got.column(c).to_pylist() for c in ("doc_id", "y", "digest"))
+    for k, v in enumerate(zip(ids, ys, digests, strict=True)):
+        examples.append((*v, lists[0][k].view(np.uint64), lists[1][k]))
+    examples.sort(key=lambda e: e[0])
+    index = Index(examples)
+    by_id = {e[0]: e[3:] for e in examples}
+    index.calibrate([by_id[i] for i in index.ids])
     return index
 
 
 def score_batches(index: Index, names: tuple[str, str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = set(index.idf)
-        blank = index.score({})
         for batch in batches:
-            told = []
-            for text in batch.column("text").to_pylist():
-                counts = Counter([t for t in terms_of(text) if t in known])
-                told.append(index.score(counts) if counts else blank)
-            scores = pa.array([s for s, _ in told], pa.float64())
-            evidence = pa.array([[{"doc_id": str(index.ids[i]), "similarity": s, "label": int(index.labels[i])} for s, i in near[:SHOWN]] for _, near in told], pa.list_(pa.struct([("doc_id", pa.string()), ("similarity", pa.float64()), ("label", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores, evidence], [*batch.schema.names, *names])
+            texts = batch.column("text").to_pylist()
+            told, cosines, near = index.scores([digest(t) for t in texts], list(terms_of(texts)))
+            scores = pa.array(told, pa.float64())
+            evidence = [[{"doc_id": str(index.ids[i]), "similarity": s, "label": int(index.labels[i])} for s, i in zip(c, n, strict=True) if i >= 0] for c, n in zip(cosines[:, :SHOWN].tolist(), near[:, :SHOWN].tolist(), strict=True)]
+            kind = pa.list_(pa.struct([("doc_id", pa.string()), ("similarity", pa.float64()), ("label", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores, pa.array(evidence, kind)], [*batch.schema.names, *names])
 
     return run
 
@@ -207,9 +254,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted, evidence.
 
     Whole texts are scored; null and empty texts, and texts without a known term, get
-    the score of a text that is like no example. Labels of the held-out fold are not
-    read. Without any labels, or with one class only, the score is the share of label
-    1. Rows that repeat each give a row; other columns are ignored.
+    the score of a text that is like no example. Labels of the held-out fold, and of
+    ids without a document, are not used; of an id with several texts the least is the
+    example. Without any labels, or with one class only, the score is the share of
+    label 1. Rows that repeat each give a row; other columns are ignored.
     """
     index = fit(docs, labels)
     out = scored(docs.select("doc_id", "text"), index)

@@ -5,8 +5,14 @@ weighed down by the share of characters and tags that are links. The element
 whose children have the largest sum of densities is the core of the page; the
 least density on the path from body to it is the threshold. Below every element
 that reaches the threshold, with all that contain it, the subtree with the largest
-sum is content. Menus, notices, adverts and the like, where tags or names say so,
-are counted for the page's share of links but are never content.
+sum is content.
+
+Menus, notices, adverts and the like are marked by their tag, role or a word of
+their name. A mark does not drop an element: its characters and tags count as
+links, so its density falls to nothing and that of all around it falls too. Marks
+that would leave next to no text of a page belong to wrappers; they are taken
+back, the largest element first. Only what a reader cannot see as text (scripts,
+styles, controls of forms, embedded media) goes by its tag alone.
 """
 
 from __future__ import annotations
@@ -38,58 +44,91 @@ ENDS = {
     "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"}),
 }
 
-#: Elements that are never content, by tag, role, or a word of their class or id.
-NEVER_TAG = frozenset("nav footer aside form button select textarea script style noscript template iframe svg canvas object audio video head title menu dialog".split())
-NEVER_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
-NEVER_WORD = frozenset(
+#: Elements without text to read: code, embedded media and the controls of forms.
+NEVER_TAG = frozenset("button select textarea script style noscript template iframe svg canvas object audio video head title".split())
+#: Marks, by tag, role, or a word of a class or id.
+MARK_TAG = frozenset("nav footer aside form menu dialog".split())
+MARK_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
+MARK_WORD = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer comment comments cookie cookies consent gdpr notice notices popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login pagination pager toolbar widget disqus respond replies".split()
 )
-#: These only outside an article: inside it they hold its title.
-NEVER_OUTSIDE = frozenset(("header", "masthead"))
+#: Names with one of these words tell how a page is laid out, not what an element is.
+STATE_WORD = frozenset("no not non has with without free open closed enabled disabled is".split())
+#: These mark only outside an article: inside it they hold its title.
+MARK_OUTSIDE = frozenset(("header", "masthead"))
 MAIN = frozenset(("article", "main"))
+#: Marks are taken back until at least this share of the text outside links is unmarked.
+LEAST_UNMARKED = 0.05
 #: Elements that can hold an article; paragraphs, headings, items and inline elements only add to their densities.
-CONTAINER = frozenset("article blockquote body center details div main section table tbody td".split())
+CONTAINER = frozenset("article blockquote body center details div form main section table tbody td".split())
 
 
 class Page:
     """The tree of a page: for each element its parent, tag and counts, and the texts in page order."""
 
-    def __init__(self, source: str) -> None:
-        self.parent, self.tag, self.dropped, self.in_main = [-1], [""], [False], [False]
+    def __init__(self, source: str, marks: bool = True) -> None:
+        self.parent, self.tag, self.dropped, self.in_main, self.marked = [-1], [""], [False], [False], [False]
         self.chars, self.tags, self.link_chars, self.link_tags = [0], [0], [0], [0]
         self.texts: list[tuple[int, int, str]] = []  # element, block, text
-        self.body, self.all_chars, self.all_link_chars = 0, 0, 0
+        self.body = 0
         self._parse(source)
+        self._settle_marks(marks)
         for i in range(len(self.parent) - 1, 0, -1):  # children stand after their parents
             p = self.parent[i]
             if not self.dropped[i]:
                 self.chars[p] += self.chars[i]
                 self.tags[p] += self.tags[i] + 1
                 self.link_chars[p] += self.link_chars[i]
-                self.link_tags[p] += self.link_tags[i] + (self.tag[i] == "a")
+                self.link_tags[p] += self.link_tags[i] + (self.marked[i] or self.tag[i] == "a")
+        self.all_chars, self.all_link_chars = self.chars[0], self.link_chars[0]
+
+    def _settle_marks(self, marks: bool) -> None:
+        """Take back the marks of wrappers, then count all below a mark as links."""
+        n = len(self.parent)
+        plain = [c - lc for c, lc in zip(self.chars, self.link_chars, strict=True)]
+        for i in range(n - 1, 0, -1):
+            if not self.dropped[i]:
+                plain[self.parent[i]] += plain[i]
+        own = self.marked if marks else [False] * n
+        while True:
+            below, outer = [False] * n, []
+            for i in range(1, n):
+                up = below[self.parent[i]]
+                below[i] = up or own[i]
+                if own[i] and not up and plain[i] and not self.dropped[i]:
+                    outer.append(i)
+            if not outer or plain[0] - sum(plain[i] for i in outer) >= LEAST_UNMARKED * plain[0]:
+                break
+            own[max(outer, key=lambda i: (plain[i], -i))] = False
+        self.marked = below
+        for i in range(1, n):
+            if below[i]:
+                self.link_chars[i] = self.chars[i]
 
     def _add(self, tag: str, attrs: str, up: int) -> int:
         self.parent.append(up)
         self.tag.append(tag)
         self.in_main.append(self.in_main[up] or tag in MAIN)
-        self.dropped.append(self.dropped[up] or self._never(tag, attrs, self.in_main[up]))
+        self.dropped.append(self.dropped[up] or tag in NEVER_TAG)
+        self.marked.append(self._mark(tag, attrs, self.in_main[up]))
         for counts in (self.chars, self.tags, self.link_chars, self.link_tags):
             counts.append(0)
         return len(self.parent) - 1
 
     @staticmethod
-    def _never(tag: str, attrs: str, in_main: bool) -> bool:
-        if tag in NEVER_TAG or (tag in NEVER_OUTSIDE and not in_main):
+    def _mark(tag: str, attrs: str, in_main: bool) -> bool:
+        if tag in MARK_TAG or (tag in MARK_OUTSIDE and not in_main):
             return True
         if not attrs or tag in ("body", "html", "article", "main"):
             return False
         for name, value in _ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id"):
-                words = set(re.split(r"[^a-z]+", value))
-                if words & NEVER_WORD or (not in_main and words & NEVER_OUTSIDE):
-                    return True
-            elif (name == "role" and value in NEVER_ROLE) or name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
+                for one in value.split():
+                    words = set(re.split(r"[^a-z]+", one))
+                    if not words & STATE_WORD and (words & MARK_WORD or (not in_main and words & MARK_OUTSIDE)):
+                        return True
+            elif (name == "role" and value in MARK_ROLE) or name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                 return True
         return False
 
@@ -104,8 +143,6 @@ class Page:
                 if "&" in text:
                     text = html.unescape(text)
                 n = len(text.strip())
-                self.all_chars += n
-                self.all_link_chars += n if links else 0
                 if not self.dropped[here]:
                     self.chars[here] += n
                     self.link_chars[here] += n if links else 0
@@ -189,7 +226,7 @@ class Page:
             i = self.parent[i]
         reached, content = [False] * n, [False] * n
         for i in range(root, n):
-            if self.dropped[i] or (i != root and not reached[self.parent[i]] and not content[self.parent[i]]):
+            if self.dropped[i] or self.marked[i] or (i != root and not reached[self.parent[i]] and not content[self.parent[i]]):
                 continue
             if i == root or reached[self.parent[i]]:
                 reached[i] = density[i] >= threshold and self.chars[i] > 0
@@ -198,7 +235,7 @@ class Page:
             content[i] = content[i] or content[max(self.parent[i], 0)]
         blocks: dict[int, list[str]] = {}
         for node, block, text in self.texts:
-            if content[node]:
+            if content[node] and not self.marked[node]:
                 blocks.setdefault(block, []).append(text)
         joined = (" ".join("".join(parts).split()) for _, parts in sorted(blocks.items()))
         return "\n\n".join(x for x in joined if x)

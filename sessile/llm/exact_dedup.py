@@ -3,20 +3,26 @@
 The index is a Spark table, bucketed and sorted by the digest of the normalised
 text. A new batch is first reduced to one row per digest (partial aggregation, so
 thousands of copies cost one row a task), then anti-joined with the index, which
-is read in its buckets and so is not shuffled, and the survivors are appended.
+is read in its buckets and so is not shuffled, and the survivors are appended. A
+table without an index of its own goes through a new one in batches by rising id,
+so that of equal texts the smallest id stays; that index is dropped at the end.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from sessile.llm.common import SPACE, stored, table, text_or_empty
 
 #: A group with over this share of a batch's rows is hot; there are fewer than 1,000 of them.
 HOT_SHARE = 1 / 1000
+#: Batches in which a whole table goes through a new index.
+BATCHES = 4
 
 
 def normalised(text: Column) -> Column:
@@ -44,6 +50,9 @@ class DigestIndex:
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
+    def _save(self, rows: DataFrame) -> None:
+        rows.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+
     def append(self, digested: DataFrame, batch: int) -> DataFrame:
         """Add the digests that are new. Returns the batch's groups: digest, first_id, group_size.
 
@@ -51,12 +60,11 @@ class DigestIndex:
         that an earlier batch has keep the earlier row.
         """
         groups = stored(digested.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("group_size")), "digest-groups")
-        fresh = groups
-        if self.exists():
-            fresh = groups.hint("merge").join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
-        (fresh.select("digest", F.col("first_id").alias("keep_id"), F.lit(batch).alias("batch"))
-            .repartition(self.buckets, "digest").sortWithinPartitions("digest")
-            .write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name))
+        if not self.exists():
+            kind = digested.schema["doc_id"].dataType.simpleString()
+            self._save(self.spark.createDataFrame([], f"digest binary, keep_id {kind}, batch int"))
+        fresh = groups.hint("merge").join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
+        self._save(fresh.select("digest", F.col("first_id").alias("keep_id"), F.lit(batch).alias("batch")).repartition(self.buckets, "digest").sortWithinPartitions("digest"))
         return groups
 
     def resolve(self, digested: DataFrame, groups: DataFrame) -> DataFrame:
@@ -79,18 +87,35 @@ class DigestIndex:
         return both[0].unionByName(both[1]).select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & F.col("own")).alias("kept"), "digest")
 
 
+def in_batches(digested: DataFrame, batches: int) -> list[DataFrame]:
+    """The rows in batches of about one size by rising doc_id, null ids last; ids that are not numbers make one batch."""
+    if batches < 2 or not isinstance(digested.schema["doc_id"].dataType, NumericType):
+        return [digested]
+    cuts = sorted(set(digested.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)))
+    # The number of cuts at or below the id; a null id is beyond all of them.
+    at = F.coalesce(sum((F.col("doc_id") > c).cast("int") for c in cuts), F.lit(len(cuts))) if cuts else F.lit(0)
+    return [digested.filter(at == k) for k in range(len(cuts) + 1)]
+
+
 def dedup(docs: DataFrame, index: DigestIndex | None = None, batch: int = 0) -> DataFrame:
     """Per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Null texts count as empty, and empty texts equal each other. Rows of one doc_id
     with equal texts share their fate. An empty table gives no rows; extra columns
-    are ignored. Without an index the batch gets a new one.
+    are ignored. With an index the documents are its next batch; without one they go
+    through a new index in BATCHES batches.
     """
-    spark = docs.sparkSession
-    index = index or DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
     digested = stored(digests(docs), "digests")
-    groups = index.append(digested, batch)
-    return index.resolve(digested, groups).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    if index is not None:
+        out = index.resolve(digested, index.append(digested, batch))
+    else:
+        index = DigestIndex(docs.sparkSession, f"digest_index_{uuid.uuid4().hex}")
+        try:
+            groups = reduce(DataFrame.unionByName, [index.append(part, k) for k, part in enumerate(in_batches(digested, BATCHES))])
+            out = index.resolve(digested, groups.groupBy("digest").agg(F.min("first_id").alias("first_id"), F.sum("group_size").alias("group_size")))
+        finally:
+            index.drop()
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

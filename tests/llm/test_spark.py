@@ -112,13 +112,34 @@ def test_digest_index_persists(spark):
     index.drop()
 
 
+def test_whole_tables_go_through_the_index_in_batches(spark, monkeypatch):
+    seen = []
+    append = exact_dedup.DigestIndex.append
+
+    def noted(self, digested, batch):
+        groups = append(self, digested, batch)
+        seen.append((batch, groups.count(), self.rows().filter(f"batch = {batch}").count()))
+        return groups
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "append", noted)
+    docs = spark.createDataFrame([(i, f"text {i % 30}") for i in range(100)] + [(None, "text 1"), (None, "own")], "doc_id long, text string")
+    got = exact_dedup.dedup(docs).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got if r.doc_id is not None} == {(i, i % 30, len(range(i % 30, 100, 30)) + (i % 30 == 1), i < 30) for i in range(100)}
+    assert {(r.keep_id, r.group_size, r.kept) for r in got if r.doc_id is None} == {(1, 5, False), (None, 1, True)}
+    # Later batches meet what earlier ones left, and add what is new alone.
+    assert len(seen) == exact_dedup.BATCHES and sum(s[1] for s in seen) > 31 == sum(s[2] for s in seen)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index_")]
+    texts = docs.withColumn("doc_id", F.format_string("%03d", "doc_id"))
+    assert texts.count() == exact_dedup.dedup(texts).count()
+
+
 def test_ngram_join(docs, rows):
     got = [tuple(r) for r in jaccard.join(docs).collect()]
     assert sorted(got, key=str) == sorted(brute_components(rows), key=str)
 
 
 def test_ngram_join_in_small_blocks(docs, rows, monkeypatch):
-    for name, value in (("BLOCK", 3), ("SMALL", 2), ("MANY", 2), ("SEEN", 0), ("TREE_GROUPS", 16), ("LEAF", 2)):
+    for name, value in (("BLOCK", 3), ("MANY", 2), ("SEEN", 0), ("TREE_GROUPS", 16), ("LEAF", 2)):
         monkeypatch.setattr(jaccard, name, value)
     got = [tuple(r) for r in jaccard.join(docs).collect()]
     assert sorted(got, key=str) == sorted(brute_components(rows), key=str)

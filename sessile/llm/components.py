@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sessile.llm.common import stored
@@ -18,11 +18,14 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         least = pairs.groupBy("u").agg(F.min("v").alias("m"))
         out = pairs.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.filter("a <> b").distinct()
+    return out.filter("a <> b")
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The distinct edges, written, and a mark of them: their number and a sum of their hashes, noted while writing."""
+    seen = Observation()
+    out = stored(edges.distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
+    return out, (seen.get["n"], seen.get["sum"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,11 +34,10 @@ def components(edges: DataFrame) -> DataFrame:
     Rounds end when the edge set repeats, which takes about the logarithm of the
     longest chain. Each round is written to the shared folder.
     """
-    now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = _mark(now)
+    now, mark = _written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     while mark[0]:
-        now = stored(_stars(_stars(now, True), False), "edges")
-        before, mark = mark, _mark(now)
+        before = mark
+        now, mark = _written(_stars(_stars(now, True), False))
         if before == mark:
             break
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +28,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one only where none is set (tests, one machine)."""
+    """This session's folder in the one that the cluster shares, removed when the driver ends; a temporary one only
+    where none is set (tests, one machine)."""
     sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = sc._sessile_work = getattr(sc, "_sessile_work", None) or tempfile.mkdtemp(prefix="spark-work-")
-    return found
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    known = sc._sessile_work = getattr(sc, "_sessile_work", {})
+    if shared not in known:
+        known[shared] = f"{shared or tempfile.mkdtemp(prefix='spark-work-')}/sessile-{uuid.uuid4().hex}"
+        atexit.register(_remove, sc, known[shared])
+    return known[shared]
+
+
+def _remove(sc: SparkContext, path: str) -> None:
+    if sc._jsc is not None:  # a session that was stopped has no way to its files any more
+        folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(sc._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -82,11 +95,30 @@ def ship(spark: SparkSession) -> None:
         sc._sessile_sent = True
 
 
-def arrow_rows(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """Make a frame ready for Python: so many rows at once at most, so that long texts fit a worker's memory."""
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows and about so many bytes at most."""
+    for batch in batches:
+        step = max(1, min(rows, rows if batch.nbytes <= size else batch.num_rows * size // batch.nbytes))
+        for at in range(0, max(batch.num_rows, 1), step):
+            yield batch.slice(at, step)
+
+
+class ArrowRows:
+    """A frame whose batches reach Python functions in parts of bounded size, so that long texts fit a worker's memory."""
+
+    def __init__(self, df: DataFrame, rows: int) -> None:
+        self.df, self.rows = df, rows
+
+    def mapInArrow(self, function: Callable, schema: str) -> DataFrame:  # noqa: N802
+        rows = self.rows
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            return function(in_slices(batches, rows))
+
+        return self.df.mapInArrow(run, schema)
+
+
+def arrow_rows(df: DataFrame, rows: int = 1000) -> ArrowRows:
+    """Make a frame ready for Python functions: at most so many rows at once. The session's settings stay as they are."""
     ship(df.sparkSession)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = df.sparkSession.conf
-    if int(conf.get(key, "10000")) != rows:
-        conf.set(key, str(rows))
-    return df
+    return ArrowRows(df, rows)

@@ -12,6 +12,7 @@ import datetime
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -277,11 +278,12 @@ def replace(text: str, feistel: Feistel, back: bool = False) -> tuple[str, list[
         if kind in _HAS and not _HAS[kind].search(text) or kind not in _HAS and not digits:
             continue
         for m in pattern.finditer(text):
-            if all(m.end() <= a or m.start() >= b for a, b, _, _ in found):
+            # Found spans stand in order and apart, so only the neighbours of the place can overlap.
+            k = bisect_left(found, (m.start(),))
+            if (k == 0 or found[k - 1][1] <= m.start()) and (k == len(found) or found[k][0] >= m.end()):
                 new = change(feistel, m, back)
                 if new is not None:
-                    found.append((m.start(), m.end(), kind, new))
-    found.sort()
+                    found.insert(k, (m.start(), m.end(), kind, new))
     out, at = [], 0
     for a, b, _, new in found:
         out += [text[at:a], new]

@@ -75,10 +75,12 @@ class Index:
     """
 
     def __init__(self, examples: list[tuple[object, int, int, np.ndarray, np.ndarray]]) -> None:
-        owner = np.repeat(np.arange(len(examples)), [len(e[3]) for e in examples])
+        owner = np.repeat(np.arange(len(examples), dtype=np.int32), [len(e[3]) for e in examples])
         flat = np.concatenate([e[3] for e in examples]) if examples else np.zeros(0, np.uint64)
-        tf = np.concatenate([e[4] for e in examples]) if examples else np.zeros(0, np.int64)
-        self.terms, of = np.unique(flat, return_inverse=True)
+        tf = np.concatenate([e[4] for e in examples]) if examples else np.zeros(0, np.int32)
+        self.terms = np.unique(flat)
+        of = np.searchsorted(self.terms, flat).astype(np.int32)
+        del flat
         labels = np.array([e[1] for e in examples], np.float64)
         self.n, self.share = len(examples), float(labels.mean()) if len(examples) else 0.0
         self.df = np.bincount(of, minlength=len(self.terms)).astype(np.float64)
@@ -95,23 +97,23 @@ class Index:
         self.ids = [examples[i][0] for i in order]
         self.labels = labels[order]
         self.own = {examples[i][2]: int(number[i]) for i in range(len(examples) - 1, -1, -1)}
-        weight = (1 + np.log(tf)) * self.weights(self.df, self.df1)[of]
+        weight = (1 + np.log(tf.astype(np.float32))) * self.weights(self.df, self.df1).astype(np.float32)[of]
         norm = np.sqrt(np.bincount(owner, weight**2, minlength=len(examples)))
-        weight /= np.where(norm > 0, norm, 1)[owner]
+        weight /= np.where(norm > 0, norm, 1).astype(np.float32)[owner]
         self.blocks = -(-len(examples) // BLOCK)
         top = np.argsort(-self.df, kind="stable")[:FREQUENT]
-        self.slot = np.full(len(self.terms), -1)
+        self.slot = np.full(len(self.terms), -1, np.int16)
         self.slot[top] = np.arange(len(top))
         # Weights of the frequent terms in all examples, with block maxima; of the others, lists in order of term and example.
         slot = self.slot[of]
-        self.frequent = np.zeros((self.blocks, len(top), BLOCK))
+        self.frequent = np.zeros((self.blocks, len(top), BLOCK), np.float32)
         at = np.flatnonzero(slot >= 0)
-        self.frequent[number[owner][at] // BLOCK, slot[at], number[owner][at] % BLOCK] = weight[at]
+        self.frequent[number[owner[at]] // BLOCK, slot[at], number[owner[at]] % BLOCK] = weight[at]
         self.most = np.ascontiguousarray(self.frequent.max(axis=2, initial=0).T)
         at = np.flatnonzero(slot < 0)
-        at = at[np.lexsort((number[owner][at], of[at]))]
-        self.example, self.weight = number[owner][at].astype(np.int32), weight[at].astype(np.float32)
-        self.first = np.searchsorted(of[at], np.arange(len(self.terms) + 1))
+        at = at[np.lexsort((number[owner[at]], of[at]))]
+        self.example, self.weight = number[owner[at]].astype(np.int32), weight[at]
+        self.first = np.searchsorted(of[at], np.arange(len(self.terms) + 1)).astype(np.int32)
         empty = np.bincount(owner, minlength=len(examples))[order] == 0 if len(examples) else np.zeros(0, bool)
         # What to expect of a text that shares no term with any example.
         self.prior = (self.labels[empty].sum() + 0.5 * self.share) / (empty.sum() + 0.5)
@@ -164,7 +166,7 @@ class Index:
                 break
             for b in np.unique(at[look]).tolist():
                 rows = np.flatnonzero(look & (at == b))
-                cosines = np.rint((part[rows, b] + query[rows] @ self.frequent[b]) * DIGITS).astype(np.int64)
+                cosines = np.rint((part[rows, b] + query[rows] @ self.frequent[b].astype(np.float64)) * DIGITS).astype(np.int64)
                 key = (cosines << NUMBER_BITS) + ((1 << NUMBER_BITS) - 1 - b * BLOCK - np.arange(BLOCK))
                 best[rows] = np.partition(np.concatenate([best[rows], np.where(cosines > 0, key, 0)], axis=1), -k, axis=1)[:, -k:]
         best = -np.sort(-best, axis=1)
@@ -210,7 +212,7 @@ def example_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         texts = batch.column("text").to_pylist()
         found = list(terms_of(texts))
-        lists = [pa.array([f[k].view(np.int64) for f in found], pa.list_(pa.int64())) for k in (0, 1)]
+        lists = [pa.array([f[0].view(np.int64) for f in found], pa.list_(pa.int64())), pa.array([f[1].astype(np.int32) for f in found], pa.list_(pa.int32()))]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([digest(t) for t in texts], pa.int64()), *lists], ["doc_id", "y", "digest", "terms", "counts"])
 
 
@@ -218,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     """Learn weights, examples and the curve from a bounded sample outside the held-out fold."""
     sample = sample_of_labels(labels, "toxic", FOLDS, HELD_OUT, EXAMPLES)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = arrow_rows(labelled_texts(docs, sample)).mapInArrow(example_batches, f"doc_id {kind}, y int, digest long, terms array<long>, counts array<long>").toArrow()
+    got = arrow_rows(labelled_texts(docs, sample)).mapInArrow(example_batches, f"doc_id {kind}, y int, digest long, terms array<long>, counts array<int>").toArrow()
     lists = [[x.values.to_numpy() for x in got.column(c)] for c in ("terms", "counts")]
     examples = []
     ids, ys, digests = (got.column(c).to_pylist() for c in ("doc_id", "y", "digest"))

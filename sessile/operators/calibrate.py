@@ -44,11 +44,11 @@ def nearest_distance(train: DataFrame, queries: DataFrame, neighbours: int, bloc
             return pd.DataFrame({"id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
         x, y = np.stack(a["vector"]), np.stack(b["vector"])
         k = min(neighbours, len(y))
-        out = []
-        for row in x:
-            d = np.sqrt(((y - row) ** 2).sum(axis=1))
-            out.append(np.sort(np.partition(d, k - 1)[:k]))
-        return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), k), "distance": np.concatenate(out)})
+        # Squares from one matrix product tell the nearest few and some more; their distances are then taken exactly.
+        square = (x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None, :] - 2 * (x @ y.T)
+        some = np.argpartition(square, min(k + 8, len(y)) - 1, axis=1)[:, : k + 8]
+        exact = np.sqrt(((y[some] - x[:, None, :]) ** 2).sum(axis=2))
+        return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), k), "distance": np.sort(exact, axis=1)[:, :k].ravel()})
 
     pairs = q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInPandas(near, "id long, distance double")
     best = F.slice(F.array_sort(F.collect_list("distance")), 1, neighbours)  # a few values from each block

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,20 +15,24 @@ from sessile.functions.clean import draw
 def greedy_bins(groups: DataFrame, key: str, size: str, fractions: Sequence[float]) -> DataFrame:
     """[E1 Q3] (key, bin): groups by falling size (then falling key) each go to the bin that is furthest below its share, the first among equals.
 
-    The assignment is sequential, so the groups (sources, far fewer than rows) meet in
-    one array, in one task.
+    The assignment is sequential: the groups (sources, far fewer than rows) pass through
+    one task in order, which holds the loads of the bins alone.
     """
-    total = groups.agg(F.sum(size).alias("total"), F.array_sort(F.collect_list(F.struct((-F.col(size)).alias("s"), (-F.col(key)).alias("k")))).alias("order"))
-    shares = F.array(*[F.lit(float(f)) for f in fractions])
-    start = F.struct(F.array_repeat(F.lit(0.0), len(fractions)).alias("loads"), F.array().cast("array<int>").alias("bins"))
-
-    def step(acc: Column, x: Column) -> Column:
-        left = F.zip_with(shares, acc["loads"], lambda f, load: f * F.col("total") - load)
-        best = F.array_position(left, F.array_max(left)).cast("int")
-        return F.struct(F.transform(acc["loads"], lambda load, i: F.when(i == best - 1, load - x["s"]).otherwise(load)).alias("loads"), F.concat(acc["bins"], F.array(best - 1)).alias("bins"))
-
-    done = total.select("order", F.aggregate("order", start, step)["bins"].alias("bins"))
-    return done.select(F.inline(F.arrays_zip("order", "bins"))).select((-F.col("order.k")).alias(key), F.col("bins").alias("bin"))
+    total = groups.agg(F.sum(size).alias("_total"))
+    kind = groups.schema[key].dataType.simpleString()
+    shares = np.array([float(f) for f in fractions])
+
+    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        loads = np.zeros(len(shares))
+        for f in frames:
+            bins = []
+            for n, whole in zip(f["_size"].to_numpy(), f["_total"].to_numpy(), strict=True):
+                bins.append(int(np.argmax(shares * whole - loads)))
+                loads[bins[-1]] += n
+            yield pd.DataFrame({key: f[key], "bin": np.array(bins, np.int32)})
+
+    ordered = groups.select(F.col(key), F.col(size).alias("_size")).crossJoin(F.broadcast(total)).repartition(1).sortWithinPartitions(F.desc("_size"), F.desc(key))
+    return ordered.mapInPandas(assign, f"`{key}` {kind}, bin int")
 
 
 def ranked(frame: DataFrame, keys: Sequence[str], value: Column, bucket: Column, ties: Sequence[Column], name: str = "rank") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -44,10 +45,10 @@ def feature_rows(spark, sf_dir):
 FEATURES = ("gamma", "gd", "gp0", "score", "surface_size")
 
 
-def _model_rows(spark, sf_dir):
-    m = measurements(spark, sf_dir, with_id=False).withColumn("gp0", F.col("gp")).withColumn("surface_size", (F.col("surface_group_id") % 100).cast("double"))
+def _model_rows(spark, sf_dir, *more):
+    m = measurements(spark, sf_dir, with_id=bool(more)).withColumn("gp0", F.col("gp")).withColumn("surface_size", (F.col("surface_group_id") % 100).cast("double"))
     m = m.withColumn("physics", F.col("pred_a")).withColumn("residual", F.col("angle") - F.col("physics")).withColumn("fold", (draw(F.lit("m"), "source_group_id") % 3).cast("int"))
-    return m.select("source_group_id", "v4_split", "solid_family", "angle", "pred_b", "physics", "residual", "fold", *FEATURES)
+    return m.select("source_group_id", "v4_split", "solid_family", "angle", "pred_b", "physics", "residual", "fold", *FEATURES, *more)
 
 
 def _told(scored, *keys):
@@ -111,20 +112,21 @@ def subset_control(spark, sf_dir):
 
 
 def perm_importance(spark, sf_dir):
-    """[E18] Increase of the MAE when one feature's values are dealt anew among rows, over two draws."""
-    d = _model_rows(spark, sf_dir).withColumn("row", F.monotonically_increasing_id()).cache()
+    """[E18] Increase of the MAE when one feature's values are dealt anew among rows, over ten draws by the measurement's id."""
+    d = _model_rows(spark, sf_dir, "measurement_id").cache()
     model = features.ridge(FEATURES, 1.0, 1000).fit(d.filter("v4_split = 'train'"))
     test = d.filter("v4_split = 'validation'")
-    mae = lambda x: x.agg(F.avg(F.abs(F.col("angle") - F.col("physics") - F.col("prediction"))).alias("mae"))
-    base = mae(model.transform(test)).withColumnRenamed("mae", "base")
+    mae = F.avg(F.abs(F.col("angle") - F.col("physics") - F.col("prediction")))
+    base = model.transform(test).agg(mae.alias("base"))
+    repeated = test.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(10))))
     out = None
     for f in FEATURES:
-        for repeat in (1, 2):
-            # Values move along the order of a draw within their source, so no task sees all rows.
-            w = Window.partitionBy("source_group_id").orderBy(draw(F.lit(f), F.lit(repeat), "row"), "row")
-            moved = test.withColumn("_v", F.coalesce(F.lag(f).over(w), F.last(f).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).withColumn(f, F.col("_v"))
-            one = mae(model.transform(moved)).crossJoin(base).select(F.lit(f).alias("feature"), F.lit(repeat).alias("repeat"), F.round(F.col("mae") - F.col("base"), 6).alias("increase"))
-            out = one if out is None else out.unionByName(one)
+        # Values move along the order of a draw within their source, so no task sees all rows.
+        group = Window.partitionBy("repeat", "source_group_id")
+        w = group.orderBy(draw(F.lit(f), "repeat", "measurement_id"), "measurement_id")
+        moved = repeated.withColumn("_v", F.coalesce(F.lag(f).over(w), F.last(f).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).withColumn(f, F.col("_v"))
+        one = model.transform(moved).groupBy("repeat").agg(mae.alias("mae")).crossJoin(F.broadcast(base)).select(F.lit(f).alias("feature"), "repeat", F.round(F.col("mae") - F.col("base"), 6).alias("increase"))
+        out = one if out is None else out.unionByName(one)
     return out
 
 
@@ -148,13 +150,12 @@ def batch_score(spark, sf_dir):
 def preprocessor_roundtrip(spark, sf_dir):
     """[M5 S6] A fitted scaler and vocabulary, stored as tables and read again, encode as before."""
     m = _rows(spark, sf_dir)
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="preprocessor-")  # the latter where none is set, on one machine
     scaler, vocabulary = features.fit_scaler(m, NUMERIC), features.fit_vocabulary(m, CATEGORIES)
-    if base:
-        path = f"{base}/preprocessor-{uuid.uuid4().hex}"
-        scaler.write.parquet(f"{path}/scaler")
-        vocabulary.write.parquet(f"{path}/vocabulary")
-        scaler, vocabulary = spark.read.parquet(f"{path}/scaler"), spark.read.parquet(f"{path}/vocabulary")
+    path = f"{base}/preprocessor-{uuid.uuid4().hex}"
+    scaler.write.parquet(f"{path}/scaler")
+    vocabulary.write.parquet(f"{path}/vocabulary")
+    scaler, vocabulary = spark.read.parquet(f"{path}/scaler"), spark.read.parquet(f"{path}/vocabulary")
     out = features.encoded(features.scaled(m, scaler, NUMERIC), F.broadcast(vocabulary), CATEGORIES)
     return out.groupBy("solid_family_code", "liquid_name_code").agg(F.count("*").alias("n"), F.round(F.avg("gamma_z"), 6).alias("gamma_z"))
 

@@ -47,7 +47,7 @@ def loso_index(spark, sf_dir):
 def leave_one_liquid(spark, sf_dir):
     """[E6] Metrics of a left-out liquid; training rows are those of surfaces' other liquids; folds may be infeasible."""
     m = measurements(spark, sf_dir, with_id=False).withColumn("observed", F.col("angle")).withColumn("predicted", F.col("pred_a"))
-    n = m.groupBy("liquid_name").agg(*metrics.regression())
+    n = evaluate.metrics_by(m, ["liquid_name"])
     own = m.groupBy("liquid_name").agg(F.count("*").alias("own"))
     total = m.agg(F.count("*").alias("rows"))
     f = own.crossJoin(F.broadcast(total)).select("liquid_name", (F.col("rows") - F.col("own")).alias("train_rows"), F.when(F.col("rows") - F.col("own") >= 20, "yes").otherwise("no").alias("feasible"))
@@ -61,7 +61,7 @@ def leave_one_group(spark, sf_dir):
     t = g.agg(F.sum("n").alias("rows"), F.sum("s").alias("total"))
     shift = g.crossJoin(F.broadcast(t)).filter(F.col("rows") - F.col("n") >= 20).select("solid_family", ((F.col("total") - F.col("s")) / (F.col("rows") - F.col("n"))).alias("shift"))
     d = m.join(F.broadcast(shift), "solid_family").select("solid_family", F.col("angle").alias("observed"), anchored("pred_a", "shift").alias("predicted"))
-    return d.groupBy("solid_family").agg(*metrics.regression())
+    return evaluate.metrics_by(d, ["solid_family"])
 
 
 def seeded_split(spark, sf_dir):
@@ -72,7 +72,7 @@ def seeded_split(spark, sf_dir):
 
 def _clusters(m, keys, cluster):
     g = m.groupBy(*keys, F.col(cluster).alias("cluster")).agg(F.count("*").alias("n"), F.sum(F.abs(F.col("angle") - F.col("pred_b"))).alias("ea"), F.sum(F.abs(F.col("angle") - F.col("pred_a"))).alias("eb"))
-    return g.withColumn("idx", (F.row_number().over(Window.partitionBy(*keys).orderBy("cluster")) - 1).cast("long"))
+    return folds.ranked(g, keys, F.col("cluster"), F.floor(F.col("cluster") / 4096), [], "idx").withColumn("idx", (F.col("idx") - 1).cast("long"))
 
 
 def cluster_bootstrap(spark, sf_dir):
@@ -94,9 +94,9 @@ def bootstrap_grid(spark, sf_dir):
 def balanced_resample(spark, sf_dir):
     """[M10] 10,000 draws: a source, evenly, then one of its rows, evenly."""
     m = measurements(spark, sf_dir)
-    rows = m.select("measurement_id", "source_group_id", (F.row_number().over(Window.partitionBy("source_group_id").orderBy("measurement_id")) - 1).cast("long").alias("row"))
+    rows = folds.ranked(m.select("measurement_id", "source_group_id"), ["source_group_id"], F.col("measurement_id"), F.shiftright("measurement_id", 20), [], "row").withColumn("row", (F.col("row") - 1).cast("long"))
     g = m.groupBy("source_group_id").agg(F.count("*").alias("n"))
-    s = g.withColumn("idx", (F.row_number().over(Window.orderBy("source_group_id")) - 1).cast("long"))
+    s = folds.ranked(g, [], F.col("source_group_id"), F.floor(F.col("source_group_id") / 4096), [], "idx").withColumn("idx", (F.col("idx") - 1).cast("long"))
     k = g.count()
     d = spark.range(1, 10001).select(F.col("id").alias("draw"), (draw(F.lit("s"), "id") % k).alias("idx"), draw(F.lit("r"), "id").alias("u"))
     return d.join(s, "idx").withColumn("row", F.col("u") % F.col("n")).join(rows, ["source_group_id", "row"]).select("draw", "measurement_id", "source_group_id")
@@ -174,14 +174,15 @@ def simplex_fusion(spark, sf_dir):
     """[E15] Weights of three experts on the simplex of least mean Huber loss: a coarse grid, then a finer one round its best, each in one pass."""
     m = measurements(spark, sf_dir, with_id=False).select("angle", "pred_a", "pred_b")
 
-    def best(grid):
-        loss = lambda a, b: F.avg(metrics.huber(F.col("angle") - (a / 20 * F.col("pred_a") + b / 20 * F.col("pred_b") + (20 - a - b) / 20 * 90.0)))
-        row = m.agg(*[F.round(loss(a, b), 6).alias(f"{a}_{b}") for a, b in grid]).first().asDict()
-        return min((v, tuple(map(int, k.split("_")))) for k, v in row.items())
+    def losses(grid):
+        # Summed as decimals, so that the order of rows does not show in the sixth digit.
+        loss = lambda a, b: F.sum(metrics.huber(F.col("angle") - (a / 20 * F.col("pred_a") + b / 20 * F.col("pred_b") + (20 - a - b) / 20 * 90.0)).cast("decimal(22,12)")).cast("double") / F.count("*")
+        row = m.agg(*[F.round(loss(a, b), 6).alias(f"{a}_{b}") for a, b in grid])
+        long = row.unpivot([], [f"{a}_{b}" for a, b in grid], "weights", "huber")
+        return long.select(*[F.split("weights", "_")[k].cast("int").alias(c) for k, c in enumerate("ab")], "huber").orderBy("huber", "a", "b").limit(1)
 
-    _, near = best(_weights(4))
-    value, (a, b) = best(_weights(1, near))
-    return spark.createDataFrame([(a / 20, b / 20, (20 - a - b) / 20, value)], "w_a double, w_b double, w_mean double, huber double")
+    near = losses(_weights(4)).first()
+    return losses(_weights(1, (near.a, near.b))).select((F.col("a") / 20).alias("w_a"), (F.col("b") / 20).alias("w_b"), ((20 - F.col("a") - F.col("b")) / 20).alias("w_mean"), "huber")
 
 
 def drop_expert(spark, sf_dir):
@@ -201,7 +202,7 @@ def novelty_strata(spark, sf_dir):
     liqs = other.filter("fold <> liquid_id % 4").select("fold", "liquid_id").distinct().withColumn("kl", F.lit(True))
     d = m.join(mats, ["fold", "material"], "left").join(F.broadcast(liqs), ["fold", "liquid_id"], "left")
     d = d.select(F.col("angle").alias("observed"), F.col("pred_a").alias("predicted"), novelty(F.coalesce("km", F.lit(False)), F.coalesce("kl", F.lit(False))).alias("stratum"))
-    return d.groupBy("stratum").agg(*metrics.regression())
+    return evaluate.metrics_by(d, ["stratum"])
 
 
 def case_selection(spark, sf_dir):
@@ -209,7 +210,10 @@ def case_selection(spark, sf_dir):
     m = measurements(spark, sf_dir).select("measurement_id", "surface_group_id", F.round(F.abs(F.col("angle") - F.col("pred_a")), 6).alias("error"))
     n = m.count()
     counts = m.groupBy("error").agg(F.count("*").alias("ties"))
-    below = counts.withColumn("upto", F.sum("ties").over(Window.orderBy("error")))
+    # Values are counted by bucket first, so that no task has them all.
+    counts = counts.withColumn("bucket", F.floor(F.col("error") * 64))
+    before = counts.groupBy("bucket").agg(F.sum("ties").alias("here")).withColumn("before", F.sum("here").over(Window.orderBy("bucket")) - F.col("here")).drop("here")
+    below = counts.join(before, "bucket").withColumn("upto", F.col("before") + F.sum("ties").over(Window.partitionBy("bucket").orderBy("error"))).drop("bucket", "before")
     d = m.join(below, "error").select("*", F.round((F.col("upto") - F.col("ties") + (F.col("ties") + 1) / 2) / n, 9).alias("rank"))
     out, used = None, None
     for target in (0.1, 0.5, 0.9):
@@ -247,7 +251,7 @@ GATES = (("mae", 18.0, "max"), ("rmse", 22.0, "max"), ("r2", 0.5, "min"), ("p90_
 def acceptance_gates(spark, sf_dir):
     """[Q13 Q14 Q18] Each split's metrics against thresholds, with its status."""
     m = measurements(spark, sf_dir, with_id=False).withColumn("observed", F.col("angle")).withColumn("predicted", F.col("pred_a"))
-    d = m.groupBy("v4_split").agg(*metrics.regression()).unpivot(["v4_split"], [k for k, _, _ in GATES], "metric", "value")
+    d = evaluate.metrics_by(m, ["v4_split"]).unpivot(["v4_split"], [k for k, _, _ in GATES], "metric", "value")
     t = spark.createDataFrame(list(GATES), "metric string, threshold double, kind string")
     d = d.join(F.broadcast(t), "metric").withColumn("pass", F.when(F.col("kind") == "max", F.col("value") <= F.col("threshold")).otherwise(F.col("value") >= F.col("threshold")))
     s = d.groupBy("v4_split").agg(F.when(F.bool_and("pass"), "accepted").otherwise("conditional").alias("status"))

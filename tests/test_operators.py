@@ -196,3 +196,28 @@ def test_bootstrap_of_equal_models_is_zero(spark):
     c = spark.createDataFrame([("all", i, 2, 3.0, 3.0) for i in range(5)], "scope string, idx long, n long, ea double, eb double")
     r = folds.bootstrap(c, ["scope"], 10, 1).first()
     assert (r.point, r.low, r.high, r.clusters) == (0.0, 0.0, 0.0, 5)
+
+
+def test_metrics_by_equals_the_aggregates(spark):
+    import random
+
+    from sessile.functions import metrics
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(3), round(rng.uniform(0, 180), rng.randrange(3)), rng.choice([None, 90.0, round(rng.uniform(0, 180), 1)])) for _ in range(400)]
+    rows += [("one", 0, 10.0, 12.0), ("none", 0, 10.0, None), ("flat", 0, 5.0, 5.0), ("flat", 0, 5.0, 5.0), ("level", 0, 5.0, 6.0), ("level", 0, 5.0, 7.0)]
+    d = spark.createDataFrame(rows, "k string, j int, observed double, predicted double")
+    for keys in (["k", "j"], ["k"], []):
+        for flag in (False, True):
+            want = d.groupBy(*keys).agg(*metrics.regression(one_row_r2=flag)).collect()
+            got = evaluate.metrics_by(d, keys, least=0, one_row_r2=flag).collect()
+            assert len(got) == len(want)
+            key = lambda r, keys=keys: str([r[k] for k in keys])
+            for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+                assert a.asDict().keys() == b.asDict().keys()
+                for c in b.asDict():
+                    assert a[c] == (pytest.approx(b[c], abs=1e-6) if isinstance(b[c], float) else b[c]), (keys, c, a, b)
+    assert evaluate.metrics_by(d, ["k"], least=3).filter("n < 3").count() == 0
+    assert evaluate.metrics_by(d.limit(0), ["k"]).count() == 0
+    rough = d.groupBy("k").agg(*metrics.regression(accuracy=1000)).filter("k = 'a'").first()
+    assert rough.median_ae == pytest.approx(d.filter("k = 'a'").groupBy("k").agg(*metrics.regression()).first().median_ae, rel=0.1)

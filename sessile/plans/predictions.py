@@ -62,10 +62,10 @@ def common_subset(spark, sf_dir):
 def split_and_all(spark, sf_dir):
     """[A17] Metrics by split and over all splits, with the share of predictions at the bounds."""
     d = long(spark, sf_dir, "v4_split")
-    d.createOrReplaceTempView("long_predictions")
+    d = d.withColumn("v4_split", F.explode(F.array("v4_split", F.lit("all"))))
     clipped = F.round(F.avg(((F.col("predicted") == 0) | (F.col("predicted") == 180)).cast("double")), 6).alias("clipped")
-    sets = d.groupingSets([[F.col("model"), F.col("v4_split")], [F.col("model")]], F.col("model"), F.col("v4_split"))
-    return sets.agg(*metrics.regression(), clipped).withColumn("v4_split", F.coalesce("v4_split", F.lit("all")))
+    keys = ["model", "v4_split"]
+    return ev.metrics_by(d, keys).join(d.groupBy(*keys).agg(clipped), keys)
 
 
 def micro_macro(spark, sf_dir):

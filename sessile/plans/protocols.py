@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -11,7 +13,7 @@ from sessile import sources as src
 from sessile.functions import clean as c
 from sessile.functions import physics
 from sessile.functions.clean import anchored, draw
-from sessile.operators import calibrate, evaluate, folds, joins
+from sessile.operators import calibrate, evaluate, extract, folds, joins
 from sessile.plans.predictions import METRICS
 from sessile.plans.validation import _boot, _C0, _clusters, _D
 from sessile.roles import SQL, measurements, table
@@ -267,7 +269,45 @@ def checked_lookup(spark, sf_dir):
     return d.groupBy("n_name", "c_mktsegment").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-_OWN = "loso_folds loso_baselines strict_leave_one_liquid bootstrap_full balanced_rows oof_completeness metric_recheck overwrite_guard provenance_gate star_checks before_after conformal_final physics_features legacy_fields impute_scale feature_vector star_tables merge_staged recurate_rows checked_lookup"
+def article_tables(spark, sf_dir):
+    """[S5 S5a S5b] Orders written as articles with tables of angles, and read back: kept and rejected cells by liquid and reason."""
+    line = table(spark, sf_dir, "lineitem")
+    q, n = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber").cast("string")
+    kind = F.col("l_partkey") % 5
+    first = F.when(kind == 0, F.concat(q, F.lit(" ± "), n)).when(kind == 1, F.concat(q, F.lit(" ("), n, F.lit(")"))).when(kind == 2, F.concat(F.lit("<i> "), q, F.lit("</i>"))).when(kind == 3, F.concat(q, F.lit("-"), F.lit("120"))).otherwise("n.d.")
+    second = F.when(F.col("l_suppkey") % 3 == 0, "").otherwise((F.col("l_quantity").cast("int") * 2).cast("string"))
+    cell = lambda x: F.concat(F.lit('<td align="left">'), x, F.lit("</td>"))
+    row = F.concat(F.lit("<tr>"), cell(F.concat(F.lit("P"), F.col("l_partkey").cast("string"))), F.when(F.col("l_partkey") % 7 == 0, "").otherwise(F.concat(cell(first), cell(second))), F.lit("</tr>"))
+    head = "<article><table-wrap id='t1'><caption><p>Contact <b>angles</b> measured</p></caption><table><tr><th>Part</th><th>Water</th><th>Formamide</th></tr>"
+    tail = "</table></table-wrap><table-wrap><caption>Costs</caption><table><tr><td>a</td><td>1</td><td>2</td></tr></table></table-wrap></article>"
+    docs = line.select("l_orderkey", row.alias("row")).groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.concat(F.lit(head), F.array_join(F.sort_array(F.collect_list("row")), ""), F.lit(tail)).alias("xml"))
+    spec = spark.createDataFrame([("contact angles", 1, 3, "water", 1), ("contact angles", 1, 3, "formamide", 2)], "caption string, skip int, least int, liquid string, cell int")
+    found = extract.extract_tables(docs, spec)
+    return found.groupBy("liquid", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"), F.round(F.coalesce(F.sum("value"), F.lit(0.0)), 2).alias("total"), F.round(F.coalesce(F.sum("deviation"), F.lit(0.0)), 2).alias("deviations"))
+
+
+def star_files(spark, sf_dir):
+    """[S1 S2 S6] Five tables of the star written as CSV with a byte order mark, and read back: rows and a fingerprint of each."""
+    m = measurements(spark, sf_dir)
+    text = lambda *columns: [F.col(x).cast("string").alias(x) for x in columns]
+    tables = {
+        "sources": m.select(*text("source_group_id")).distinct(),
+        "surfaces": m.groupBy("surface_group_id").agg(F.max("solid_family").alias("solid_family")).select(*text("surface_group_id", "solid_family")),
+        "liquids": m.select(*text("liquid_id", "liquid_name")).distinct(),
+        "measurements": m.select(*text("measurement_id", "surface_group_id", "liquid_id")),
+        "splits": m.select(*text("measurement_id", "v4_split")),
+    }
+    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='star-')}/star-{uuid.uuid4().hex}"  # the latter where none is set, on one machine
+    out = []
+    for name, d in tables.items():
+        marked = d.withColumnRenamed(d.columns[0], "\ufeff" + d.columns[0])
+        src.write_table(marked, f"{base}/{name}.csv", marked.columns)
+        back = src.read_table(spark, f"{base}/{name}.csv")
+        out.append(back.agg(F.lit(name).alias("table"), F.lit(",".join(back.columns)).alias("header"), F.count("*").alias("n"), F.sum(draw(F.concat_ws("|", *d.columns))).alias("fingerprint")))
+    return _union(out)
+
+
+_OWN = "article_tables star_files loso_folds loso_baselines strict_leave_one_liquid bootstrap_full balanced_rows oof_completeness metric_recheck overwrite_guard provenance_gate star_checks before_after conformal_final physics_features legacy_fields impute_scale feature_vector star_tables merge_staged recurate_rows checked_lookup"
 QUERIES = {k: globals()[k] for k in _OWN.split()}
 
 
@@ -282,6 +322,13 @@ _RATIO = "CASE WHEN {b} > 0 THEN {a} / ({b}) ELSE 0 END"
 _DEG = "round(degrees(acos(greatest(least({}, 1), -1))), 5)"
 _W = "least(greatest((" + _RATIO.format(a="p", b="d + p") + " + " + _RATIO.format(a="gp", b="gd + gp") + ") / 2, 0.4::DOUBLE), 0.6::DOUBLE)"
 ORACLES = {
+    "article_tables": """WITH x AS (SELECT 'water' AS liquid, CASE WHEN l_partkey % 7 = 0 THEN 'too_few_cells' WHEN l_partkey % 5 = 3 THEN 'range' WHEN l_partkey % 5 = 4 THEN 'unparsed' ELSE 'kept' END AS reason, l_quantity::INT AS v, CASE WHEN l_partkey % 5 < 2 THEN l_linenumber END AS d FROM lineitem
+UNION ALL SELECT 'formamide', CASE WHEN l_partkey % 7 = 0 THEN 'too_few_cells' WHEN l_suppkey % 3 = 0 THEN 'empty' ELSE 'kept' END, l_quantity::INT * 2, NULL FROM lineitem)
+SELECT liquid, reason, count(*) AS n, coalesce(sum(CASE WHEN reason = 'kept' THEN v END), 0)::DOUBLE AS total, coalesce(sum(CASE WHEN reason = 'kept' THEN d END), 0)::DOUBLE AS deviations FROM x GROUP BY ALL""",
+    "star_files": SQL + """, u AS (SELECT DISTINCT 'sources' AS t, 'source_group_id' AS h, source_group_id::VARCHAR AS key FROM m UNION ALL SELECT 'surfaces', 'surface_group_id,solid_family', surface_group_id || '|' || max(solid_family) FROM m GROUP BY surface_group_id
+UNION ALL SELECT DISTINCT 'liquids', 'liquid_id,liquid_name', liquid_id || '|' || liquid_name FROM m UNION ALL SELECT 'measurements', 'measurement_id,surface_group_id,liquid_id', measurement_id || '|' || surface_group_id || '|' || liquid_id FROM m
+UNION ALL SELECT 'splits', 'measurement_id,v4_split', measurement_id || '|' || v4_split FROM m)
+SELECT t AS "table", h AS header, count(*) AS n, sum(('0x' || substr(md5(key), 1, 8))::BIGINT)::BIGINT AS fingerprint FROM u GROUP BY ALL""",
     "loso_folds": _DEV + f""" SELECT source_group_id, count(*) AS test_rows, count(*) FILTER (WHERE target_eligible = 'yes') AS eligible_rows, (SELECT count(*) FROM d) - count(*) AS train_rows, (SELECT count(DISTINCT source_group_id) FROM d) - 1 AS train_sources,
   CASE WHEN (SELECT count(DISTINCT source_group_id) FROM d) < 3 THEN 'too_few_sources' WHEN (SELECT count(*) FROM d) - count(*) < {LEAST_TRAIN} THEN 'too_few_rows' ELSE 'fold' END AS role FROM d GROUP BY 1""",
     "loso_baselines": _DEV + f""", f AS (SELECT source_group_id, (SELECT sum(r) FROM d) - sum(r) AS s, (SELECT count(*) FROM d) - count(*) AS n FROM d GROUP BY 1),

@@ -56,17 +56,24 @@ def decision_violations(decisions: DataFrame, active: DataFrame, replaced: DataF
     return twice.unionByName(pending).unionByName(unknown).unionByName(missing).unionByName(undecided).distinct()
 
 
-def duplicate_labels(frame: DataFrame, exact: Sequence[str], value: str, source: str, compat: bool = False, near: float = 1.0) -> DataFrame:
-    """[W2 W4] Rows of one key: exact duplicates agree in value, near ones lie within a distance, in several sources or one.
+def duplicate_groups(frame: DataFrame, exact: Sequence[str], value: str, source: str) -> DataFrame:
+    """[W2] Rows with their key's size, sources, range and values, and how many of its rows have the same value."""
+    groups = frame.groupBy(*exact).agg(F.count("*").alias("size"), F.count_distinct(source).alias("sources"), F.min(value).alias("low"), F.max(value).alias("high"), F.count_distinct(value).alias("values"))
+    same = frame.groupBy(*exact, value).agg(F.count("*").alias("same"))
+    return frame.join(groups, list(exact)).join(same.withColumnRenamed(value, "_v"), [*[frame[k] == same[k] for k in exact], F.col("_v").eqNullSafe(frame[value])]).drop(*[same[k] for k in exact])
+
+
+def duplicate_label(value: str, compat: bool = False, near: float = 1.0) -> Column:
+    """[W4] The label of a row of duplicate_groups.
 
     With compat, as some pipelines label them: every row with a value in a group of
     exact duplicates is called near; exact remains only where the value is null.
     """
-    groups = frame.groupBy(*exact).agg(F.count("*").alias("size"), F.count_distinct(source).alias("sources"), F.min(value).alias("low"), F.max(value).alias("high"), F.count_distinct(value).alias("values"))
-    same = frame.groupBy(*exact, value).agg(F.count("*").alias("same"))
-    out = frame.join(groups, list(exact)).join(same.withColumnRenamed(value, "_v"), [*[frame[k] == same[k] for k in exact], F.col("_v").eqNullSafe(frame[value])]).drop(*[same[k] for k in exact])
     if compat:
-        label = F.when(F.col("same") < 2, "unique").when(F.col(value).isNotNull(), "near_duplicate").otherwise("exact_duplicate")
-    else:
-        label = F.when(F.col("same") > 1, "exact_duplicate").when((F.col("size") > 1) & (F.col("high") - F.col("low") <= near), "near_duplicate").when(F.col("size") > 1, "repeated").otherwise("unique")
-    return out.withColumn("label", label).withColumn("across_sources", F.col("sources") > 1)
+        return F.when(F.col("same") < 2, "unique").when(F.col(value).isNotNull(), "near_duplicate").otherwise("exact_duplicate")
+    return F.when(F.col("same") > 1, "exact_duplicate").when((F.col("size") > 1) & (F.col("high") - F.col("low") <= near), "near_duplicate").when(F.col("size") > 1, "repeated").otherwise("unique")
+
+
+def duplicate_labels(frame: DataFrame, exact: Sequence[str], value: str, source: str, compat: bool = False, near: float = 1.0) -> DataFrame:
+    """[W2 W4] Rows of one key: exact duplicates agree in value, near ones lie within a distance, in several sources or one."""
+    return duplicate_groups(frame, exact, value, source).withColumn("label", duplicate_label(value, compat, near)).withColumn("across_sources", F.col("sources") > 1)

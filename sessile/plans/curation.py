@@ -53,12 +53,9 @@ def row_expectations(spark, sf_dir):
 def semantic_dups(spark, sf_dir):
     """[W2 W4 J5 P3] Labels of measurements that share liquid and solid name, in both modes."""
     m = measurements(spark, sf_dir).withColumn("solid", c.bare_token(F.concat_ws(" ", "solid_name", "surface_group_id"))).withColumn("value", F.when(F.col("score") < 11, F.round("angle", 6)))
-    rows = m.select("measurement_id", "solid", "liquid_id", "value", "source_group_id")
-    out = None
-    for compat in (False, True):
-        d = quality.duplicate_labels(rows, ["solid", "liquid_id"], "value", "source_group_id", compat).groupBy("label").agg(F.count("*").alias("n"), F.count_if("across_sources").alias("across")).withColumn("compat", F.lit(compat))
-        out = d if out is None else out.unionByName(d)
-    return out
+    found = quality.duplicate_groups(m.select("solid", "liquid_id", "value", "source_group_id"), ["solid", "liquid_id"], "value", "source_group_id")
+    modes = F.inline(F.array(*[F.struct(quality.duplicate_label("value", compat).alias("label"), F.lit(compat).alias("compat")) for compat in (False, True)]))
+    return found.select("sources", modes).groupBy("label", "compat").agg(F.count("*").alias("n"), F.count_if(F.col("sources") > 1).alias("across"))
 
 
 def multi_source_union(spark, sf_dir):

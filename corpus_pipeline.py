@@ -16,14 +16,22 @@ from sessile.llm.common import stored, table, unused, work_dir
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score stays below the threshold; labels come from the labels table."""
+    """Documents whose score stays below the threshold; labels come from the labels table.
+
+    Null and empty texts have the score of a text that is like no example. Rows of equal
+    text share their fate; without labels of both classes the share of label 1 decides
+    for all. An empty table stays empty.
+    """
     index = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     score, evidence = unused(docs, "_score"), unused(docs, "_evidence")
     return toxicity.scored(docs, index, score, evidence).filter(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for white space, the document of the smallest id (all rows of that id that are equal)."""
+    """Of texts that are equal but for white space, the document of the smallest id (all rows of that id that are equal).
+
+    Null ids come last; where all ids of a group are null, all its rows stay. Null texts count as empty.
+    """
     decided = exact_dedup.dedup(docs)
     # The digest tells apart rows that share an id but not a text.
     kid, digest, own = (unused(docs, c) for c in ("_id", "_digest", "_own"))
@@ -33,7 +41,10 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked texts: that of the smallest id."""
+    """One document of each group of linked texts: that of the smallest id.
+
+    Texts without words are linked with nothing and stay. Rows of one id with equal sets stay or go together.
+    """
     decided = jaccard.decided(docs)
     # The digest tells apart rows that share an id but not a set of shingles.
     gone, digest, own = (unused(docs, c) for c in ("_id", "_digest", "_own"))
@@ -42,12 +53,17 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them.
+
+    Texts without words, null ones included, have size 0 and are taken by the hash of
+    their id like others. A null source is a source, the last one. Rows of one id are
+    taken together; an empty table stays empty.
+    """
     return mixing.mixed_rows(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, with their digests."""
+    """Token ids, with their digests: one row for each row, a null or empty text has the end id alone."""
     out = pieces.encode(docs)
     return out.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"))
 
@@ -60,7 +76,7 @@ STAGES = [
     ("sentencepiece", encoded),
 ]
 
-#: SQL cannot say the first stage; tests compare the pipeline with a brute-force version.
+#: SQL cannot say the first stage; tests/llm compare each stage with a plain version of it.
 ORACLE_SQL = None
 
 

@@ -14,6 +14,7 @@ from sessile.functions import clean as c
 from sessile.functions import physics
 from sessile.functions.clean import anchored, draw
 from sessile.operators import calibrate, evaluate, extract, folds, joins
+from sessile.plans import fitting, predictions
 from sessile.plans.predictions import METRICS
 from sessile.plans.validation import _boot, _C0, _clusters, _D
 from sessile.roles import SQL, measurements, table
@@ -27,6 +28,11 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _folder(spark, name: str) -> str:
+    """A new folder in the shared one; a temporary one only where none is set, on one machine."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='sessile-')}/{name}-{uuid.uuid4().hex}"
+
+
 def loso_folds(spark, sf_dir):
     """[E3] Each development source held out once: rows and sources on both sides; external rows never take part, and three sources are the least."""
     g = measurements(spark, sf_dir, with_id=False).filter(DEVELOPMENT).groupBy("source_group_id").agg(F.count("*").alias("test_rows"), F.count_if(F.col("target_eligible") == "yes").alias("eligible_rows"))
@@ -297,7 +303,7 @@ def star_files(spark, sf_dir):
         "measurements": m.select(*text("measurement_id", "surface_group_id", "liquid_id")),
         "splits": m.select(*text("measurement_id", "v4_split")),
     }
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='star-')}/star-{uuid.uuid4().hex}"  # the latter where none is set, on one machine
+    base = _folder(spark, "star")
     out = []
     for name, d in tables.items():
         marked = d.withColumnRenamed(d.columns[0], "\ufeff" + d.columns[0])
@@ -307,7 +313,25 @@ def star_files(spark, sf_dir):
     return _union(out)
 
 
-_OWN = "article_tables star_files loso_folds loso_baselines strict_leave_one_liquid bootstrap_full balanced_rows oof_completeness metric_recheck overwrite_guard provenance_gate star_checks before_after conformal_final physics_features legacy_fields impute_scale feature_vector star_tables merge_staged recurate_rows checked_lookup"
+def rebuild_derived(spark, sf_dir):
+    """[Q2 J2 A14 J3 Q5] The derived tables built anew from the facts: samples by mode, fits by status, feasible rows, and the validation's counts."""
+    count = lambda name, key, d: d.groupBy(F.col(key).cast("string").alias("key")).agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "key", "n")
+    checks = star_checks(spark, sf_dir)
+    return _union([
+        count("samples", "mode", fitting.masked_samples(spark, sf_dir)), count("fits", "fit_status", fitting.nnls_fit(spark, sf_dir)), count("feasible", "feasible", fitting.fit_backfill(spark, sf_dir)),
+        checks.unpivot([], list(checks.columns), "key", "n").select(F.lit("validation").alias("table"), "key", "n"),
+    ])
+
+
+def report_files(spark, sf_dir):
+    """[S7] The metric report written as JSON, and read back."""
+    report = predictions.metrics_by_split(spark, sf_dir)
+    path = f"{_folder(spark, 'report')}/metrics.json"
+    src.write_report(report, path)
+    return src.read_table(spark, path, report.schema)
+
+
+_OWN = "rebuild_derived report_files article_tables star_files loso_folds loso_baselines strict_leave_one_liquid bootstrap_full balanced_rows oof_completeness metric_recheck overwrite_guard provenance_gate star_checks before_after conformal_final physics_features legacy_fields impute_scale feature_vector star_tables merge_staged recurate_rows checked_lookup"
 QUERIES = {k: globals()[k] for k in _OWN.split()}
 
 
@@ -388,3 +412,6 @@ x AS (SELECT source_group_id, decision, CASE WHEN decision = 'exclude' THEN 'exc
 SELECT source_group_id, decision, state, count(*) AS n, sum(('0x' || substr(md5(key), 1, 8))::BIGINT)::BIGINT AS keys, round(sum(v), 3) AS angles FROM x GROUP BY ALL""",
     "checked_lookup": "SELECT n_name, c_mktsegment, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL",
 }
+ORACLES["report_files"] = predictions.ORACLES["metrics_by_split"]
+ORACLES["rebuild_derived"] = f"""SELECT 'samples' AS "table", mode AS key, count(*) AS n FROM ({fitting.ORACLES['masked_samples']}) GROUP BY 2 UNION ALL SELECT 'fits', fit_status, count(*) FROM ({fitting.ORACLES['nnls_fit']}) GROUP BY 2
+UNION ALL SELECT 'feasible', feasible, count(*) FROM ({fitting.ORACLES['fit_backfill']}) GROUP BY 2 UNION ALL SELECT 'validation', key, n FROM (UNPIVOT ({ORACLES['star_checks']}) ON COLUMNS(*) INTO NAME key VALUE n)"""

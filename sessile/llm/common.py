@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -95,6 +97,15 @@ def ship(spark: SparkSession) -> None:
         sc._sessile_sent = True
 
 
+def give_back() -> None:
+    """Return what the driver's process has freed to the system, after a fit with large arrays."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def in_slices(batches: Iterator[pa.RecordBatch], rows: int, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in parts of so many rows and about so many bytes at most."""
     for batch in batches:
@@ -118,7 +129,18 @@ class ArrowRows:
         return self.df.mapInArrow(run, schema)
 
 
+#: Spark's own setting for rows of an Arrow batch, and ours in its place: whole texts in batches of 10,000 rows fill a worker's memory.
+DEFAULT_ROWS, BATCH_ROWS = "10000", "1000"
+
+
 def arrow_rows(df: DataFrame, rows: int = 1000) -> ArrowRows:
-    """Make a frame ready for Python functions: at most so many rows at once. The session's settings stay as they are."""
+    """Make a frame ready for Python functions: at most so many rows at once.
+
+    A session that has Spark's default for rows of an Arrow batch gets BATCH_ROWS, the
+    same for all operators; a setting of the user's own stays.
+    """
     ship(df.sparkSession)
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if conf.get(key, DEFAULT_ROWS) == DEFAULT_ROWS:
+        conf.set(key, BATCH_ROWS)
     return ArrowRows(df, rows)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessile.llm import tokens
-from sessile.llm.common import arrow_rows, fold, table
+from sessile.llm.common import arrow_rows, fold, give_back, table
 from sessile.llm.labels import labelled_texts, sample_of_labels
 
 FOLDS, HELD_OUT = 4, 2
@@ -41,7 +41,7 @@ BLOCK = 512
 #: So many of the most frequent terms have block maxima; the lists of the others are short.
 FREQUENT = 512
 #: Texts that are looked up at once.
-AT_ONCE = 128
+AT_ONCE = 64
 #: Cosines count to six digits; the number of an example stands in the lower bits of a key.
 DIGITS, NUMBER_BITS = 1e6, 20
 #: Neighbours shown as evidence.
@@ -87,13 +87,13 @@ class Index:
         self.df1 = np.bincount(of, labels[owner], minlength=len(self.terms))
         # Examples with like frequent terms stand together, so that blocks differ.
         frequent = np.argsort(-self.df, kind="stable")[:16]
-        place = np.full(len(self.terms), 16)
+        place = np.full(len(self.terms), 16, np.int8)
         place[frequent] = np.arange(len(frequent))
         has = np.zeros((len(examples), 17), bool)
         has[owner, place[of]] = True
         order = np.lexsort([np.arange(len(examples)), *[~has[:, k] for k in range(15, -1, -1)]])
-        number = np.empty(len(examples), np.int64)
-        number[order] = np.arange(len(examples))
+        number = np.empty(len(examples), np.int32)
+        number[order] = np.arange(len(examples), dtype=np.int32)
         self.ids = [examples[i][0] for i in order]
         self.labels = labels[order]
         self.own = {examples[i][2]: int(number[i]) for i in range(len(examples) - 1, -1, -1)}
@@ -112,7 +112,7 @@ class Index:
         self.most = np.ascontiguousarray(self.frequent.max(axis=2, initial=0).T)
         at = np.flatnonzero(slot < 0)
         at = at[np.lexsort((number[owner[at]], of[at]))]
-        self.example, self.weight = number[owner[at]].astype(np.int32), weight[at]
+        self.example, self.weight = number[owner[at]], weight[at]
         self.first = np.searchsorted(of[at], np.arange(len(self.terms) + 1)).astype(np.int32)
         empty = np.bincount(owner, minlength=len(examples))[order] == 0 if len(examples) else np.zeros(0, bool)
         # What to expect of a text that shares no term with any example.
@@ -230,6 +230,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     index = Index(examples)
     by_id = {e[0]: e[3:] for e in examples}
     index.calibrate([by_id[i] for i in index.ids])
+    del got, lists, examples, by_id
+    give_back()
     return index
 
 

@@ -273,3 +273,15 @@ def test_contexts_start_anew_in_each_text():
 
 def test_fold_matches_crc():
     assert zlib.crc32(b"12") % 7 == 0x4F5344CD % 7
+
+
+def test_slices_are_bounded_by_rows_and_bytes():
+    import pyarrow as pa
+
+    from sessile.llm.common import in_slices
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 1000] * 2500)], ["text"])
+    assert [b.num_rows for b in in_slices(iter([batch]), 1000)] == [1000, 1000, 500]
+    parts = list(in_slices(iter([batch]), 1000, 100_000))
+    assert sum(b.num_rows for b in parts) == 2500 and max(b.num_rows for b in parts) <= 100
+    assert [b.num_rows for b in in_slices(iter([batch.slice(0, 0)]), 1000)] == [0]

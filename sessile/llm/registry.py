@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sessile.llm import density, exact_dedup, jaccard, maxent, mixing, ogg, pieces, pseudonyms, quality, toxicity
+from sessile.llm import density, exact_dedup, jaccard, maxent, merkle, mixing, ogg, pieces, pseudonyms, quality, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_pii": pseudonyms.op8_pii,
     "op9_lm_scoring": maxent.op9_lm_scoring,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
 }
 ORACLES = {
     "op1_mixing": mixing.ORACLE,
     "op6_ngram_join": jaccard.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op12_merkle_manifest": merkle.ORACLE,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sessile.llm import density, exact_dedup, jaccard, maxent, merkle, mixing, ogg, pieces, pseudonyms, quality, spans, toxicity
+from sessile.llm import density, exact_dedup, jaccard, maxent, merkle, mixing, ogg, pieces, pseudonyms, quality, recurrent, spans, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_pii": pseudonyms.op8_pii,
     "op9_lm_scoring": maxent.op9_lm_scoring,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_language_id": recurrent.op11_language_id,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
     "op13_token_alignment": spans.op13_token_alignment,
 }

@@ -31,7 +31,7 @@ from sessile.llm.common import arrow_rows, stored, table
 from sessile.llm.pieces import MARK, PARTS
 
 #: Units that a worker remembers in each of two generations, and new ones that are encoded in one text.
-REMEMBERED, TOGETHER = 300_000, 2_000
+REMEMBERED, TOGETHER = 150_000, 2_000
 #: White space that no piece of several characters holds.
 _ALONE = r"\t\n\x0b\x0c"
 #: Letters with one space before; other marks up to a letter or a space; line ends up to a word (A has the last one apart if no space follows).
@@ -41,6 +41,8 @@ UNITS = regex.compile(rf"{_SIMPLE}|\s*\S+(?:[^\S {_ALONE}]\s*\S*)*|\s+")
 #: Units that mean the same between two line ends.
 PLAIN = regex.compile(rf" ?\p{{L}}+|[^\p{{L}}\p{{M}}\s'{MARK}]+")
 
+#: Texts that are aligned at once.
+ROWS = 200
 #: Pairs with more than this share of all links are sent to all tasks: fewer than 100,000 rows.
 FREQUENT_SHARE = 1 / 100_000
 
@@ -234,7 +236,7 @@ def spans(docs: DataFrame, a_path: str | None = None, b_path: str | None = None)
     """
     sent = docs.sparkSession.sparkContext.broadcast(tokenizer_files(a_path, b_path))  # two files, 5 MB, whatever the table
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_rows(docs.select("doc_id", "text")).mapInArrow(
+    return arrow_rows(docs.select("doc_id", "text"), ROWS).mapInArrow(
         align_batches(lambda: sent.value), f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<bigint>, times array<int>"
     )
 

@@ -162,7 +162,7 @@ class Network:
             part = slice(k, k + TOGETHER)
             step = np.arange(WINDOW)[:, None]
             inside = step < length[part]
-            x = np.where(inside, flat[np.minimum(begin[part] + step, len(flat) - 1)], PAD).astype(np.int64)
+            x = np.where(inside, flat[np.minimum(begin[part] + step, len(flat) - 1)].astype(np.int64), PAD)
             p_sum, n_sum = np.zeros((len(self.languages), x.shape[1]), np.float32), np.zeros((len(self.languages), x.shape[1]), np.int32)
             for t, p in self.positions(x):
                 p *= inside[t]

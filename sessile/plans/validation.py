@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sessile.functions import metrics
 from sessile.functions.clean import anchored, draw, novelty
-from sessile.operators import calibrate, evaluate, folds
+from sessile.operators import calibrate, evaluate, folds, fusion
 from sessile.plans.predictions import METRICS
 from sessile.roles import SQL, measurements, table
 
@@ -171,18 +171,17 @@ def _weights(step: int, near: tuple[int, int] | None = None, unit: int = 20):
 
 
 def simplex_fusion(spark, sf_dir):
-    """[E15] Weights of three experts on the simplex of least mean Huber loss: a coarse grid, then a finer one round its best, each in one pass."""
-    m = measurements(spark, sf_dir, with_id=False).select("angle", "pred_a", "pred_b")
-
-    def losses(grid):
-        # Summed as decimals, so that the order of rows does not show in the sixth digit.
-        loss = lambda a, b: F.sum(metrics.huber(F.col("angle") - (a / 20 * F.col("pred_a") + b / 20 * F.col("pred_b") + (20 - a - b) / 20 * 90.0)).cast("decimal(22,12)")).cast("double") / F.count("*")
-        row = m.agg(*[F.round(loss(a, b), 6).alias(f"{a}_{b}") for a, b in grid])
-        long = row.unpivot([], [f"{a}_{b}" for a, b in grid], "weights", "huber")
-        return long.select(*[F.split("weights", "_")[k].cast("int").alias(c) for k, c in enumerate("ab")], "huber").orderBy("huber", "a", "b").limit(1)
-
-    near = losses(_weights(4)).first()
-    return losses(_weights(1, (near.a, near.b))).select((F.col("a") / 20).alias("w_a"), (F.col("b") / 20).alias("w_b"), ((20 - F.col("a") - F.col("b")) / 20).alias("w_mean"), "huber")
+    """[E15] Weights of three experts on the simplex of least mean Huber loss: a coarse grid, then a finer one round its best, each in one pass. convex_fusion has the solver for any number of experts."""
+    m = measurements(spark, sf_dir, with_id=False).select("angle", "pred_a", "pred_b", F.lit(90.0).alias("mean"))
+
+    def best(grid):
+        points = np.array([(a / 20, b / 20, (20 - a - b) / 20) for a, b in grid])
+        n, loss, *_ = fusion.huber_pass(m, ("pred_a", "pred_b", "mean"), "angle", points, 5.0, slopes=False)
+        return min((round(x / max(n, 1), 6), a, b) for x, (a, b) in zip(loss.tolist(), grid, strict=True))
+
+    _, a, b = best(_weights(4))
+    huber, a, b = best(_weights(1, (a, b)))
+    return spark.createDataFrame([(a / 20, b / 20, (20 - a - b) / 20, float(huber))], "w_a double, w_b double, w_mean double, huber double")
 
 
 def drop_expert(spark, sf_dir):

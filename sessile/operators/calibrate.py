@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessile.operators import quantiles
+
 
 def residual_means(train: DataFrame, group: str, shrink: float) -> tuple[DataFrame, DataFrame]:
     """[E10] The mean residual of all training rows, and each group's, drawn to it by so many rows' weight."""
@@ -17,19 +20,18 @@ def residual_means(train: DataFrame, group: str, shrink: float) -> tuple[DataFra
     return overall, each.crossJoin(F.broadcast(overall)).select(group, "n_train", ((F.col("s") + shrink * F.col("overall")) / (F.col("n_train") + shrink)).alias("group_mean"))
 
 
-def order_statistic(scores: DataFrame, keys: Sequence[str], level: float, ties: Sequence[Column] = (), width: float = 1 / 16) -> DataFrame:
+def order_statistic(scores: DataFrame, keys: Sequence[str], level: float, ties: Sequence[Column] = ()) -> DataFrame:
     """[W8] For each key the score of rank min(k + 1, n), k = ceil((n + 1) level): the 'higher' quantile of split conformal.
 
-    Rows are counted by bucket of their score; only the bucket that holds the rank is
-    counted by score. How ties are ordered does not matter to the score.
+    How ties are ordered does not matter to the score.
     """
-    rows = scores.select(*keys, F.col("score").alias("_s"), F.floor(F.col("score") / width).alias("_b"))
-    group = Window.partitionBy(*keys)
-    part = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_c")).withColumn("_upto", F.sum("_c").over(group.orderBy("_b"))).withColumn("n", F.sum("_c").over(group))
-    rank = F.least(F.ceil((F.col("n") + 1) * level) + 1, F.col("n"))
-    here = part.filter((rank <= F.col("_upto")) & (rank > F.col("_upto") - F.col("_c"))).select(*keys, "_b", (F.col("_upto") - F.col("_c")).alias("_before"), "n")
-    values = rows.join(here, [*keys, "_b"]).groupBy(*keys, "n", "_before", "_s").agg(F.count("*").alias("_c")).withColumn("_upto", F.col("_before") + F.sum("_c").over(group.orderBy("_s")))
-    return values.filter((rank <= F.col("_upto")) & (rank > F.col("_upto") - F.col("_c"))).select(*keys, F.col("_s").alias("quantile"), "n")
+    rank = lambda n: F.least(F.ceil((n + 1) * level) + 1, n)
+    return quantiles.order_values(scores, keys, F.col("score"), {"quantile": rank}).select(*keys, "quantile", "n")
+
+
+def conformal_quantile(scores: DataFrame, level: float) -> float:
+    """[W8] order_statistic of a whole frame, as a number."""
+    return quantiles.whole_values(scores, F.col("score"), {"q": lambda n: min(math.ceil((n + 1) * level) + 1, n)})[1]["q"]
 
 
 def nearest_distance(train: DataFrame, queries: DataFrame, neighbours: int, block: int = 2048) -> DataFrame:

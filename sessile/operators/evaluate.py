@@ -10,21 +10,24 @@ from pyspark.sql import functions as F
 
 from sessile.functions.clean import right_closed_bin
 
+#: The bucket of errors that are 0, before all others.
+_ZERO = -(10**6)
+
 
 def long_form(wide: DataFrame, ids: Sequence[str], models: Sequence[str]) -> DataFrame:
     """[A11] One row per record and model; models that the frame lacks are skipped."""
     return wide.unpivot(list(ids), [m for m in models if m in wide.columns], "model", "predicted")
 
 
-def metrics_by(long: DataFrame, keys: Sequence[str], least: int = 1, one_row_r2: bool = False, digits: int = 6, width: float = 1 / 64) -> DataFrame:
+def metrics_by(long: DataFrame, keys: Sequence[str], least: int = 1, one_row_r2: bool = False, digits: int = 6, parts: int = 64) -> DataFrame:
     """[A8 A11] metrics.regression of groups with so many rows at least. Null keys are a group.
 
     The two order statistics are exact without holding a group's errors anywhere:
-    rows are counted by bucket of their error, and only those in the buckets that
-    hold a wanted rank are counted by value.
+    rows are counted by bucket of their error (so many to each doubling, whatever
+    the scale), and only those in the buckets that hold a wanted rank are counted by value.
     """
     error = F.col("observed") - F.col("predicted")
-    rows = long.select(*keys, F.when(error.isNotNull(), F.col("observed")).alias("_o"), error.alias("_e"), F.abs(error).alias("_v"), F.floor(F.abs(error) / width).alias("_b"))
+    rows = long.select(*keys, F.when(error.isNotNull(), F.col("observed")).alias("_o"), error.alias("_e"), F.abs(error).alias("_v"), F.when(error == 0, _ZERO).when(error.isNotNull(), F.floor(F.log2(F.abs(error)) * parts)).alias("_b"))
     sums = {"_n": F.count("_e"), "_a": F.sum("_v"), "_s": F.sum(F.col("_e") * F.col("_e")), "_t": F.sum("_o"), "_q": F.sum(F.col("_o") * F.col("_o"))}
     part = rows.groupBy(*keys, "_b").agg(*[c.alias(k) for k, c in sums.items()], F.min("_o").alias("_low"), F.max("_o").alias("_high"))
     group = Window.partitionBy(*keys)

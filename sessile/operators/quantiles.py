@@ -8,6 +8,7 @@ values, whatever the number of rows, their scale, or their ties.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
@@ -90,6 +91,59 @@ def order_values(frame: DataFrame, keys: Sequence[str], value: Column, ranks: Ma
     return wide.select(*[F.col(o).alias(k) for k, o in zip(keys, own, strict=True)], F.col("_n").alias("n"), *ranks)
 
 
+def whole_values(frame: DataFrame, value: Column, ranks: Mapping[str, Callable[[int], int]]) -> tuple[int, dict[str, float | None]]:
+    """The number of values of a whole frame and those at given ranks, now: a job a level, whose wanted digits are constants in the next.
+
+    For figures that later steps need as numbers. What a level brings to the driver is
+    one row for each rank.
+    """
+    v = value.cast("double")
+    rows = frame.filter(v.isNotNull() & ~F.isnan(v)).select(*[d.alias(n) for n, d in zip(_DIGITS, digits(value), strict=True)])
+    n, left = 0, {}
+    at: dict[str, tuple[int, ...]] = {}
+    for level, digit in enumerate(_DIGITS):
+        before = list(_DIGITS[:level])
+        if level:
+            some = sorted(set(at.values()))
+            if not some:
+                break
+            here = rows.filter(reduce(lambda x, y: x | y, [reduce(lambda x, y: x & y, [F.col(c) == d for c, d in zip(before, digits_, strict=True)]) for digits_ in some]))
+        else:
+            here = rows
+        counts = here.groupBy(*before, digit).agg(F.count("*").alias("_c")).withColumn("_upto", F.sum("_c").over(Window.partitionBy(*before).orderBy(digit)))
+        if not level:
+            counts = counts.cache()
+            n = counts.agg(F.max("_upto")).first()[0] or 0
+            left = {name: int(rank(n)) for name, rank in ranks.items() if n and 1 <= int(rank(n)) <= n}
+            at = dict.fromkeys(left, ())
+        asked = [(name, *at[name], rank) for name, rank in left.items()]
+        found = {}
+        for name, *prefix, rank in asked:
+            mine = reduce(lambda x, y: x & y, [F.col(c) == d for c, d in zip(before, prefix, strict=True)], F.lit(True))
+            found[name] = F.max(F.when(mine & (F.col("_upto") >= rank) & (F.col("_upto") - F.col("_c") < rank), F.struct(digit, (F.col("_upto") - F.col("_c")).alias("_before")))).alias(name)
+        row = counts.agg(*found.values()).first() if found else None
+        for name in left:
+            at[name], left[name] = (*at[name], row[name][0]), left[name] - row[name][1]
+        if not level:
+            counts.unpersist()
+    values = frame.sparkSession.range(1).select(*[value_of([F.lit(d) for d in parts]).alias(name) for name, parts in at.items()]).first() if at else {}
+    return n, {name: values[name] if name in at else None for name in ranks}
+
+
+def whole_quantiles(frame: DataFrame, value: Column, shares: Mapping[str, float]) -> dict[str, float | None]:
+    """quantiles of a whole frame as numbers; null if it has no values."""
+    ranks: dict[str, Callable[[int], int]] = {}
+    for name, share in shares.items():
+        ranks[f"low_{name}"] = lambda n, s=share: math.floor((n - 1) * s) + 1
+        ranks[f"high_{name}"] = lambda n, s=share: math.ceil((n - 1) * s) + 1
+    n, found = whole_values(frame, value, ranks)
+    out: dict[str, float | None] = {}
+    for name, share in shares.items():
+        low, high, part = found[f"low_{name}"], found[f"high_{name}"], (n - 1) * share - math.floor((n - 1) * share)
+        out[name] = low if low == high else low * (1 - part) + high * part
+    return out
+
+
 def quantiles(frame: DataFrame, keys: Sequence[str], value: Column, shares: Mapping[str, float]) -> DataFrame:
     """(keys, n, a column for each name): quantiles between the two nearest ranks, as SQL's continuous percentiles."""
     ranks: dict[str, Callable[[Column], Column]] = {}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sessile.functions import metrics
 from sessile.functions.clean import draw
-from sessile.operators import calibrate, features
+from sessile.operators import calibrate, features, quantiles
 from sessile.roles import SQL, measurements
 
 NUMERIC = ("gamma", "gp", "score")
@@ -28,8 +28,8 @@ def scale_encode(spark, sf_dir):
     train = m.filter("v4_split = 'train'")
     vocabulary = features.fit_vocabulary(train.filter("liquid_id <> 3"), CATEGORIES)
     out = features.encoded(features.scaled(m, features.fit_scaler(train, NUMERIC), NUMERIC), F.broadcast(vocabulary), CATEGORIES)
-    median = train.agg(F.percentile("gp", F.lit(0.5)).alias("median"))
-    return out.crossJoin(F.broadcast(median)).select("measurement_id", *[F.round(f"{c}_z", 6).alias(f"{c}_z") for c in NUMERIC], F.col("gp_missing").cast("int").alias("gp_missing"), *[F.col(f"{c}_code").cast("long").alias(f"{c}_code") for c in CATEGORIES], F.round(F.coalesce("gp", "median"), 6).alias("gp_filled"))
+    median = quantiles.whole_quantiles(train, F.col("gp"), {"median": 0.5})["median"]
+    return out.withColumn("median", F.lit(median)).select("measurement_id", *[F.round(f"{c}_z", 6).alias(f"{c}_z") for c in NUMERIC], F.col("gp_missing").cast("int").alias("gp_missing"), *[F.col(f"{c}_code").cast("long").alias(f"{c}_code") for c in CATEGORIES], F.round(F.coalesce("gp", "median"), 6).alias("gp_filled"))
 
 
 def feature_rows(spark, sf_dir):

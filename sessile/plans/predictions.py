@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sessile.functions import metrics
 from sessile.operators import evaluate as ev
+from sessile.operators import quantiles
 from sessile.roles import SQL, measurements
 
 MODELS = ("pred_a", "pred_b")
@@ -82,7 +83,7 @@ def source_median(spark, sf_dir):
     """[A18 A19] Median over sources of their MAE; mean over splits of the best source's MAE."""
     d = long(spark, sf_dir, "source_group_id", "v4_split")
     each = d.groupBy("model", "v4_split", "source_group_id").agg(F.avg(F.abs(F.col("observed") - F.col("predicted"))).alias("mae"))
-    median = each.groupBy("model").agg(F.round(F.percentile("mae", F.lit(0.5)), 6).alias("median_mae"))
+    median = quantiles.quantiles(each, ["model"], F.col("mae"), {"median": 0.5}).select("model", F.round("median", 6).alias("median_mae"))
     best = each.groupBy("model", "v4_split").agg(F.min("mae").alias("best")).groupBy("model").agg(F.round(F.avg("best"), 6).alias("mean_best_mae"))
     return median.join(best, "model")
 

@@ -13,7 +13,7 @@ from sessile import sources as src
 from sessile.functions import clean as c
 from sessile.functions import physics
 from sessile.functions.clean import anchored, draw
-from sessile.operators import calibrate, evaluate, extract, folds, joins
+from sessile.operators import calibrate, evaluate, extract, folds, joins, quantiles
 from sessile.plans import fitting, predictions
 from sessile.plans.predictions import METRICS
 from sessile.plans.validation import _boot, _C0, _clusters, _D
@@ -157,15 +157,15 @@ def before_after(spark, sf_dir):
 def conformal_final(spark, sf_dir):
     """[E12 E14 W8] The final interval: its quantile fitted on the development rows, and two rules to abstain: spread above its P80, or width above its P90 or novelty above 1."""
     m = measurements(spark, sf_dir)
-    fit = m.filter(DEVELOPMENT).select("measurement_id", F.lit("all").alias("scope"), F.round(F.abs(F.col("angle") - F.col("pred_a")) / F.col("score"), 9).alias("score"))
-    q = calibrate.order_statistic(fit, ["scope"], 0.9, [F.col("measurement_id")]).select("quantile")
-    cut = m.filter(DEVELOPMENT).agg(F.percentile("score", F.lit(0.8)).alias("p80"))
-    half = F.col("quantile") * F.col("score")
-    d = m.crossJoin(F.broadcast(q)).crossJoin(F.broadcast(cut)).select("measurement_id", "v4_split", "liquid_id", "score", "p80", F.round(F.greatest(F.col("pred_a") - half, F.lit(0.0)), 6).alias("lower"), F.round(F.least(F.col("pred_a") + half, F.lit(180.0)), 6).alias("upper"))
+    fit = m.filter(DEVELOPMENT).select(F.round(F.abs(F.col("angle") - F.col("pred_a")) / F.col("score"), 9).alias("score"))
+    quantile = calibrate.conformal_quantile(fit, 0.9)
+    cut = quantiles.whole_quantiles(m.filter(DEVELOPMENT), F.col("score"), {"p80": 0.8})["p80"]
+    half = quantile * F.col("score")
+    d = m.withColumn("p80", F.lit(cut)).select("measurement_id", "v4_split", "liquid_id", "score", "p80", F.round(F.greatest(F.col("pred_a") - half, F.lit(0.0)), 6).alias("lower"), F.round(F.least(F.col("pred_a") + half, F.lit(180.0)), 6).alias("upper"))
     d = d.withColumn("width", F.round(F.col("upper") - F.col("lower"), 6)).withColumn("novelty", F.col("score") / 10 + F.col("liquid_id") / 20)
-    wide = d.filter(DEVELOPMENT).agg(F.percentile("width", F.lit(0.9)).alias("p90"))
+    wide = quantiles.whole_quantiles(d.filter(DEVELOPMENT), F.col("width"), {"p90": 0.9})["p90"]
     yes = lambda x: F.when(x, "yes").otherwise("no")
-    return d.crossJoin(F.broadcast(wide)).select("measurement_id", "lower", "upper", yes(F.col("score") > F.col("p80")).alias("by_spread"), yes((F.col("novelty") > 1) | (F.col("width") > F.col("p90"))).alias("by_novelty"))
+    return d.withColumn("p90", F.lit(wide)).select("measurement_id", "lower", "upper", yes(F.col("score") > F.col("p80")).alias("by_spread"), yes((F.col("novelty") > 1) | (F.col("width") > F.col("p90"))).alias("by_novelty"))
 
 
 def physics_features(spark, sf_dir):
@@ -198,8 +198,8 @@ def impute_scale(spark, sf_dir):
     """[M3] Missing values take the training median, then the training mean and spread scale them; unknown categories have a bucket of their own."""
     m = measurements(spark, sf_dir).withColumn("g", F.when(F.col("liquid_id") != 7, F.col("gp"))).withColumn("kind", F.when(F.col("surface_group_id") % 10 != 0, F.col("liquid_name")))
     train = m.filter("v4_split = 'train'")
-    median = train.agg(F.percentile("g", F.lit(0.5)).alias("median"))
-    filled = lambda d: d.crossJoin(F.broadcast(median)).withColumn("x", F.coalesce("g", "median"))
+    median = F.lit(quantiles.whole_quantiles(train, F.col("g"), {"median": 0.5})["median"])
+    filled = lambda d: d.withColumn("x", F.coalesce("g", median))
     fit = filled(train).agg(F.avg("x").alias("mean"), F.greatest(F.stddev_pop("x"), F.lit(1e-8)).alias("spread"))
     names = train.filter("liquid_id <> 3 AND kind IS NOT NULL").select("kind").distinct()
     codes = names.withColumn("code", F.row_number().over(Window.orderBy("kind")))  # one row a liquid

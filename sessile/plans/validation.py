@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sessile.functions.clean import anchored, draw, novelty
-from sessile.operators import calibrate, evaluate, folds, fusion
+from sessile.operators import calibrate, evaluate, folds, fusion, quantiles
 from sessile.plans.predictions import METRICS
 from sessile.roles import SQL, measurements, table
 
@@ -148,8 +148,7 @@ def conformal_cv(spark, sf_dir):
 def conformal_apply(spark, sf_dir):
     """[E12 E14 P16] Intervals with a given quantile, abstention above the 80th percentile of uncertainty, and risk tiers."""
     m = measurements(spark, sf_dir)
-    cut = m.agg(F.percentile("score", F.lit(0.8)).alias("cut"))
-    d = m.crossJoin(F.broadcast(cut))
+    d = m.withColumn("cut", F.lit(quantiles.whole_quantiles(m, F.col("score"), {"cut": 0.8})["cut"]))
     abstain = F.col("score") > F.col("cut")
     risk = F.when(abstain, "high").when((F.col("score") > 0.75 * F.col("cut")) | (F.col("solid_family") == "PROMO"), "medium").otherwise("low")
     half = 2.5 * F.col("score")
@@ -161,8 +160,8 @@ def knn_ood(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
     train = e.filter("label % 2 = 0").select("id", "vector")
     d = calibrate.nearest_distance(train, e.select("id", "vector"), 5).join(e.select("id", "label"), "id").cache()
-    cut = d.filter("label % 2 = 0").agg(F.greatest(F.percentile("distance", F.lit(0.95)), F.lit(1e-8)).alias("cut"))
-    return d.crossJoin(F.broadcast(cut)).select(F.col("id").alias("vec_id"), F.round("distance", 5).alias("distance"), F.round(F.col("distance") / F.col("cut"), 5).alias("ratio"))
+    cut = max(quantiles.whole_quantiles(d.filter("label % 2 = 0"), F.col("distance"), {"cut": 0.95})["cut"] or 0.0, 1e-8)
+    return d.withColumn("cut", F.lit(cut)).select(F.col("id").alias("vec_id"), F.round("distance", 5).alias("distance"), F.round(F.col("distance") / F.col("cut"), 5).alias("ratio"))
 
 
 def _weights(step: int, near: tuple[int, int] | None = None, unit: int = 20):

@@ -96,6 +96,16 @@ def test_quantiles_of_any_scale(spark):
     assert quantiles.quantiles(frame.filter("g = 'nothing'"), [], F.col("v"), {"m": 0.5}).collect() == []
 
 
+def test_whole_values_equal_grouped_ones(spark):
+    rng = np.random.default_rng(5)
+    v = np.concatenate([10.0 ** rng.uniform(-300, 300, 200), -(10.0 ** rng.uniform(-9, 9, 200)), np.zeros(9), np.full(50, 2.5)])
+    frame = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "v double")
+    got = quantiles.whole_quantiles(frame, F.col("v"), {"a": 0.1, "b": 0.5, "c": 0.99})
+    want = quantiles.quantiles(frame, [], F.col("v"), {"a": 0.1, "b": 0.5, "c": 0.99}).first()
+    assert got == {k: want[k] for k in got}
+    assert quantiles.whole_quantiles(frame.filter("v IS NULL"), F.col("v"), {"a": 0.1}) == {"a": None}
+
+
 def test_order_values_at_ends_and_infinities(spark):
     frame = spark.createDataFrame([(float("-inf"),), (-1.0,), (-0.0,), (0.0,), (float("inf"),)], "v double")
     ranks = {f"r{i}": (lambda n, i=i: F.lit(i)) for i in range(7)}

@@ -5,12 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessile.operators import quantiles
+from sessile.operators import neighbours, quantiles
 
 
 def residual_means(train: DataFrame, group: str, shrink: float) -> tuple[DataFrame, DataFrame]:
@@ -34,32 +33,9 @@ def conformal_quantile(scores: DataFrame, level: float) -> float:
     return quantiles.whole_values(scores, F.col("score"), {"q": lambda n: min(math.ceil((n + 1) * level) + 1, n)})[1]["q"]
 
 
-def nearest_distance(train: DataFrame, queries: DataFrame, neighbours: int, block: int = 2048) -> DataFrame:
-    """[E13] (id, distance) to the n-th nearest training vector, exactly, by pairs of blocks.
-
-    Both sides (id, vector) are dealt into blocks of about the given size; a task
-    compares one block with another and keeps the nearest few of each query.
-    """
-    blocks = lambda d: max(1, -(-d.count() // block))
-    nt, nq = blocks(train), blocks(queries)
-    deal = lambda d, n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    t = train.select("id", F.col("vector").cast("array<double>").alias("vector"), deal(train, nt).alias("tb"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"))
-    q = queries.select("id", F.col("vector").cast("array<double>").alias("vector"), deal(queries, nq).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nt - 1))).alias("tb"))
-
-    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
-        x, y = np.stack(a["vector"]), np.stack(b["vector"])
-        k = min(neighbours, len(y))
-        # Squares from one matrix product tell the nearest few and some more; their distances are then taken exactly.
-        square = (x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None, :] - 2 * (x @ y.T)
-        some = np.argpartition(square, min(k + 8, len(y)) - 1, axis=1)[:, : k + 8]
-        exact = np.sqrt(((y[some] - x[:, None, :]) ** 2).sum(axis=2))
-        return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), k), "distance": np.sort(exact, axis=1)[:, :k].ravel()})
-
-    pairs = q.groupBy("qb", "tb").cogroup(t.groupBy("qb", "tb")).applyInPandas(near, "id long, distance double")
-    best = F.slice(F.array_sort(F.collect_list("distance")), 1, neighbours)  # a few values from each block
-    return pairs.groupBy("id").agg(F.element_at(best, -1).alias("distance"))
+def nearest_distance(train: DataFrame, queries: DataFrame, nth: int, block: int = 2048) -> DataFrame:
+    """[E13] (id, distance) to the n-th nearest training vector, exactly; neighbours.search tells how much it compared."""
+    return neighbours.search(train, queries, nth, block).distance
 
 
 def backend_scores(requests: DataFrame, backend, schema: str) -> DataFrame:

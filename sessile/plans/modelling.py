@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,6 +9,7 @@ from sessile.functions import metrics
 from sessile.functions.clean import draw
 from sessile.operators import calibrate, features, quantiles
 from sessile.roles import SQL, measurements
+from sessile.sources.work import new_folder
 
 NUMERIC = ("gamma", "gp", "score")
 CATEGORIES = ("solid_family", "liquid_name")
@@ -150,9 +148,8 @@ def batch_score(spark, sf_dir):
 def preprocessor_roundtrip(spark, sf_dir):
     """[M5 S6] A fitted scaler and vocabulary, stored as tables and read again, encode as before."""
     m = _rows(spark, sf_dir)
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="preprocessor-")  # the latter where none is set, on one machine
     scaler, vocabulary = features.fit_scaler(m, NUMERIC), features.fit_vocabulary(m, CATEGORIES)
-    path = f"{base}/preprocessor-{uuid.uuid4().hex}"
+    path = new_folder(spark, "preprocessor")
     scaler.write.parquet(f"{path}/scaler")
     vocabulary.write.parquet(f"{path}/vocabulary")
     scaler, vocabulary = spark.read.parquet(f"{path}/scaler"), spark.read.parquet(f"{path}/vocabulary")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -18,6 +16,7 @@ from sessile.plans import fitting, predictions
 from sessile.plans.predictions import METRICS
 from sessile.plans.validation import _boot, _C0, _clusters, _D
 from sessile.roles import SQL, measurements, table
+from sessile.sources.work import new_folder
 
 EXTERNAL = ("legacy_external", "prospective_open_external")
 DEVELOPMENT = f"v4_split NOT IN {EXTERNAL}"
@@ -28,11 +27,6 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _folder(spark, name: str) -> str:
-    """A new folder in the shared one; a temporary one only where none is set, on one machine."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='sessile-')}/{name}-{uuid.uuid4().hex}"
-
-
 def loso_folds(spark, sf_dir):
     """[E3] Each development source held out once: rows and sources on both sides; external rows never take part, and three sources are the least."""
     g = measurements(spark, sf_dir, with_id=False).filter(DEVELOPMENT).groupBy("source_group_id").agg(F.count("*").alias("test_rows"), F.count_if(F.col("target_eligible") == "yes").alias("eligible_rows"))
@@ -303,7 +297,7 @@ def star_files(spark, sf_dir):
         "measurements": m.select(*text("measurement_id", "surface_group_id", "liquid_id")),
         "splits": m.select(*text("measurement_id", "v4_split")),
     }
-    base = _folder(spark, "star")
+    base = new_folder(spark, "star")
     out = []
     for name, d in tables.items():
         marked = d.withColumnRenamed(d.columns[0], "\ufeff" + d.columns[0])
@@ -326,7 +320,7 @@ def rebuild_derived(spark, sf_dir):
 def report_files(spark, sf_dir):
     """[S7] The metric report written as JSON, and read back."""
     report = predictions.metrics_by_split(spark, sf_dir)
-    path = f"{_folder(spark, 'report')}/metrics.json"
+    path = f"{new_folder(spark, 'report')}/metrics.json"
     src.write_report(report, path)
     return src.read_table(spark, path, report.schema)
 

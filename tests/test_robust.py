@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sessile.operators import fusion, quantiles, ridge
+from sessile.operators import fusion, neighbours, quantiles, ridge
 
 
 def ridge_by_rows(x, y, alpha):
@@ -111,3 +111,38 @@ def test_order_values_at_ends_and_infinities(spark):
     ranks = {f"r{i}": (lambda n, i=i: F.lit(i)) for i in range(7)}
     (row,) = quantiles.order_values(frame, [], F.col("v"), ranks).collect()
     assert [row[f"r{i}"] for i in range(7)] == [None, float("-inf"), -1.0, 0.0, 0.0, float("inf"), None]
+
+
+def plain_nearest(train, queries, k):
+    d = np.sqrt(((queries[:, None, :] - train[None, :, :]) ** 2).sum(axis=2))
+    return np.sort(d, axis=1)[:, min(k, len(train)) - 1]
+
+
+def vector_frame(spark, x):
+    return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vector array<double>")
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_neighbours_in_clusters_compare_few_blocks(spark, k):
+    rng = np.random.default_rng(k)
+    centres = rng.normal(size=(12, 6)) * 40
+    train = np.concatenate([centres[rng.integers(0, 12, 1500)] + rng.normal(size=(1500, 6)), np.tile(centres[0], (700, 1))])  # a third are copies of one
+    queries = np.concatenate([train[::9], centres[rng.integers(0, 12, 100)] + rng.normal(size=(100, 6)), rng.normal(size=(20, 6)) * 300])
+    found = neighbours.search(vector_frame(spark, train), vector_frame(spark, queries), k, block=64)
+    got = {r.id: r.distance for r in found.distance.collect()}
+    assert np.allclose([got[i] for i in range(len(queries))], plain_nearest(train, queries, k), rtol=0, atol=1e-12)
+    assert found.met < 0.2 * found.possible
+
+
+def test_neighbours_edges(spark):
+    x = np.array([[0.0, 0.0], [3.0, 4.0], [3.0, 4.0]])
+    one = neighbours.search(vector_frame(spark, x), vector_frame(spark, x), 5)  # fewer vectors than asked for
+    assert sorted(r.distance for r in one.distance.collect()) == [5.0, 5.0, 5.0]
+    none = vector_frame(spark, x).filter("id < 0")
+    assert neighbours.search(none, vector_frame(spark, x), 1).distance.collect() == []
+    assert neighbours.search(vector_frame(spark, x), none, 1).distance.collect() == []
+    rng = np.random.default_rng(3)
+    flat = rng.normal(size=(500, 48))  # nothing to prune
+    found = neighbours.search(vector_frame(spark, flat), vector_frame(spark, flat[:60]), 7, block=50)
+    got = {r.id: r.distance for r in found.distance.collect()}
+    assert np.allclose([got[i] for i in range(60)], plain_nearest(flat, flat[:60], 7), atol=1e-12)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sessile.plans import cleaning, curation, fitting, modelling, predictions, protocols, robust, validation
+from sessile.plans import cleaning, curation, fitting, imports, modelling, predictions, protocols, robust, validation
 
-_PLANS = (predictions, cleaning, fitting, curation, validation, modelling, protocols, robust)
+_PLANS = (predictions, cleaning, fitting, curation, validation, modelling, protocols, robust, imports)
 QUERIES: dict = {k: q for p in _PLANS for k, q in p.QUERIES.items()}
 ORACLES: dict[str, str] = {k: q for p in _PLANS for k, q in p.ORACLES.items()}

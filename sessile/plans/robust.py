@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sessile.functions.clean import anchored, draw
-from sessile.operators import evaluate, fusion, ridge
+from sessile.operators import curves, evaluate, fusion, ridge
 from sessile.plans.predictions import METRICS
 from sessile.plans.validation import _D
 from sessile.roles import SQL, measurements
@@ -61,6 +61,14 @@ def subset_ridge(spark, sf_dir):
     return evaluate.metrics_by(evaluate.long_form(wide, ["v4_split", "observed"], tuple(fits)), ["v4_split", "model"])
 
 
+def learning_curve_full(spark, sf_dir):
+    """[E5 A13] Every number of development sources from one to all but one, at most 20 different draws of each, tested on all other sources."""
+    m = measurements(spark, sf_dir, with_id=False).filter(f"v4_split NOT IN {EXTERNAL}")
+    sources = m.select("source_group_id").distinct()
+    subsets = curves.drawn_subsets(sources, "source_group_id", range(1, sources.count()), 20)
+    return curves.learning_curve(m, "source_group_id", "angle", "pred_a", subsets)
+
+
 EXPERTS = ("pred_a", "pred_b", "mean", "high", "low")
 
 
@@ -74,7 +82,7 @@ def convex_fusion(spark, sf_dir):
     return spark.createDataFrame(rows, "experts int, expert string, weight double, huber double, proven boolean")
 
 
-_OWN = "loso_ridge loso_models confirmation_ridge subset_ridge convex_fusion"
+_OWN = "learning_curve_full loso_ridge loso_models confirmation_ridge subset_ridge convex_fusion"
 QUERIES = {k: globals()[k] for k in _OWN.split()}
 
 _S = "sum({0}) AS {1}"
@@ -116,6 +124,11 @@ def _metrics(observed: str, predicted: str) -> str:
 
 
 ORACLES = {
+    "learning_curve_full": SQL + f""", d AS (SELECT source_group_id AS s, angle, pred_a FROM m WHERE v4_split NOT IN {EXTERNAL}), k AS (SELECT DISTINCT s FROM d),
+c AS (SELECT size, subset, s, row_number() OVER (PARTITION BY size, subset ORDER BY {_D.format('size, subset, s')}, s) AS rn FROM k, range(1, (SELECT count(*) FROM k)) a(size), range(1, 21) b(subset)),
+h AS (SELECT size, subset, md5(string_agg(s::VARCHAR, '|' ORDER BY s)) AS name FROM c WHERE rn <= size GROUP BY ALL), f AS (SELECT size, min(subset) AS subset FROM h GROUP BY size, name),
+t AS (SELECT c.size, c.subset, s FROM c JOIN f ON f.size = c.size AND f.subset = c.subset WHERE rn <= c.size), g AS (SELECT size, subset, avg(angle - pred_a) AS shift FROM d JOIN t USING (s) GROUP BY ALL)
+SELECT size::INT AS size, subset::INT AS subset, count(DISTINCT d.s) AS test_sources, count(*) AS test_rows, round(avg(abs(angle - least(greatest(pred_a + shift, 0), 180))), 6) AS mae FROM g JOIN c USING (size, subset) JOIN d ON d.s = c.s WHERE c.rn > size GROUP BY ALL""",
     "loso_ridge": _LOSO + "SELECT source_group_id, any_value(train_rows)::BIGINT AS train_rows, any_value(alpha) AS alpha, round(any_value(b), 6) AS intercept, round(any_value(wx), 6) AS w_score, round(any_value(wy), 6) AS w_size, count(*) AS test_rows, round(avg(abs(angle - ridge)), 6) AS mae FROM s GROUP BY 1",
     "loso_models": _LOSO + f"SELECT 'physics' AS model, {_metrics('angle', 'pred_a')} FROM s UNION ALL SELECT 'ridge', {_metrics('angle', 'ridge')} FROM s",
     "confirmation_ridge": _X + f""", d AS (SELECT * FROM x WHERE v4_split IN ('train', 'validation')), e AS (SELECT inner_fold AS j, {_SUMS} FROM d GROUP BY 1), a AS (SELECT {_SUMS} FROM d),

@@ -2,37 +2,76 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Sequence
+from fractions import Fraction
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessile.functions.clean import draw
+from sessile.sources.work import materialised
 
+#: A side of a join is broadcast only if it has at most so many rows, counted.
+BROADCAST_ROWS = 100_000
 
-def greedy_bins(groups: DataFrame, key: str, size: str, fractions: Sequence[float]) -> DataFrame:
-    """[E1 Q3] (key, bin): groups by falling size (then falling key) each go to the bin that is furthest below its share, the first among equals.
 
-    The assignment is sequential: the groups (sources, far fewer than rows) pass through
-    one task in order, which holds the loads of the bins alone.
+def numbered(frame: DataFrame, group: str, order: Sequence[Column]) -> DataFrame:
+    """Rows with place: 0, 1, ... by the order within their group, without a task that sees a whole group.
+
+    Rows are sorted by ranges; the share of a group in each partition is shifted by what lies before it.
     """
-    total = groups.agg(F.sum(size).alias("_total"))
-    kind = groups.schema[key].dataType.simpleString()
-    shares = np.array([float(f) for f in fractions])
+    sorted_rows = frame.repartitionByRange(F.col(group), *order).sortWithinPartitions(F.col(group), *order)
+    placed = materialised(sorted_rows.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")), "numbered")
+    each = placed.groupBy(group, "_part").agg(F.min("_at").alias("_start"), F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = each.select(group, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_start")).alias("_shift"))
+    return placed.join(shifts, [group, "_part"]).withColumn("place", F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
 
-    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        loads = np.zeros(len(shares))
-        for f in frames:
-            bins = []
-            for n, whole in zip(f["_size"].to_numpy(), f["_total"].to_numpy(), strict=True):
-                bins.append(int(np.argmax(shares * whole - loads)))
-                loads[bins[-1]] += n
-            yield pd.DataFrame({key: f[key], "bin": np.array(bins, np.int32)})
 
-    ordered = groups.select(F.col(key), F.col(size).alias("_size")).crossJoin(F.broadcast(total)).repartition(1).sortWithinPartitions(F.desc("_size"), F.desc(key))
-    return ordered.mapInPandas(assign, f"`{key}` {kind}, bin int")
+def greedy_runs(sizes: Sequence[tuple[int, int]], fractions: Sequence[float]) -> list[tuple[int, int, int, list[int]]]:
+    """(size, start, length, cycle): where the groups of each size go, by their place among them.
+
+    sizes: (size, groups), the largest first. Groups of one size go to bins whose
+    shortfalls fall by that size with each, so the order of bins merges arithmetic
+    progressions: bins take turns, and further ones join the cycle as the others come
+    down to them. A size has at most as many runs as there are bins.
+    """
+    total = sum(s * n for s, n in sizes)
+    short = [Fraction(float(f) * float(total)) for f in fractions]
+    out: list[tuple[int, int, int, list[int]]] = []
+    for size, n in sizes:
+        start = 0
+        while start < n:
+            order = sorted(range(len(short)), key=lambda b: (-short[b], b))
+            first = order[0]
+            turn = (short[first] - size, first)  # when the first bin has its next turn
+            cycle = [b for b in order if b == first or short[b] > turn[0] or (short[b] == turn[0] and b < first)]
+            rest = [b for b in order if b not in cycle]
+            if not size or not rest:
+                take = n - start
+            else:
+                cycles = min(max(1, math.floor((short[first] - short[b]) / size) - (1 if (short[first] - short[b]) % size == 0 and b < first else 0)) for b in rest)
+                take = min(n - start, cycles * len(cycle))
+            out.append((size, start, take, cycle))
+            for i, b in enumerate(cycle):
+                short[b] -= size * (take // len(cycle) + (i < take % len(cycle)))
+            start += take
+    return out
+
+
+def greedy_bins(groups: DataFrame, key: str, size: str, fractions: Sequence[float]) -> DataFrame:
+    """[E1 Q3] (key, bin): groups by falling size (then falling key) each go to the bin that is furthest below its share, the first among equals.
+
+    Only distinct sizes are placed one after the other, in the driver: they are few, as
+    their sum is at most the number of rows. Groups find their bin by their place within their size.
+    """
+    rows = groups.select(F.col(key), F.col(size).cast("long").alias("_size"))
+    counts = sorted(((r["_size"], r["count"]) for r in rows.groupBy("_size").count().collect()), reverse=True)
+    runs = groups.sparkSession.createDataFrame(greedy_runs(counts, fractions), "_size long, start long, length long, cycle array<int>")
+    placed = numbered(rows, "_size", [F.col(key).desc()]).join(runs, "_size").filter((F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + F.col("length")))
+    return placed.select(key, F.get("cycle", F.pmod(F.col("place") - F.col("start"), F.size("cycle")).cast("int")).alias("bin"))
 
 
 def ranked(frame: DataFrame, keys: Sequence[str], value: Column, bucket: Column, ties: Sequence[Column], name: str = "rank") -> DataFrame:
@@ -65,10 +104,18 @@ def bootstrap(clusters: DataFrame, keys: Sequence[str], resamples: int, seed: in
     absolute errors). A resample draws as many clusters as there are, by fixed draws;
     sums of the drawn clusters are all it needs.
     """
-    sizes = clusters.groupBy(*keys).agg(F.count("*").alias("c"))
-    draws = sizes.select(*keys, "c", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).select("*", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("j"))
+    sizes = clusters.groupBy(*keys).agg(F.count("*").alias("c")).collect()  # a row for each group that is compared
+    spark = clusters.sparkSession
+    kinds = ", ".join(f"`{k}` {clusters.schema[k].dataType.simpleString()}" for k in keys)
+    drawn = []
+    for row in sizes:
+        # One range for all draws of a group: b and j by division, so that tasks share them evenly.
+        n = spark.range(resamples * row["c"]).select(*[F.lit(row[k]).cast(clusters.schema[k].dataType).alias(k) for k in keys], (F.floor(F.col("id") / row["c"]) + 1).alias("b"), (F.col("id") % row["c"] + 1).alias("j"), F.lit(row["c"]).alias("c"))
+        drawn.append(n)
+    draws = reduce(DataFrame.unionByName, drawn) if drawn else spark.createDataFrame([], f"{kinds}{', ' if keys else ''}b long, j long, c long")
     draws = draws.withColumn("idx", (draw(F.lit(seed), "b", "j") % F.col("c")).cast("long"))
-    each = draws.join(clusters, [*keys, "idx"]).groupBy(*keys, "b").agg(((F.sum("ea") - F.sum("eb")) / F.sum("n")).alias("d"))
+    few = sum(row["c"] for row in sizes) <= BROADCAST_ROWS
+    each = draws.join(F.broadcast(clusters) if few else clusters, [*keys, "idx"]).groupBy(*keys, "b").agg(((F.sum("ea") - F.sum("eb")) / F.sum("n")).alias("d"))
     point = clusters.groupBy(*keys).agg(F.round((F.sum("ea") - F.sum("eb")) / F.sum("n"), 6).alias("point"), F.count("*").alias("clusters"))
     ends = each.groupBy(*keys).agg(F.round(F.percentile("d", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("d", F.lit(0.975)), 6).alias("high"), F.round(F.avg((F.col("d") < 0).cast("double")), 6).alias("p_better"))
     return point.join(ends, list(keys)) if keys else point.crossJoin(ends)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sessile.operators import fusion, neighbours, quantiles, ridge
+from sessile.operators import folds, fusion, neighbours, quantiles, ridge
 
 
 def ridge_by_rows(x, y, alpha):
@@ -146,3 +146,31 @@ def test_neighbours_edges(spark):
     found = neighbours.search(vector_frame(spark, flat), vector_frame(spark, flat[:60]), 7, block=50)
     got = {r.id: r.distance for r in found.distance.collect()}
     assert np.allclose([got[i] for i in range(60)], plain_nearest(flat, flat[:60], 7), atol=1e-12)
+
+
+def bins_one_by_one(sizes, fractions):
+    loads, out, whole = np.zeros(len(fractions)), [], sum(sizes)
+    for n in sizes:
+        out.append(int(np.argmax(np.array(fractions) * whole - loads)))
+        loads[out[-1]] += n
+    return out
+
+
+@pytest.mark.parametrize("fractions", [(0.70, 0.15, 0.15), (0.25,) * 4, (1 / 3,) * 3, (0.5, 0.3, 0.1, 0.07, 0.03), (1.0,)])
+def test_greedy_runs_place_as_one_by_one(fractions):
+    rng = np.random.default_rng(len(fractions))
+    for trial in range(60):
+        sizes = sorted((int(x) for x in rng.choice([0, 1, 2, 3, 7, 50, 51, 400], rng.integers(1, 120), p=[0.05, 0.4, 0.2, 0.1, 0.1, 0.05, 0.05, 0.05])), reverse=True)
+        got = []
+        for size, start, length, cycle in folds.greedy_runs([(s, sizes.count(s)) for s in sorted(set(sizes), reverse=True)], fractions):
+            got += [cycle[i % len(cycle)] for i in range(length)]
+        assert got == bins_one_by_one(sizes, fractions), trial
+
+
+def test_a_million_sources_of_a_hundred_sizes(spark):
+    groups = spark.range(1_000_000).select(F.col("id").alias("source"), (F.col("id") * 7919 % 100 + 1).alias("n"))
+    out = folds.greedy_bins(groups, "source", "n", (0.7, 0.15, 0.15))
+    loads = {r.bin: r.load for r in out.join(groups, "source").groupBy("bin").agg(F.sum("n").alias("load")).collect()}
+    whole = sum(loads.values())
+    assert out.count() == 1_000_000 and all(abs(loads[b] - f * whole) <= 1 for b, f in enumerate((0.7, 0.15, 0.15)))
+    assert folds.greedy_bins(groups.filter("n > 500"), "source", "n", (0.5, 0.5)).collect() == []

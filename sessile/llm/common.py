@@ -98,7 +98,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def give_back() -> None:
-    """Return what the driver's process has freed to the system, after a fit with large arrays."""
+    """Return what this process has freed to the system: after a fit with large arrays, and at the end of a task."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
@@ -124,7 +124,10 @@ class ArrowRows:
         rows = self.rows
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            return function(in_slices(batches, rows))
+            try:
+                yield from function(in_slices(batches, rows))
+            finally:
+                give_back()  # a worker that waits for its next task keeps little
 
         return self.df.mapInArrow(run, schema)
 

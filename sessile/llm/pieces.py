@@ -31,7 +31,7 @@ from sessile.llm.common import arrow_rows, table
 
 MARK = "▁"
 #: Parts that a worker remembers in each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Letters, or other characters, after space marks if any; or space marks alone.
 PARTS = regex.compile(r"▁*[\p{L}\p{M}]+|▁*[^\p{L}\p{M}▁]+|▁+")
 

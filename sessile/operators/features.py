@@ -67,3 +67,34 @@ def fit_and_score(model: Pipeline, train: DataFrame, test: DataFrame, source: st
     shared = train.select(source).distinct().join(test.select(source).distinct(), source, "left_semi").limit(1).count()
     out = model.fit(train).transform(test)
     return out.withColumn("predicted", anchored("physics", "prediction")).withColumn("disjoint", F.lit("no" if shared else "yes"))
+
+
+def tree_ensembles(train: DataFrame, test: DataFrame, features: Sequence[str], observed: str, physics: str, seeds: Sequence[int], trees: int = 20, rounds: int = 8) -> DataFrame:
+    """[M7 M8 M9 A22] test with, for forests and boosted trees and for the residual and the angle itself, m_<model>: the
+    mean of seeds within bounds, and s_<model>: the seeds' spread. Residual models are anchored in the physics.
+    """
+    assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
+    rows = assembler.transform(train.withColumn("_residual", F.col(observed) - F.col(physics))).select("_features", "_residual", F.col(observed).alias("_direct")).persist()
+    out, columns = assembler.transform(test), {}
+    try:
+        for target in ("residual", "direct"):
+            for kind in ("forest", "boosted"):
+                columns[f"{kind}_{target}"] = []
+                for seed in seeds:
+                    name = f"_{kind}_{target}_{seed}"
+                    common = {"featuresCol": "_features", "labelCol": f"_{target}", "predictionCol": name, "seed": seed}
+                    if kind == "forest":
+                        model = RandomForestRegressor(numTrees=trees, maxDepth=5, featureSubsetStrategy="sqrt", minInstancesPerNode=5, **common)
+                    else:
+                        model = GBTRegressor(maxIter=rounds, maxDepth=4, stepSize=0.2, subsamplingRate=0.8, **common)
+                    out = model.fit(rows).transform(out)
+                    columns[f"{kind}_{target}"].append(name)
+    finally:
+        rows.unpersist()
+    for model, names in columns.items():
+        values = F.array(*[F.col(n) for n in names])
+        mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / len(names)
+        squares = F.aggregate(values, F.lit(0.0), lambda a, v: a + v * v) / len(names)
+        spread = F.sqrt(F.greatest(squares - mean * mean, F.lit(0.0)))
+        out = out.withColumns({f"m_{model}": anchored(physics, mean) if model.endswith("residual") else anchored(F.lit(0.0), mean), f"s_{model}": spread})
+    return out.drop("_features", *[n for names in columns.values() for n in names])

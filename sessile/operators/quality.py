@@ -77,3 +77,28 @@ def duplicate_label(value: str, compat: bool = False, near: float = 1.0) -> Colu
 def duplicate_labels(frame: DataFrame, exact: Sequence[str], value: str, source: str, compat: bool = False, near: float = 1.0) -> DataFrame:
     """[W2 W4] Rows of one key: exact duplicates agree in value, near ones lie within a distance, in several sources or one."""
     return duplicate_groups(frame, exact, value, source).withColumn("label", duplicate_label(value, compat, near)).withColumn("across_sources", F.col("sources") > 1)
+
+
+def row_suite(frame: DataFrame, source: str, expected: DataFrame, required: Sequence[str] = (), ranges: Mapping[str, tuple[float, float]] | None = None, unique: Sequence[str] = (), present: Mapping[str, tuple[Column, Column]] | None = None, forbidden: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """[Q10] (source, check, n, passed) for each source: its total against (source, expected), and its rows that break a check.
+
+    required: columns that are never blank. ranges: values outside, missing ones left to
+    required. unique: rows whose key (all these columns, none null) is not alone in its source. present: where the
+    first condition holds the second has to. forbidden: words, in any case, that a column's text
+    must not have. Sources that only one side has are told too, with what is there.
+    """
+    bad: dict[str, Column] = {f"required:{c}": F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == "" for c in required}
+    bad |= {f"range:{c}": ~F.coalesce(F.col(c).between(*ends), F.lit(True)) for c, ends in (ranges or {}).items()}
+    bad |= {f"present:{name}": F.coalesce(when, F.lit(False)) & ~F.coalesce(then, F.lit(False)) for name, (when, then) in (present or {}).items()}
+    bad |= {f"forbidden:{c}:{w}": F.coalesce(F.lower(F.col(c)).contains(w.lower()), F.lit(False)) for c, words in (forbidden or {}).items() for w in words}
+    counts = frame.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("total"), *[F.count_if(c).alias(f"c{k}") for k, c in enumerate(bad.values())])
+    if unique:
+        keyed = frame.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in unique)).groupBy(F.col(source).alias("source"), *unique).agg(F.count("*").alias("n")).filter("n > 1")
+        counts = counts.join(keyed.groupBy("source").agg(F.sum("n").alias("twice")), "source", "left").na.fill(0, ["twice"])
+    both = expected.select(F.col(source).alias("source"), "expected").join(counts, "source", "full")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    rows = [("total", n("total"), n("total") == n("expected")), *[(name, n(f"c{k}"), n(f"c{k}") == 0) for k, name in enumerate(bad)]]
+    if unique:
+        rows.append((f"unique:{','.join(unique)}", n("twice"), n("twice") == 0))
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("check"), value.alias("n"), F.when(ok, "yes").otherwise("no").alias("passed")) for name, value, ok in rows]))
+    return both.select("source", each.alias("r")).select("source", "r.*")

@@ -169,6 +169,11 @@ SELECT measurement_id, round((gamma - c1) / s1, 6) AS gamma_z, round(coalesce((g
 FROM x CROSS JOIN s LEFT JOIN vf ON coalesce(lower(trim(f)), '<missing>') = vf.k LEFT JOIN vl ON lower(trim(liquid_name)) = vl.k""",
     "feature_rows": SQL + """, g AS (SELECT surface_group_id, v4_split, count(*) AS n, avg(angle / 180) AS a, stddev_pop(angle / 180) AS s, min(angle / 180) AS lo, max(angle / 180) AS hi FROM m WHERE target_eligible = 'yes' GROUP BY ALL)
 SELECT measurement_id, coalesce(n, 0) AS n, round(coalesce(a, 0), 6) AS mean, round(coalesce(s, 0), 6) AS spread, round(coalesce(lo, 0), 6) AS least, round(coalesce(hi, 0), 6) AS most FROM m LEFT JOIN g USING (surface_group_id, v4_split)""",
+    "batch_score": SQL + """, p AS (SELECT DISTINCT surface_group_id, liquid_id, liquid_name, angle FROM m), g AS (SELECT surface_group_id AS s, arg_min(liquid_name, liquid_id) AS target FROM p GROUP BY 1),
+x AS (SELECT s, target, CASE s % 3 WHEN 0 THEN 'zero_shot' WHEN 1 THEN 'probe_assisted' ELSE 'other' END AS mode, p.liquid_name, p.angle FROM g LEFT JOIN p ON p.surface_group_id = s AND s % 6 <> 0 AND (s % 2 <> 0 OR p.liquid_name <> target)),
+y AS (SELECT s, any_value(mode) AS mode, count(angle) AS n, bool_or(liquid_name = any_target) AS leak, coalesce(round(avg(angle), 4), 90.0) AS estimate FROM (SELECT *, target AS any_target FROM x) GROUP BY s),
+z AS (SELECT *, concat_ws(';', CASE WHEN mode = 'other' THEN 'unknown_mode' END, CASE WHEN mode = 'zero_shot' AND n > 0 THEN 'probes_in_zero_shot' END, CASE WHEN mode = 'probe_assisted' AND n < 2 THEN 'too_few_probes' END, CASE WHEN leak THEN 'target_among_probes' END) AS reasons FROM y)
+SELECT s AS surface_group_id, mode, reasons, CASE WHEN reasons = '' THEN estimate END AS estimate FROM z""",
     "preprocessor_roundtrip": _X + """, s AS (SELECT avg(gamma) AS c, greatest(stddev_pop(gamma), 1e-8) AS d FROM x), vf AS (SELECT k, row_number() OVER (ORDER BY k) + 1 AS code FROM (SELECT DISTINCT coalesce(lower(trim(f)), '<missing>') AS k FROM x UNION SELECT '<missing>')),
 vl AS (SELECT k, row_number() OVER (ORDER BY k) + 1 AS code FROM (SELECT DISTINCT lower(trim(liquid_name)) AS k FROM x UNION SELECT '<missing>'))
 SELECT vf.code AS solid_family_code, vl.code AS liquid_name_code, count(*) AS n, round(avg((gamma - c) / d), 6) AS gamma_z FROM x CROSS JOIN s JOIN vf ON coalesce(lower(trim(f)), '<missing>') = vf.k JOIN vl ON lower(trim(liquid_name)) = vl.k GROUP BY ALL""",

@@ -16,6 +16,7 @@ leave-one-out votes turns the vote into a probability.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Callable, Iterator
 
@@ -40,6 +41,8 @@ NEIGHBOURS = 15
 BLOCK = 512
 #: So many of the most frequent terms have block maxima; the lists of the others are short.
 FREQUENT = 512
+#: Examples whose terms are handled at once when the index is built.
+PART = 500
 #: Texts that are looked up at once.
 AT_ONCE = 64
 #: Cosines count to six digits; the number of an example stands in the lower bits of a key.
@@ -75,16 +78,24 @@ class Index:
     """
 
     def __init__(self, examples: list[tuple[object, int, int, np.ndarray, np.ndarray]]) -> None:
-        owner = np.repeat(np.arange(len(examples), dtype=np.int32), [len(e[3]) for e in examples])
-        flat = np.concatenate([e[3] for e in examples]) if examples else np.zeros(0, np.uint64)
-        tf = np.concatenate([e[4] for e in examples]) if examples else np.zeros(0, np.int32)
-        self.terms = np.unique(flat)
-        of = np.searchsorted(self.terms, flat).astype(np.int32)
-        del flat
+        # Several arrays have an entry for each term of each example; what is wide is made in parts, as the driver's memory is small.
+        sizes = [len(e[3]) for e in examples]
+        owner = np.repeat(np.arange(len(examples), dtype=np.int32), sizes)
+        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        groups = [slice(k, k + PART) for k in range(0, len(examples), PART)]
+        self.terms = np.zeros(0, np.uint64)
+        for g in groups:
+            self.terms = np.union1d(self.terms, np.concatenate([e[3] for e in examples[g]]))
+        of, tf = np.empty(len(owner), np.int32), np.empty(len(owner), np.int32)
         labels = np.array([e[1] for e in examples], np.float64)
         self.n, self.share = len(examples), float(labels.mean()) if len(examples) else 0.0
-        self.df = np.bincount(of, minlength=len(self.terms)).astype(np.float64)
-        self.df1 = np.bincount(of, labels[owner], minlength=len(self.terms))
+        self.df, self.df1 = np.zeros(len(self.terms)), np.zeros(len(self.terms))
+        spans = [slice(ends[g.start], ends[min(g.stop, len(examples))]) for g in groups]
+        for g, at in zip(groups, spans, strict=True):
+            of[at] = np.searchsorted(self.terms, np.concatenate([e[3] for e in examples[g]]))
+            tf[at] = np.concatenate([e[4] for e in examples[g]])
+            self.df += np.bincount(of[at], minlength=len(self.terms))
+            self.df1 += np.bincount(of[at], labels[owner[at]], minlength=len(self.terms))
         # Examples with like frequent terms stand together, so that blocks differ.
         frequent = np.argsort(-self.df, kind="stable")[:16]
         place = np.full(len(self.terms), 16, np.int8)
@@ -97,9 +108,12 @@ class Index:
         self.ids = [examples[i][0] for i in order]
         self.labels = labels[order]
         self.own = {examples[i][2]: int(number[i]) for i in range(len(examples) - 1, -1, -1)}
-        weight = (1 + np.log(tf.astype(np.float32))) * self.weights(self.df, self.df1).astype(np.float32)[of]
-        norm = np.sqrt(np.bincount(owner, weight**2, minlength=len(examples)))
-        weight /= np.where(norm > 0, norm, 1).astype(np.float32)[owner]
+        by_term, weight = self.weights(self.df, self.df1).astype(np.float32), np.empty(len(owner), np.float32)
+        for at in spans:
+            weight[at] = (1 + np.log(tf[at].astype(np.float32))) * by_term[of[at]]
+            norm = np.sqrt(np.bincount(owner[at], weight[at] ** 2, minlength=len(examples)))
+            weight[at] /= np.where(norm > 0, norm, 1).astype(np.float32)[owner[at]]
+        del tf
         self.blocks = -(-len(examples) // BLOCK)
         top = np.argsort(-self.df, kind="stable")[:FREQUENT]
         self.slot = np.full(len(self.terms), -1, np.int16)
@@ -107,14 +121,20 @@ class Index:
         # Weights of the frequent terms in all examples, with block maxima; of the others, lists in order of term and example.
         slot = self.slot[of]
         self.frequent = np.zeros((self.blocks, len(top), BLOCK), np.float32)
-        at = np.flatnonzero(slot >= 0)
-        self.frequent[number[owner[at]] // BLOCK, slot[at], number[owner[at]] % BLOCK] = weight[at]
+        for span in spans:
+            at = span.start + np.flatnonzero(slot[span] >= 0)
+            self.frequent[number[owner[at]] // BLOCK, slot[at], number[owner[at]] % BLOCK] = weight[at]
         self.most = np.ascontiguousarray(self.frequent.max(axis=2, initial=0).T)
-        at = np.flatnonzero(slot < 0)
-        at = at[np.lexsort((number[owner[at]], of[at]))]
-        self.example, self.weight = number[owner[at]], weight[at]
-        self.first = np.searchsorted(of[at], np.arange(len(self.terms) + 1)).astype(np.int32)
-        empty = np.bincount(owner, minlength=len(examples))[order] == 0 if len(examples) else np.zeros(0, bool)
+        rare = slot < 0
+        self.first = np.concatenate([[0], np.cumsum(np.where(self.slot < 0, self.df, 0))]).astype(np.int32)
+        self.example, self.weight = np.empty(self.first[-1], np.int32), np.empty(self.first[-1], np.float32)
+        cuts = np.unique(np.append(np.searchsorted(self.first, np.linspace(0, self.first[-1], 9)), [0, len(self.terms)])).tolist()
+        for low, high in itertools.pairwise(cuts):
+            at = np.flatnonzero(rare & (of >= low) & (of < high))
+            at = at[np.lexsort((number[owner[at]], of[at]))]
+            here = slice(self.first[low], self.first[high])
+            self.example[here], self.weight[here] = number[owner[at]], weight[at]
+        empty = np.array(sizes, np.int64)[order] == 0
         # What to expect of a text that shares no term with any example.
         self.prior = (self.labels[empty].sum() + 0.5 * self.share) / (empty.sum() + 0.5)
         self.slope, self.offset, self.fitted = 1.0, 0.0, False

@@ -9,6 +9,7 @@ from sessile.operators import curves, evaluate, fusion, ridge
 from sessile.plans.predictions import METRICS
 from sessile.plans.validation import _D
 from sessile.roles import SQL, measurements
+from sessile.sources.work import materialised
 
 TWO = ("score", "size")
 ALPHAS = (0.1, 10.0, 1000.0)
@@ -75,6 +76,7 @@ EXPERTS = ("pred_a", "pred_b", "mean", "high", "low")
 def convex_fusion(spark, sf_dir):
     """[E15] Weights of three and of five experts by the convex solver, with the duality gap that bounds their loss's distance from the least."""
     m = measurements(spark, sf_dir, with_id=False).select("angle", "pred_a", "pred_b", F.lit(90.0).alias("mean"), anchored("pred_a", F.lit(12.0)).alias("high"), anchored("pred_b", F.lit(-7.0)).alias("low"))
+    m = materialised(m, "experts")  # each pass reads them again
     rows = []
     for experts in (EXPERTS[:3], EXPERTS):
         fit = fusion.simplex_weights(m, experts, "angle")

@@ -1,16 +1,26 @@
 """Language-model scores by a hashed maximum-entropy model with class-factored softmax.
 
-A word's probability is that of its class, given the words before it, times its
-share of the class. Classes are the most frequent words, one each, and groups of
-all others by a hash of their endings. The class distribution is a softmax over
-the weights of hashed features: the word before, the pair of the two words before,
-and the word before the last (a skip). Words enter features as one of BUCKETS
-numbers, so all texts reduce to counts of (context, class), a table of bounded
-size; each update adds up the gradients that Spark tasks compute over their part of
-it. Texts are scored in batches: the softmax of each context that a batch has.
-
-Word counts stay a distributed table. The most frequent words, a bounded number,
-are sent to all tasks; the others of each text meet the table in a shuffle join.
+A word's probability is that of its class, given the words before it, times that of
+the word within its class, given the word before. Both are softmaxes over the weights
+of hashed features:
+
+* Classes are the most frequent words, one each, and groups of all others by a hash of
+  their endings. Their features are a bias, the word before, the pair of the two words
+  before, and the word before the last (a skip); words enter as one of `buckets` numbers.
+* A word in a group has the log of its count + 1 as a fixed weight and one learned weight
+  for each pair (head, word) that was seen, where the head is the word before as one of
+  `heads` numbers. The sum below the fraction is that of the class plus what the seen
+  pairs change, so it is exact and takes a sum over seen pairs alone.
+
+The counted vocabulary sets the numbers of buckets, classes, hashed rows and heads
+(`Sizes`); the pairs (head, word) are a distributed table without bound. Each update
+adds up gradients that Spark tasks compute over their part of the counts. Of the tables
+that tasks hold, the one of classes and that of sums (heads by classes) stop at
+TABLE_CELLS. Texts are scored in batches: the softmax of each context that a batch has.
+
+Word counts and pairs stay distributed tables. The most frequent words and pairs, a
+bounded number, are sent to all tasks; the others of each text meet the tables in a
+shuffle join.
 """
 
 from __future__ import annotations
@@ -24,33 +34,90 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessile.llm import tokens
-from sessile.llm.common import arrow_rows, fold, stored, table
+from sessile.llm.common import arrow_rows, fold, give_back, stored, table
 
 FOLDS, HELD_OUT = 7, 2
-#: Words known to all tasks at most; the rest is joined.
-FREQUENT = 200_000
-#: Of the buckets, 0 is the start of a text, the next are frequent words, the others endings. Of the classes, the first are frequent words, then the end, then endings.
-BUCKETS, OWN_BUCKETS = 256, 127
-CLASSES, OWN_CLASSES = 64, 31
-#: Rows of the weight table for hashed pairs; bias, word before and skip have rows of their own.
-PAIRS = 4096
-ROWS = 1 + 2 * BUCKETS + PAIRS
+#: Words and pairs known to all tasks at most; the rest is joined.
+FREQUENT, FREQUENT_PAIRS = 200_000, 500_000
+#: Cells at most of a table that every task holds.
+TABLE_CELLS = 1 << 22
 ACTIVE = 4
-UPDATES = 25
+UPDATES, WORD_UPDATES = 25, 10
+#: The inverse variance of a Gaussian prior on the weights of pairs.
+PRIOR = 1.0
+#: Cells of one row of the sums that tasks send.
+SLICE = 8192
 #: The hash that stands for the end of a text; no word is likelier to have it than any other.
 END = np.uint64(0x5EED0F7EC7ED0E4D)
 
 
-def context_rows(contexts: np.ndarray) -> np.ndarray:
-    """The active rows of the weight table for each context (bucket before * BUCKETS + bucket before that)."""
-    b1, b2 = contexts // BUCKETS, contexts % BUCKETS
-    pair = (tokens.mixed(contexts.astype(np.uint64) + np.uint64(1)) % np.uint64(PAIRS)).astype(np.int64)
-    return np.stack([np.zeros(len(contexts), np.int64), 1 + b1, 1 + BUCKETS + b2, 1 + 2 * BUCKETS + pair], 1)
+def _power(x: float, least: int) -> int:
+    return max(least, 1 << max(0, round(np.log2(max(x, 1.0)))))
 
 
-def log_softmax(weights: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+@dataclass(frozen=True)
+class Sizes:
+    """Numbers that follow the counted vocabulary, as powers of two.
+
+    Of the buckets and heads, 0 is the start of a text, the next are frequent words, the
+    others hashes (of endings, of words). Of the classes, the first are frequent words,
+    then comes the end, then endings.
+    """
+
+    buckets: int
+    classes: int
+    heads: int
+
+    @classmethod
+    def of(cls, words: int) -> Sizes:
+        buckets, classes, heads = _power(5 * words ** (1 / 3), 64), _power(4 * words ** (1 / 4), 16), _power(8 * words ** (1 / 2), 256)
+        while cls(buckets, classes, heads).rows * classes > TABLE_CELLS:
+            buckets //= 2
+        while heads * classes > TABLE_CELLS:
+            heads //= 2
+        return cls(buckets, classes, heads)
+
+    @property
+    def own_buckets(self) -> int:
+        return self.buckets // 2 - 1
+
+    @property
+    def own_classes(self) -> int:
+        return self.classes // 2 - 1
+
+    @property
+    def own_heads(self) -> int:
+        return self.heads // 2 - 1
+
+    @property
+    def pairs(self) -> int:
+        """Rows of the class weights for hashed pairs; bias, word before and skip have rows of their own."""
+        return 16 * self.buckets
+
+    @property
+    def rows(self) -> int:
+        return 1 + 2 * self.buckets + self.pairs
+
+    def group(self, endings: np.ndarray) -> np.ndarray:
+        return self.own_classes + 1 + endings % (self.classes - 1 - self.own_classes)
+
+
+def context_rows(contexts: np.ndarray, sizes: Sizes) -> np.ndarray:
+    """The active rows of the class weights for each context (bucket before * buckets + bucket before that)."""
+    b1, b2 = contexts // sizes.buckets, contexts % sizes.buckets
+    pair = (tokens.mixed(contexts.astype(np.uint64) + np.uint64(1)) % np.uint64(sizes.pairs)).astype(np.int64)
+    return np.stack([np.zeros(len(contexts), np.int64), 1 + b1, 1 + sizes.buckets + b2, 1 + 2 * sizes.buckets + pair], 1)
+
+
+def pair_keys(heads: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """64 bits for each (head, word)."""
+    with np.errstate(over="ignore"):
+        return tokens.mixed(words + (heads.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def log_softmax(weights: np.ndarray, contexts: np.ndarray, sizes: Sizes) -> np.ndarray:
     """Natural log of the class distribution of each context."""
-    rows = context_rows(contexts)
+    rows = context_rows(contexts, sizes)
     z = weights[rows[:, 0]]
     for k in range(1, ACTIVE):
         z = z + weights[rows[:, k]]
@@ -60,79 +127,82 @@ def log_softmax(weights: np.ndarray, contexts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Lexicon:
-    """The most frequent words: hashes in order, counts, and those with a bucket or class of their own."""
+    """The most frequent words: hashes in order, counts, and the rank by frequency of those that may have a number of their own."""
 
+    sizes: Sizes
     hashes: np.ndarray
     counts: np.ndarray
     own: np.ndarray  # hashes in order
     own_rank: np.ndarray  # rank by frequency of each of own
 
-    def classes_and_buckets(self, words: np.ndarray, endings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        buckets = (1 + OWN_BUCKETS + endings % np.uint64(BUCKETS - 1 - OWN_BUCKETS)).astype(np.int64)
-        classes = (OWN_CLASSES + 1 + endings % np.uint64(CLASSES - 1 - OWN_CLASSES)).astype(np.int64)
+    def numbers(self, words: np.ndarray, endings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class, bucket and head of each word."""
+        s = self.sizes
+        classes = s.group(endings)
+        buckets = 1 + s.own_buckets + endings % (s.buckets - 1 - s.own_buckets)
+        heads = (1 + s.own_heads + tokens.mixed(words) % np.uint64(s.heads - 1 - s.own_heads)).astype(np.int64)
         if len(self.own):
             at = np.minimum(np.searchsorted(self.own, words), len(self.own) - 1)
             is_own = self.own[at] == words
             rank = self.own_rank[at[is_own]]
-            buckets[is_own] = 1 + rank
-            classes[is_own] = np.where(rank < OWN_CLASSES, rank, classes[is_own])
-        end = words == END
-        classes[end] = OWN_CLASSES
-        return classes, buckets
+            for numbers, first, own in ((classes, 0, s.own_classes), (buckets, 1, s.own_buckets), (heads, 1, s.own_heads)):
+                numbers[is_own] = np.where(rank < own, first + rank, numbers[is_own])
+        classes[words == END] = s.own_classes
+        return classes, buckets, heads
 
 
 def stream(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Chunks of texts as (words, endings, first position of each text), an END after each text."""
+    """Chunks of texts as (words, 16 bits of a hash of their endings, first position of each text), an END after each text."""
     for _, chunk in tokens.in_chunks(texts):
         words, counts, endings = tokens.words_and_ends(chunk)
+        endings = (endings & np.uint64(0xFFFF)).astype(np.int64)
         first = np.concatenate([[0], np.cumsum(counts + 1)])
         is_end = np.zeros(first[-1], bool)
         is_end[first[1:] - 1] = True
-        all_words, all_endings = np.empty(first[-1], np.uint64), np.zeros(first[-1], np.uint64)
+        all_words, all_endings = np.empty(first[-1], np.uint64), np.zeros(first[-1], np.int64)
         all_words[is_end], all_words[~is_end], all_endings[~is_end] = END, words, endings
         yield all_words, all_endings, first
 
 
-def contexts_of(buckets: np.ndarray, first: np.ndarray) -> np.ndarray:
-    one, two = np.concatenate([[0], buckets[:-1]]), np.concatenate([[0, 0], buckets[:-2]])[: len(buckets)]
+def before(numbers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number before each position and the one before that; 0 where a text has none."""
+    one, two = np.concatenate([[0], numbers[:-1]]), np.concatenate([[0, 0], numbers[:-2]])[: len(numbers)]
     starts = first[:-1]
     one[starts] = two[starts] = 0
     second = starts + 1
     two[second[second < first[1:]]] = 0
-    return one * BUCKETS + two
+    return one, two
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
     return [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
-def _group(classes: np.ndarray) -> np.ndarray:
-    return (OWN_CLASSES + 1 + classes % np.uint64(CLASSES - 1 - OWN_CLASSES)).astype(np.int64)
+def merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Arrays (key, others, count) of several parts as one: keys in order, counts of equal keys added up."""
+    arrays = [np.concatenate([h[i] for h in held]) for i in range(len(held[0]))]
+    order = np.argsort(arrays[0], kind="stable")
+    arrays = [x[order] for x in arrays]
+    new = np.flatnonzero(np.concatenate([[True], arrays[0][1:] != arrays[0][:-1]])) if len(order) else order
+    return (*(x[new] for x in arrays[:-1]), np.add.reduceat(arrays[-1], new) if len(new) else arrays[-1])
 
 
 def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words with their counts in a task's texts, and the class that their endings give."""
-    held: list[np.ndarray] = []
-
-    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        w, g, c = (np.concatenate([h[i] for h in held]) for i in range(3))
-        order = np.argsort(w, kind="stable")
-        w, g, c = w[order], g[order], c[order]
-        new = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, np.int64)
-        return w[new], g[new], np.add.reduceat(c, new) if len(new) else c
+    """Words with their counts in a task's texts, and the hash of their endings."""
+    held: list[tuple[np.ndarray, ...]] = []
 
     def out() -> pa.RecordBatch:
-        w, g, c = merged()
+        w, g, c = merged(held)
         return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(g), pa.array(c)], ["w", "g", "c"])
 
     size = 0
     for batch in batches:
         for words, endings, _ in stream(_texts(batch)):
             w, at, c = np.unique(words, return_index=True, return_counts=True)
-            held.append((w, _group(endings[at]), c.astype(np.int64)))
+            held.append((w, endings[at], c.astype(np.int64)))
             size += len(w)
             if size > 3_000_000:
-                held = [merged()]
+                held = [merged(held)]
                 size = len(held[0][0])
                 if size > 2_000_000:
                     yield out()
@@ -141,28 +211,54 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield out()
 
 
-def context_batches(lexicon: Lexicon) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts of (context, class) in a task's texts."""
+COUNTED = "head int, w long, class int, n long"
+
+
+def feature_batches(lexicon: Lexicon) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of a task's texts: (context, class) with head -1 and the context as w, and (head, word) of words in groups."""
+    sizes = lexicon.sizes
+
+    def rows(contexts: tuple[np.ndarray, ...], pairs: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        cell, n = contexts
+        _, word, head, group, m = pairs
+        columns = (
+            np.concatenate([np.full(len(cell), -1, np.int32), head.astype(np.int32)]),
+            np.concatenate([cell // sizes.classes, word.view(np.int64)]),
+            np.concatenate([cell % sizes.classes, group]).astype(np.int32),
+            np.concatenate([n, m]),
+        )
+        for k in range(0, len(columns[0]), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in columns], ["head", "w", "class", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS * BUCKETS * CLASSES, np.int64)
+        contexts, pairs, size = [], [], 0
         for batch in batches:
             for words, endings, first in stream(_texts(batch)):
-                classes, buckets = lexicon.classes_and_buckets(words, endings)
-                cell, n = np.unique(contexts_of(buckets, first) * CLASSES + classes, return_counts=True)
-                total[cell] += n
-        at = np.flatnonzero(total)
-        for k in range(0, len(at), 100_000):
-            part = at[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part // CLASSES), pa.array(part % CLASSES), pa.array(total[part])], ["context", "class", "n"])
+                classes, buckets, heads = lexicon.numbers(words, endings)
+                one, two = before(buckets, first)
+                cell, n = np.unique((one * sizes.buckets + two) * sizes.classes + classes, return_counts=True)
+                contexts.append((cell, n))
+                at = np.flatnonzero(classes > sizes.own_classes)
+                head, word = before(heads, first)[0][at], words[at]
+                key, where, m = np.unique(pair_keys(head, word), return_index=True, return_counts=True)
+                pairs.append((key, word[where], head[where], classes[at][where], m))
+                size += len(cell) + len(key)
+            if size > 2_000_000:
+                contexts, pairs = [merged(contexts)], [merged(pairs)]
+                size = len(contexts[0][0]) + len(pairs[0][0])
+                if size > 1_200_000:
+                    yield from rows(contexts[0], pairs[0])
+                    contexts, pairs, size = [], [], 0
+        if contexts:
+            yield from rows(merged(contexts), merged(pairs))
 
     return run
 
 
-def feature_sums(contexts: np.ndarray, values: np.ndarray) -> np.ndarray:
+def feature_sums(contexts: np.ndarray, values: np.ndarray, sizes: Sizes) -> np.ndarray:
     """Sums of the contexts' rows of values over the rows of the weight table that each context has."""
-    out = np.zeros((ROWS, CLASSES))
-    rows = context_rows(contexts)
+    out = np.zeros((sizes.rows, sizes.classes))
+    rows = context_rows(contexts, sizes)
     for k in range(ACTIVE):
         order = np.argsort(rows[:, k], kind="stable")
         at = rows[order, k]
@@ -171,46 +267,47 @@ def feature_sums(contexts: np.ndarray, values: np.ndarray) -> np.ndarray:
     return out
 
 
-def gradient_batches(weights: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def gradient_batches(weights: np.ndarray | None, sizes: Sizes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Expected feature counts over a part of the contexts, and the log likelihood; without weights the observed counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, likelihood, any_rows = np.zeros((ROWS, CLASSES)), 0.0, False
+        sums, likelihood, any_rows = np.zeros((sizes.rows, sizes.classes)), 0.0, False
         for batch in batches:
             if not batch.num_rows:
                 continue
             any_rows = True
             contexts = batch.column("context").to_numpy()
-            n = np.zeros((len(contexts), CLASSES))
+            n = np.zeros((len(contexts), sizes.classes))
             lists = batch.column("cells")
             owner = np.repeat(np.arange(len(contexts)), np.diff(lists.offsets.to_numpy()))
             cells = lists.flatten()
             n[owner, cells.field("class").to_numpy()] = cells.field("n").to_numpy()
             if weights is None:
-                sums += feature_sums(contexts, n)
+                sums += feature_sums(contexts, n, sizes)
                 continue
-            logs = log_softmax(weights, contexts)
+            logs = log_softmax(weights, contexts, sizes)
             likelihood += float((n * logs).sum())
-            sums += feature_sums(contexts, np.exp(logs) * n.sum(axis=1, keepdims=True))
+            sums += feature_sums(contexts, np.exp(logs) * n.sum(axis=1, keepdims=True), sizes)
         if any_rows:
             yield pa.RecordBatch.from_arrays([pa.array([sums.astype("<f4").tobytes()], pa.binary()), pa.array([likelihood])], ["sums", "likelihood"])
 
     return run
 
 
-def train(cells: DataFrame, updates: int = UPDATES) -> tuple[np.ndarray, list[float]]:
-    """Weights of the feature rows, and the log likelihood before each update.
+def train(cells: DataFrame, sizes: Sizes, updates: int = UPDATES) -> tuple[np.ndarray, list[float]]:
+    """Class weights of the feature rows, and the log likelihood before each update.
 
     The gradient of a weight is its observed count less the expected one. Each is
     divided by the larger of the two (and by the features active at a time), which
-    bounds the step. Tasks return one table of fixed size, ROWS by CLASSES.
+    bounds the step. Tasks return one table each, rows by classes.
     """
+    shape = (sizes.rows, sizes.classes)
 
     def summed(weights: np.ndarray | None) -> tuple[np.ndarray, float]:
-        parts = cells.mapInArrow(gradient_batches(weights), "sums binary, likelihood double").collect()
-        return sum((np.frombuffer(p.sums, "<f4").reshape(ROWS, CLASSES).astype(np.float64) for p in parts), np.zeros((ROWS, CLASSES))), sum(p.likelihood for p in parts)
+        parts = cells.mapInArrow(gradient_batches(weights, sizes), "sums binary, likelihood double").collect()
+        return sum((np.frombuffer(p.sums, "<f4").reshape(shape).astype(np.float64) for p in parts), np.zeros(shape)), sum(p.likelihood for p in parts)
 
-    weights, told = np.zeros((ROWS, CLASSES)), []
+    weights, told = np.zeros(shape), []
     seen, _ = summed(None)
     for _ in range(updates if seen.any() else 0):
         expected, likelihood = summed(weights)
@@ -219,82 +316,200 @@ def train(cells: DataFrame, updates: int = UPDATES) -> tuple[np.ndarray, list[fl
     return weights, told
 
 
+def pair_weights(n: np.ndarray, base: np.ndarray, cell: np.ndarray, totals: np.ndarray, sums: list[np.ndarray]) -> np.ndarray:
+    """Weights of pairs after the updates whose sums below the fraction are given, each by cell (head, class).
+
+    An update adds the gradient of the penalised log likelihood (count, less the
+    expected count, less PRIOR times the weight) over the larger of the two counts plus
+    PRIOR. A pair needs no state but the sums of its cell, so updates can be made again anywhere.
+    """
+    weights = np.zeros(len(n))
+    for below in sums:
+        expected = totals[cell] / below[cell] * base * np.exp(weights)
+        weights += (n - expected - PRIOR * weights) / (np.maximum(n, expected) + PRIOR)
+    return weights
+
+
+def _pair_arrays(batch: pa.RecordBatch, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    cell = batch.column("head").to_numpy().astype(np.int64) * classes + batch.column("class").to_numpy()
+    return batch.column("n").to_numpy().astype(np.float64), batch.column("c").to_numpy() + 1.0, cell
+
+
+def cell_sums(pairs: DataFrame, sizes: Sizes, totals: np.ndarray | None, sums: list[np.ndarray]) -> np.ndarray:
+    """By cell (head, class): counts of its pairs, or with totals what the pairs' weights add to the sum below the fraction.
+
+    Tasks send tables in slices, each of which is added up in one task; the driver gets one table of heads by classes.
+    """
+    cells = sizes.heads * sizes.classes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(cells)
+        for batch in batches:
+            n, base, cell = _pair_arrays(batch, sizes.classes)
+            out += np.bincount(cell, n if totals is None else base * np.expm1(pair_weights(n, base, cell, totals, sums)), cells)
+        parts = [out[k : k + SLICE] for k in range(0, cells, SLICE)]
+        used = [k for k, p in enumerate(parts) if p.any()]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[k].tobytes() for k in used], pa.binary())], ["slice", "sums"])
+
+    def add(part: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.float64) for x in part["sums"])
+        return pa.table({"slice": part["slice"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros(cells)
+    for r in arrow_rows(pairs, 200_000).mapInArrow(run, "slice int, sums binary").groupBy("slice").applyInArrow(add, "slice int, sums binary").collect():
+        part = np.frombuffer(r.sums, np.float64)
+        out[r.slice * SLICE : r.slice * SLICE + len(part)] = part
+    return out
+
+
+def train_pairs(pairs: DataFrame, sizes: Sizes, class_sums: np.ndarray, updates: int = WORD_UPDATES) -> tuple[DataFrame, np.ndarray]:
+    """Weights of pairs as a table (k, gain, n), and the sums below the fraction by head and class.
+
+    pairs has head, w, class, n and the word's count c; class_sums are the sums of
+    classes without any pair.
+    """
+    bare = np.tile(class_sums, sizes.heads)
+    totals, sums = cell_sums(pairs, sizes, None, []).astype(np.float32), [bare.astype(np.float32)]
+    below = bare
+    for k in range(updates if totals.any() else 0):
+        below = bare + cell_sums(pairs, sizes, totals, sums)
+        if k + 1 < updates:
+            sums.append(below.astype(np.float32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, base, cell = _pair_arrays(batch, sizes.classes)
+            key = pair_keys(batch.column("head").to_numpy(), batch.column("w").to_numpy().view(np.uint64))
+            gain = pair_weights(n, base, cell, totals, sums) / np.log(10)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(gain), batch.column("n")], ["k", "gain", "n"])
+
+    return stored(arrow_rows(pairs, 200_000).mapInArrow(run, "k long, gain double, n long"), "pair-weights"), below.reshape(sizes.heads, sizes.classes)
+
+
+def _level(count: str):  # noqa: ANN202
+    return F.floor(F.log2(count) * 16)
+
+
+def most_frequent(counts: DataFrame, count: str, most: int) -> tuple[DataFrame, DataFrame, int]:
+    """The rows with the largest counts, so many at most, cut between levels of counts; the others; all rows' number."""
+    by_level = sorted(counts.groupBy(_level(count).alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.level)
+    least, known = 1 << 30, 0
+    for r in by_level:
+        if known + r.n > most:
+            break
+        least, known = r.level, known + r.n
+    return counts.filter(_level(count) >= least), counts.filter(_level(count) < least), sum(r.n for r in by_level)
+
+
 @dataclass
 class Model:
     lexicon: Lexicon
     weights: np.ndarray
+    below: np.ndarray  # sums below the fraction by head and class
+    pair_keys: np.ndarray  # of frequent pairs, in order
+    pair_gains: np.ndarray
     tokens: int  # of the training texts
     words: int  # distinct ones
     class_tokens: np.ndarray
     class_words: np.ndarray
 
 
-def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of the documents (all of them), and their word counts (w, c)."""
+def fit(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
+    """The model of the documents (all of them), their word counts (w, c) and the pairs that the model does not hold (k, gain)."""
     texts = docs.select("text")
     words = stored(arrow_rows(texts).mapInArrow(count_batches, "w long, g long, c long").groupBy("w", "g").agg(F.sum("c").alias("c")), "word-counts")
-    level = F.floor(F.log2("c") * 16)
-    by_level = sorted(words.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.level)
-    least, known = None, 0
-    for r in by_level:
-        if known + r.n > FREQUENT:
-            break
-        least, known = r.level, known + r.n
-    top = words.filter(level >= (least if least is not None else 1 << 30)).select("w", "c").toPandas()
+    top, _, distinct = most_frequent(words, "c", FREQUENT)
+    sizes = Sizes.of(distinct)
+    top = top.select("w", "c").toPandas()
     hashes, counts = top["w"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
     order = np.argsort(hashes)
     ranked = np.lexsort((hashes, -counts))
-    own = hashes[ranked[hashes[ranked] != END][:OWN_BUCKETS]]
+    own = hashes[ranked[hashes[ranked] != END][: max(sizes.own_heads, sizes.own_buckets, sizes.own_classes)]]
     place = np.argsort(own)
-    lexicon = Lexicon(hashes[order], counts[order], own[place], place)
-    cells = arrow_rows(texts).mapInArrow(context_batches(lexicon), "context long, class long, n long").groupBy("context", "class").agg(F.sum("n").alias("n"))
-    cells = stored(cells.groupBy("context").agg(F.collect_list(F.struct("class", "n")).alias("cells")), "contexts")
-    # BUCKETS * BUCKETS rows at most: a few tasks are enough for them.
-    weights, _ = train(arrow_rows(cells.coalesce(8), 5_000))
-    class_tokens, class_words = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for r in words.groupBy("g").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
+    lexicon = Lexicon(sizes, hashes[order], counts[order], own[place], place)
+
+    # Tasks have added up their own counts, so rows of one word are few: its heads (or classes) by tasks.
+    counted = arrow_rows(texts).mapInArrow(feature_batches(lexicon), COUNTED).repartition("w").groupBy("w", "head", "class").agg(F.sum("n").alias("n"))
+    counted = stored(counted.join(words.select("w", "c"), "w", "left"), "features")
+    cells = counted.filter("head < 0").groupBy(F.col("w").alias("context")).agg(F.collect_list(F.struct("class", "n")).alias("cells"))
+    cells = stored(cells, "contexts")
+    # buckets * buckets rows at most: a few tasks are enough for them.
+    weights, _ = train(arrow_rows(cells.coalesce(max(8, sizes.buckets**2 >> 13)), 5_000), sizes)
+
+    group = F.lit(sizes.own_classes + 1) + F.col("g") % (sizes.classes - 1 - sizes.own_classes)
+    class_tokens, class_words = np.zeros(sizes.classes, np.int64), np.zeros(sizes.classes, np.int64)
+    for r in words.groupBy(group.cast("int").alias("g")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
         class_tokens[r.g], class_words[r.g] = r.c, r.n
-    total, distinct = int(class_tokens.sum()), int(class_words.sum())
     # Words with a class of their own leave the class of their endings.
-    chosen = [(int(w).to_bytes(8, "little"), i) for w, i in zip(lexicon.own, lexicon.own_rank, strict=True) if i < OWN_CLASSES]
-    single = {int(np.frombuffer(b, np.int64)[0]): i for b, i in chosen} | {int(END.view(np.int64)): OWN_CLASSES}
-    for r in words.filter(F.col("w").isin(list(single))).collect():
+    single = {int(w): int(i) for w, i in zip(lexicon.own.view(np.int64), lexicon.own_rank, strict=True) if i < sizes.own_classes} | {int(END.view(np.int64)): sizes.own_classes}
+    total = int(class_tokens.sum())
+    for r in words.filter(F.col("w").isin(list(single))).select("w", "c", group.cast("int").alias("g")).collect():
         class_tokens[r.g] -= r.c
         class_words[r.g] -= 1
         class_tokens[single[r.w]], class_words[single[r.w]] = r.c, 1
-    return Model(lexicon, weights, total, distinct, class_tokens, class_words), words.select("w", "c")
+
+    pairs = counted.filter("head >= 0")
+    pairs = pairs.coalesce(max(16, pairs.count() // 500_000))
+    gains, below = train_pairs(pairs, sizes, class_tokens + class_words + 1.0)
+    top, rest, _ = most_frequent(gains, "n", FREQUENT_PAIRS)
+    top = top.select("k", "gain").toPandas()
+    keys = top["k"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    model = Model(lexicon, weights, below, keys[order], top["gain"].to_numpy(np.float64)[order], total, distinct, class_tokens, class_words)
+    give_back()
+    return model, words.select("w", "c"), rest.select("k", "gain")
+
+
+def _found(held: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each value in an array in order, and whether it is there."""
+    if not len(held):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(held, values), len(held) - 1)
+    return at, held[at] == values
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.zeros(len(values) + 1, np.int32)
+    np.cumsum([len(v) for v in values], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64), pa.int64()))
+
+
+SCORED = "n_tokens long, known long, logs double, parts double, rare array<long>, rare_pairs array<long>"
 
 
 def score_batches(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per text: tokens; known ones and log10(count + 1) of frequent words; log10 of classes and shares; the other words."""
+    """Per text: tokens; known ones and log10(count + 1) of frequent words; log10 of the rest; the other words and pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = model.lexicon
-        per_class = np.log10(model.class_tokens + model.class_words + 1.0)
+        lex, sizes = model.lexicon, model.lexicon.sizes
+        log_below = np.log10(model.below)
         log_counts = np.log10(lex.counts + 1.0)
         for batch in batches:
-            sizes, known, logs, parts, rare = [], [], [], [], []
+            sizes_of, known, logs, parts, rare, rare_pairs = [], [], [], [], [], []
             for words, endings, first in stream(_texts(batch)):
-                classes, buckets = lex.classes_and_buckets(words, endings)
-                context, at = np.unique(contexts_of(buckets, first), return_inverse=True)
-                by_class = log_softmax(model.weights, context)[at, classes] / np.log(10) - per_class[classes]
-                if len(lex.hashes):
-                    place = np.minimum(np.searchsorted(lex.hashes, words), len(lex.hashes) - 1)
-                    frequent = lex.hashes[place] == words
-                    value = np.where(frequent, log_counts[place], 0.0)
-                else:
-                    frequent, value = np.zeros(len(words), bool), np.zeros(len(words))
-                starts = first[:-1]
-                sizes.append(np.diff(first))
+                classes, buckets, heads = lex.numbers(words, endings)
+                one, two = before(buckets, first)
+                head = before(heads, first)[0]
+                context, at = np.unique(one * sizes.buckets + two, return_inverse=True)
+                part = log_softmax(model.weights, context, sizes)[at, classes] / np.log(10) - log_below[head, classes]
+                place, frequent = _found(lex.hashes, words)
+                value = np.zeros(len(words))
+                value[frequent] = log_counts[place[frequent]]
+                grouped = np.flatnonzero(classes > sizes.own_classes)
+                keys = pair_keys(head[grouped], words[grouped])
+                place, sent = _found(model.pair_keys, keys)
+                part[grouped[sent]] += model.pair_gains[place[sent]]
+                starts, cuts = first[:-1], first[1:-1]
+                sizes_of.append(np.diff(first))
                 known.append(np.add.reduceat(frequent.astype(np.int64), starts))
                 logs.append(np.add.reduceat(value, starts))
-                parts.append(np.add.reduceat(by_class, starts))
-                rare += [w[~f].view(np.int64) for w, f in zip(np.split(words, first[1:-1]), np.split(frequent, first[1:-1]), strict=True)]
-            offsets = np.zeros(len(rare) + 1, np.int32)
-            np.cumsum([len(r) for r in rare], out=offsets[1:])
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rare) if rare else np.zeros(0, np.int64), pa.int64()))
-            columns = [pa.array(np.concatenate(x) if x else np.zeros(0), kind) for x, kind in ((sizes, pa.int64()), (known, pa.int64()), (logs, pa.float64()), (parts, pa.float64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *columns, lists], ["doc_id", "held_out", "n_tokens", "known", "logs", "parts", "rare"])
+                parts.append(np.add.reduceat(part, starts))
+                other = np.flatnonzero(~frequent)
+                rare += np.split(words[other].view(np.int64), np.searchsorted(other, cuts))
+                other = grouped[~sent]
+                rare_pairs += np.split(keys[~sent].view(np.int64), np.searchsorted(other, cuts))
+            columns = [pa.array(np.concatenate(x) if x else np.zeros(0), kind) for x, kind in ((sizes_of, pa.int64()), (known, pa.int64()), (logs, pa.float64()), (parts, pa.float64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *columns, _lists(rare), _lists(rare_pairs)], ["doc_id", "held_out", "n_tokens", "known", "logs", "parts", "rare", "rare_pairs"])
 
     return run
 
@@ -308,20 +523,21 @@ def score(docs: DataFrame, train_on: DataFrame | None = None) -> DataFrame:
     other columns are ignored.
     """
     marked = docs.select("doc_id", "text", (fold(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"))
-    model, words = fit(marked.filter(~F.col("held_out")) if train_on is None else train_on)
+    model, words, pairs = fit(marked.filter(~F.col("held_out")) if train_on is None else train_on)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = arrow_rows(marked).mapInArrow(score_batches(model), f"doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, parts double, rare array<long>")
+    out = arrow_rows(marked).mapInArrow(score_batches(model), f"doc_id {kind}, held_out boolean, {SCORED}")
     out = stored(out.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
-    rare = out.select("row", F.explode("rare").alias("w")).join(words, "w").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1.0)).alias("more_logs"))
+    rare_words = out.select("row", F.explode("rare").alias("w")).join(words, "w").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1.0)).alias("more_logs"))
+    rare_pairs = out.select("row", F.explode("rare_pairs").alias("k")).join(pairs, "k").groupBy("row").agg(F.sum("gain").alias("gain"))
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
-    return out.drop("rare").join(rare, "row", "left").select(
+    return out.drop("rare", "rare_pairs").join(rare_words, "row", "left").join(rare_pairs, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (logs - F.col("n_tokens") * F.log10(F.lit(float(model.tokens + model.words + 1)))).alias("base_score"),
-        (logs + F.col("parts")).alias("score"),
+        (logs + F.col("parts") + F.coalesce("gain", F.lit(0.0))).alias("score"),
     )
 
 

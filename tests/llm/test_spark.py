@@ -262,7 +262,7 @@ def test_lm_scoring(docs, rows, frequent, monkeypatch):
 
 
 def test_lm_probabilities_sum_to_one(docs, rows):
-    model, words = maxent.fit(docs.select("text"))
+    model, words, _ = maxent.fit(docs.select("text"))
     assert int(model.class_tokens.sum()) == model.tokens == words.agg(F.sum("c")).first()[0]
     # Known words take (count + 1) / (tokens + words + 1) of their class; the rest is for unknown ones.
     known = (model.class_tokens + model.class_words) / (model.class_tokens + model.class_words + 1)

@@ -7,13 +7,14 @@ of hashed features:
 * Classes are the most frequent words, one each, and groups of all others by a hash of
   their endings. Their features are a bias, the word before, the pair of the two words
   before, and the word before the last (a skip); words enter as one of `buckets` numbers.
-* A word in a group has the log of its count + 1 as a fixed weight and one learned weight
-  for each pair (head, word) that was seen, where the head is the word before as one of
-  `heads` numbers. The sum below the fraction is that of the class plus what the seen
-  pairs change, so it is exact and takes a sum over seen pairs alone.
+* A word in a group has the log of its count + 1 as a fixed weight and, if it is among the
+  FREQUENT ones, a learned weight for each pair (head, word) seen LEAST_SEEN times, where
+  the head is the word before as one of `heads` numbers. The sum below the fraction is
+  that of the class plus what these pairs change, so it is exact and takes a sum over
+  them alone.
 
 The counted vocabulary sets the numbers of buckets, classes, hashed rows and heads
-(`Sizes`); the pairs (head, word) are a distributed table without bound. Each update
+(`Sizes`); the pairs (head, word) are a distributed table. Each update
 adds up gradients that Spark tasks compute over their part of the counts. Of the tables
 that tasks hold, the one of classes and that of sums (heads by classes) stop at
 TABLE_CELLS. Texts are scored in batches: the softmax of each context that a batch has.
@@ -38,11 +39,15 @@ from sessile.llm.common import arrow_rows, fold, give_back, stored, table
 
 FOLDS, HELD_OUT = 7, 2
 #: Words and pairs known to all tasks at most; the rest is joined.
-FREQUENT, FREQUENT_PAIRS = 200_000, 500_000
+FREQUENT, FREQUENT_PAIRS = 200_000, 1_000_000
 #: Cells at most of a table that every task holds.
 TABLE_CELLS = 1 << 22
 ACTIVE = 4
-UPDATES, WORD_UPDATES = 25, 10
+UPDATES, PAIR_UPDATES = 25, 4
+#: A pair has a weight if it was seen so often.
+LEAST_SEEN = 2
+#: Slots of the bitmap that tells most pairs without a weight from those to be joined.
+SLOTS = 1 << 25
 #: The inverse variance of a Gaussian prior on the weights of pairs.
 PRIOR = 1.0
 #: Cells of one row of the sums that tasks send.
@@ -70,7 +75,7 @@ class Sizes:
 
     @classmethod
     def of(cls, words: int) -> Sizes:
-        buckets, classes, heads = _power(5 * words ** (1 / 3), 64), _power(4 * words ** (1 / 4), 16), _power(8 * words ** (1 / 2), 256)
+        buckets, classes, heads = _power(12 * words ** (1 / 5), 64), _power(3 * words ** (1 / 5), 16), _power(words ** (1 / 2) / 2, 128)
         while cls(buckets, classes, heads).rows * classes > TABLE_CELLS:
             buckets //= 2
         while heads * classes > TABLE_CELLS:
@@ -94,6 +99,15 @@ class Sizes:
         """Rows of the class weights for hashed pairs; bias, word before and skip have rows of their own."""
         return 16 * self.buckets
 
+    @property
+    def first_total(self) -> int:
+        """Keys of counts: first (context, class), from here (head, class) of words in groups, then (rank, head)."""
+        return self.buckets * self.buckets * self.classes
+
+    @property
+    def first_pair(self) -> int:
+        return self.first_total + self.heads * self.classes
+
     @property
     def rows(self) -> int:
         return 1 + 2 * self.buckets + self.pairs
@@ -109,12 +123,6 @@ def context_rows(contexts: np.ndarray, sizes: Sizes) -> np.ndarray:
     return np.stack([np.zeros(len(contexts), np.int64), 1 + b1, 1 + sizes.buckets + b2, 1 + 2 * sizes.buckets + pair], 1)
 
 
-def pair_keys(heads: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """64 bits for each (head, word)."""
-    with np.errstate(over="ignore"):
-        return tokens.mixed(words + (heads.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-
-
 def log_softmax(weights: np.ndarray, contexts: np.ndarray, sizes: Sizes) -> np.ndarray:
     """Natural log of the class distribution of each context."""
     rows = context_rows(contexts, sizes)
@@ -125,30 +133,51 @@ def log_softmax(weights: np.ndarray, contexts: np.ndarray, sizes: Sizes) -> np.n
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
+def _found(held: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each value in an array in order, and whether it is there."""
+    if not len(held):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(held, values), len(held) - 1)
+    return at, held[at] == values
+
+
 @dataclass
 class Lexicon:
-    """The most frequent words: hashes in order, counts, and the rank by frequency of those that may have a number of their own."""
+    """The most frequent words: hashes in order, counts, ranks by frequency (the end: -1); by rank count + 1 and class."""
 
     sizes: Sizes
     hashes: np.ndarray
     counts: np.ndarray
-    own: np.ndarray  # hashes in order
-    own_rank: np.ndarray  # rank by frequency of each of own
+    ranks: np.ndarray
+    bases: np.ndarray
+    classes: np.ndarray
 
-    def numbers(self, words: np.ndarray, endings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Class, bucket and head of each word."""
+    @classmethod
+    def of(cls, sizes: Sizes, hashes: np.ndarray, endings: np.ndarray, counts: np.ndarray) -> Lexicon:
+        order = np.argsort(hashes)
+        hashes, endings, counts = hashes[order], endings[order], counts[order]
+        by_count = np.lexsort((hashes, -counts))
+        by_count = by_count[hashes[by_count] != END]
+        ranks = np.full(len(hashes), -1, np.int64)
+        ranks[by_count] = np.arange(len(by_count))
+        classes = sizes.group(endings[by_count])
+        own = min(sizes.own_classes, len(classes))
+        classes[:own] = np.arange(own)
+        return cls(sizes, hashes, counts, ranks, counts[by_count] + 1.0, classes)
+
+    def numbers(self, words: np.ndarray, endings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Class, bucket, head and rank (-1: none) of each word."""
         s = self.sizes
-        classes = s.group(endings)
-        buckets = 1 + s.own_buckets + endings % (s.buckets - 1 - s.own_buckets)
-        heads = (1 + s.own_heads + tokens.mixed(words) % np.uint64(s.heads - 1 - s.own_heads)).astype(np.int64)
-        if len(self.own):
-            at = np.minimum(np.searchsorted(self.own, words), len(self.own) - 1)
-            is_own = self.own[at] == words
-            rank = self.own_rank[at[is_own]]
-            for numbers, first, own in ((classes, 0, s.own_classes), (buckets, 1, s.own_buckets), (heads, 1, s.own_heads)):
-                numbers[is_own] = np.where(rank < own, first + rank, numbers[is_own])
+        at, known = _found(self.hashes, words)
+        rank = np.where(known, self.ranks[at], -1) if len(self.hashes) else np.full(len(words), -1)
+        other = (tokens.mixed(words) % np.uint64(s.heads - 1 - s.own_heads)).astype(np.int64)
+
+        def own(most: int, first: int, otherwise: np.ndarray) -> np.ndarray:
+            return np.where((rank >= 0) & (rank < most), first + rank, otherwise)
+
+        classes = own(s.own_classes, 0, s.group(endings))
         classes[words == END] = s.own_classes
-        return classes, buckets, heads
+        return classes, own(s.own_buckets, 1, 1 + s.own_buckets + endings % (s.buckets - 1 - s.own_buckets)), own(s.own_heads, 1, 1 + s.own_heads + other), rank
 
 
 def stream(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -211,46 +240,34 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield out()
 
 
-COUNTED = "head int, w long, class int, n long"
-
-
 def feature_batches(lexicon: Lexicon) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts of a task's texts: (context, class) with head -1 and the context as w, and (head, word) of words in groups."""
-    sizes = lexicon.sizes
+    """Counts of a task's texts by key: (context, class), (head, class) of words in groups, (rank, head) of those with a rank."""
+    s = lexicon.sizes
 
-    def rows(contexts: tuple[np.ndarray, ...], pairs: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-        cell, n = contexts
-        _, word, head, group, m = pairs
-        columns = (
-            np.concatenate([np.full(len(cell), -1, np.int32), head.astype(np.int32)]),
-            np.concatenate([cell // sizes.classes, word.view(np.int64)]),
-            np.concatenate([cell % sizes.classes, group]).astype(np.int32),
-            np.concatenate([n, m]),
-        )
-        for k in range(0, len(columns[0]), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in columns], ["head", "w", "class", "n"])
+    def rows(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(key), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(key[k : k + 100_000]), pa.array(n[k : k + 100_000])], ["key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contexts, pairs, size = [], [], 0
+        held, size = [], 0
         for batch in batches:
             for words, endings, first in stream(_texts(batch)):
-                classes, buckets, heads = lexicon.numbers(words, endings)
+                classes, buckets, heads, rank = lexicon.numbers(words, endings)
                 one, two = before(buckets, first)
-                cell, n = np.unique((one * sizes.buckets + two) * sizes.classes + classes, return_counts=True)
-                contexts.append((cell, n))
-                at = np.flatnonzero(classes > sizes.own_classes)
-                head, word = before(heads, first)[0][at], words[at]
-                key, where, m = np.unique(pair_keys(head, word), return_index=True, return_counts=True)
-                pairs.append((key, word[where], head[where], classes[at][where], m))
-                size += len(cell) + len(key)
-            if size > 2_000_000:
-                contexts, pairs = [merged(contexts)], [merged(pairs)]
-                size = len(contexts[0][0]) + len(pairs[0][0])
-                if size > 1_200_000:
-                    yield from rows(contexts[0], pairs[0])
-                    contexts, pairs, size = [], [], 0
-        if contexts:
-            yield from rows(merged(contexts), merged(pairs))
+                head = before(heads, first)[0]
+                grouped = classes > s.own_classes
+                ranked = grouped & (rank >= 0)
+                keys = ((one * s.buckets + two) * s.classes + classes, s.first_total + head[grouped] * s.classes + classes[grouped], s.first_pair + rank[ranked] * s.heads + head[ranked])
+                held.append(np.unique(np.concatenate(keys), return_counts=True))
+                size += len(held[-1][0])
+            if size > 6_000_000:
+                held = [merged(held)]
+                size = len(held[0][0])
+                if size > 4_000_000:
+                    yield from rows(*held[0])
+                    held, size = [], 0
+        if held:
+            yield from rows(*merged(held))
 
     return run
 
@@ -316,76 +333,107 @@ def train(cells: DataFrame, sizes: Sizes, updates: int = UPDATES) -> tuple[np.nd
     return weights, told
 
 
-def pair_weights(n: np.ndarray, base: np.ndarray, cell: np.ndarray, totals: np.ndarray, sums: list[np.ndarray]) -> np.ndarray:
-    """Weights of pairs after the updates whose sums below the fraction are given, each by cell (head, class).
+def pair_weights(n: np.ndarray, base: np.ndarray, totals: np.ndarray, bare: np.ndarray, below: list[np.ndarray]) -> np.ndarray:
+    """Weights of pairs after the updates whose sums below the fraction are given.
 
-    An update adds the gradient of the penalised log likelihood (count, less the
-    expected count, less PRIOR times the weight) over the larger of the two counts plus
-    PRIOR. A pair needs no state but the sums of its cell, so updates can be made again anywhere.
+    n and base are the counts of pairs and of words + 1, totals the occurrences of any
+    word of the class after the head, bare and below the sums: without weights, and before
+    each update. Weights start at the log of the ratio of counts to expected counts. An
+    update adds the gradient of the penalised log likelihood (count, less the expected
+    count, less PRIOR times the weight) over the larger of the two counts plus PRIOR. No
+    state but the sums is needed, so a lost task makes its updates again.
     """
-    weights = np.zeros(len(n))
-    for below in sums:
-        expected = totals[cell] / below[cell] * base * np.exp(weights)
+    weights = np.log((n + PRIOR) / (totals / bare * base + PRIOR))
+    for sums in below:
+        expected = totals / sums * base * np.exp(weights)
         weights += (n - expected - PRIOR * weights) / (np.maximum(n, expected) + PRIOR)
     return weights
 
 
-def _pair_arrays(batch: pa.RecordBatch, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    cell = batch.column("head").to_numpy().astype(np.int64) * classes + batch.column("class").to_numpy()
-    return batch.column("n").to_numpy().astype(np.float64), batch.column("c").to_numpy() + 1.0, cell
+@dataclass
+class PairModel:
+    """What tasks need to tell the weights of pairs: by rank count + 1 and class, by class the bare sums, by cell (head, class) totals and sums."""
+
+    sizes: Sizes
+    bases: np.ndarray
+    classes: np.ndarray
+    class_sums: np.ndarray
+    totals: np.ndarray
+    below: list[np.ndarray]
 
+    def weigh(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of pairs from 0, cells, and weights."""
+        key = batch.column("key").to_numpy() - self.sizes.first_pair
+        rank = key // self.sizes.heads
+        group = self.classes[rank]
+        cell = key % self.sizes.heads * self.sizes.classes + group
+        n = batch.column("n").to_numpy().astype(np.float64)
+        return key, cell, pair_weights(n, self.bases[rank], self.totals[cell], self.class_sums[group], [b[cell] for b in self.below])
 
-def cell_sums(pairs: DataFrame, sizes: Sizes, totals: np.ndarray | None, sums: list[np.ndarray]) -> np.ndarray:
-    """By cell (head, class): counts of its pairs, or with totals what the pairs' weights add to the sum below the fraction.
+
+def cell_sums(pairs: DataFrame, model: PairModel) -> np.ndarray:
+    """By cell (head, class): what the pairs' weights add to the sum below the fraction.
 
     Tasks send tables in slices, each of which is added up in one task; the driver gets one table of heads by classes.
     """
-    cells = sizes.heads * sizes.classes
+    cells = model.sizes.heads * model.sizes.classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(cells)
         for batch in batches:
-            n, base, cell = _pair_arrays(batch, sizes.classes)
-            out += np.bincount(cell, n if totals is None else base * np.expm1(pair_weights(n, base, cell, totals, sums)), cells)
-        parts = [out[k : k + SLICE] for k in range(0, cells, SLICE)]
-        used = [k for k, p in enumerate(parts) if p.any()]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([parts[k].tobytes() for k in used], pa.binary())], ["slice", "sums"])
+            key, cell, weights = model.weigh(batch)
+            out += np.bincount(cell, model.bases[key // model.sizes.heads] * np.expm1(weights), cells)
+        used = [k for k in range(0, cells, SLICE) if out[k : k + SLICE].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([out[k : k + SLICE].tobytes() for k in used], pa.binary())], ["first", "sums"])
 
     def add(part: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_py(), np.float64) for x in part["sums"])
-        return pa.table({"slice": part["slice"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"first": part["first"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
 
     out = np.zeros(cells)
-    for r in arrow_rows(pairs, 200_000).mapInArrow(run, "slice int, sums binary").groupBy("slice").applyInArrow(add, "slice int, sums binary").collect():
+    for r in arrow_rows(pairs, 200_000).mapInArrow(run, "first int, sums binary").groupBy("first").applyInArrow(add, "first int, sums binary").collect():
         part = np.frombuffer(r.sums, np.float64)
-        out[r.slice * SLICE : r.slice * SLICE + len(part)] = part
+        out[r.first : r.first + len(part)] = part
     return out
 
 
-def train_pairs(pairs: DataFrame, sizes: Sizes, class_sums: np.ndarray, updates: int = WORD_UPDATES) -> tuple[DataFrame, np.ndarray]:
-    """Weights of pairs as a table (k, gain, n), and the sums below the fraction by head and class.
+def train_pairs(pairs: DataFrame, lexicon: Lexicon, totals: np.ndarray, class_sums: np.ndarray) -> tuple[DataFrame, np.ndarray]:
+    """Weights of pairs (key, n) as a table (k, gain, n), and the sums below the fraction by head and class.
 
-    pairs has head, w, class, n and the word's count c; class_sums are the sums of
-    classes without any pair.
+    totals has the occurrences of each (head, class), class_sums the sums of classes without any pair.
     """
-    bare = np.tile(class_sums, sizes.heads)
-    totals, sums = cell_sums(pairs, sizes, None, []).astype(np.float32), [bare.astype(np.float32)]
-    below = bare
-    for k in range(updates if totals.any() else 0):
-        below = bare + cell_sums(pairs, sizes, totals, sums)
-        if k + 1 < updates:
-            sums.append(below.astype(np.float32))
+    sizes = lexicon.sizes
+    model = PairModel(sizes, lexicon.bases, lexicon.classes, class_sums, totals.astype(np.float32), [])
+    for k in range(PAIR_UPDATES + 1):
+        below = np.tile(class_sums, sizes.heads) + cell_sums(pairs, model)
+        if k < PAIR_UPDATES:
+            model.below.append(below.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, base, cell = _pair_arrays(batch, sizes.classes)
-            key = pair_keys(batch.column("head").to_numpy(), batch.column("w").to_numpy().view(np.uint64))
-            gain = pair_weights(n, base, cell, totals, sums) / np.log(10)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(gain), batch.column("n")], ["k", "gain", "n"])
+            key, _, weights = model.weigh(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(weights / np.log(10)), batch.column("n")], ["k", "gain", "n"])
 
     return stored(arrow_rows(pairs, 200_000).mapInArrow(run, "k long, gain double, n long"), "pair-weights"), below.reshape(sizes.heads, sizes.classes)
 
 
+def slots(keys: np.ndarray) -> np.ndarray:
+    return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 25)).astype(np.int64)
+
+
+def bitmap(pairs: DataFrame) -> np.ndarray:
+    """A table of SLOTS bits, true at the slot of each pair: a pair whose bit is false is not among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(slots(batch.column("k").to_numpy()))], ["slot"])
+
+    bits = arrow_rows(pairs.select("k"), 200_000).mapInArrow(run, "slot long").groupBy(F.shiftright("slot", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, int(slot % 8))")).alias("bits")).toPandas()
+    out = np.zeros(SLOTS // 8, np.uint8)
+    out[bits["byte"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
+    return out
+
+
 def _level(count: str):  # noqa: ANN202
     return F.floor(F.log2(count) * 16)
 
@@ -406,8 +454,9 @@ class Model:
     lexicon: Lexicon
     weights: np.ndarray
     below: np.ndarray  # sums below the fraction by head and class
-    pair_keys: np.ndarray  # of frequent pairs, in order
+    pair_keys: np.ndarray  # of frequent pairs (rank * heads + head), in order
     pair_gains: np.ndarray
+    others: np.ndarray  # bitmap of the other pairs
     tokens: int  # of the training texts
     words: int  # distinct ones
     class_tokens: np.ndarray
@@ -420,54 +469,41 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     words = stored(arrow_rows(texts).mapInArrow(count_batches, "w long, g long, c long").groupBy("w", "g").agg(F.sum("c").alias("c")), "word-counts")
     top, _, distinct = most_frequent(words, "c", FREQUENT)
     sizes = Sizes.of(distinct)
-    top = top.select("w", "c").toPandas()
-    hashes, counts = top["w"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
-    order = np.argsort(hashes)
-    ranked = np.lexsort((hashes, -counts))
-    own = hashes[ranked[hashes[ranked] != END][: max(sizes.own_heads, sizes.own_buckets, sizes.own_classes)]]
-    place = np.argsort(own)
-    lexicon = Lexicon(sizes, hashes[order], counts[order], own[place], place)
-
-    # Tasks have added up their own counts, so rows of one word are few: its heads (or classes) by tasks.
-    counted = arrow_rows(texts).mapInArrow(feature_batches(lexicon), COUNTED).repartition("w").groupBy("w", "head", "class").agg(F.sum("n").alias("n"))
-    counted = stored(counted.join(words.select("w", "c"), "w", "left"), "features")
-    cells = counted.filter("head < 0").groupBy(F.col("w").alias("context")).agg(F.collect_list(F.struct("class", "n")).alias("cells"))
-    cells = stored(cells, "contexts")
+    top = top.select("w", "g", "c").toPandas()
+    lexicon = Lexicon.of(sizes, top["w"].to_numpy(np.int64).view(np.uint64), top["g"].to_numpy(np.int64), top["c"].to_numpy(np.int64))
+
+    counted = arrow_rows(texts).mapInArrow(feature_batches(lexicon), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = stored(counted.filter((F.col("key") < sizes.first_pair) | (F.col("n") >= LEAST_SEEN)), "features")
+    cells = counted.filter(F.col("key") < sizes.first_total).select(F.expr(f"key div {sizes.classes}").alias("context"), F.struct((F.col("key") % sizes.classes).alias("class"), "n").alias("cell"))
+    cells = stored(cells.groupBy("context").agg(F.collect_list("cell").alias("cells")), "contexts")
     # buckets * buckets rows at most: a few tasks are enough for them.
-    weights, _ = train(arrow_rows(cells.coalesce(max(8, sizes.buckets**2 >> 13)), 5_000), sizes)
+    weights, _ = train(arrow_rows(cells.coalesce(8), 5_000), sizes)
 
     group = F.lit(sizes.own_classes + 1) + F.col("g") % (sizes.classes - 1 - sizes.own_classes)
     class_tokens, class_words = np.zeros(sizes.classes, np.int64), np.zeros(sizes.classes, np.int64)
     for r in words.groupBy(group.cast("int").alias("g")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
         class_tokens[r.g], class_words[r.g] = r.c, r.n
     # Words with a class of their own leave the class of their endings.
-    single = {int(w): int(i) for w, i in zip(lexicon.own.view(np.int64), lexicon.own_rank, strict=True) if i < sizes.own_classes} | {int(END.view(np.int64)): sizes.own_classes}
+    single = {int(w): int(i) for w, i in zip(lexicon.hashes.view(np.int64), lexicon.ranks, strict=True) if 0 <= i < sizes.own_classes} | {int(END.view(np.int64)): sizes.own_classes}
     total = int(class_tokens.sum())
     for r in words.filter(F.col("w").isin(list(single))).select("w", "c", group.cast("int").alias("g")).collect():
         class_tokens[r.g] -= r.c
         class_words[r.g] -= 1
         class_tokens[single[r.w]], class_words[single[r.w]] = r.c, 1
 
-    pairs = counted.filter("head >= 0")
-    pairs = pairs.coalesce(max(16, pairs.count() // 500_000))
-    gains, below = train_pairs(pairs, sizes, class_tokens + class_words + 1.0)
+    after = counted.filter((F.col("key") >= sizes.first_total) & (F.col("key") < sizes.first_pair)).toPandas()
+    totals = np.zeros(sizes.heads * sizes.classes)
+    totals[after["key"].to_numpy(np.int64) - sizes.first_total] = after["n"].to_numpy(np.int64)
+    pairs = counted.filter(F.col("key") >= sizes.first_pair)
+    pairs = pairs.coalesce(max(8, pairs.count() // 500_000))
+    gains, below = train_pairs(pairs, lexicon, totals, class_tokens + class_words + 1.0)
     top, rest, _ = most_frequent(gains, "n", FREQUENT_PAIRS)
-    top = top.select("k", "gain").toPandas()
-    keys = top["k"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    model = Model(lexicon, weights, below, keys[order], top["gain"].to_numpy(np.float64)[order], total, distinct, class_tokens, class_words)
+    top = top.select("k", F.col("gain").cast("float").alias("gain")).toPandas().sort_values("k")
+    model = Model(lexicon, weights, below, top["k"].to_numpy(np.int64), top["gain"].to_numpy(np.float32), bitmap(rest), total, distinct, class_tokens, class_words)
     give_back()
     return model, words.select("w", "c"), rest.select("k", "gain")
 
 
-def _found(held: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The place of each value in an array in order, and whether it is there."""
-    if not len(held):
-        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(held, values), len(held) - 1)
-    return at, held[at] == values
-
-
 def _lists(values: list[np.ndarray]) -> pa.ListArray:
     offsets = np.zeros(len(values) + 1, np.int32)
     np.cumsum([len(v) for v in values], out=offsets[1:])
@@ -487,7 +523,7 @@ def score_batches(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator
         for batch in batches:
             sizes_of, known, logs, parts, rare, rare_pairs = [], [], [], [], [], []
             for words, endings, first in stream(_texts(batch)):
-                classes, buckets, heads = lex.numbers(words, endings)
+                classes, buckets, heads, rank = lex.numbers(words, endings)
                 one, two = before(buckets, first)
                 head = before(heads, first)[0]
                 context, at = np.unique(one * sizes.buckets + two, return_inverse=True)
@@ -495,10 +531,12 @@ def score_batches(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator
                 place, frequent = _found(lex.hashes, words)
                 value = np.zeros(len(words))
                 value[frequent] = log_counts[place[frequent]]
-                grouped = np.flatnonzero(classes > sizes.own_classes)
-                keys = pair_keys(head[grouped], words[grouped])
+                ranked = np.flatnonzero((classes > sizes.own_classes) & (rank >= 0))
+                keys = rank[ranked] * sizes.heads + head[ranked]
                 place, sent = _found(model.pair_keys, keys)
-                part[grouped[sent]] += model.pair_gains[place[sent]]
+                part[ranked[sent]] += model.pair_gains[place[sent]]
+                slot = slots(keys)
+                joined = ~sent & (model.others[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
                 starts, cuts = first[:-1], first[1:-1]
                 sizes_of.append(np.diff(first))
                 known.append(np.add.reduceat(frequent.astype(np.int64), starts))
@@ -506,8 +544,7 @@ def score_batches(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator
                 parts.append(np.add.reduceat(part, starts))
                 other = np.flatnonzero(~frequent)
                 rare += np.split(words[other].view(np.int64), np.searchsorted(other, cuts))
-                other = grouped[~sent]
-                rare_pairs += np.split(keys[~sent].view(np.int64), np.searchsorted(other, cuts))
+                rare_pairs += np.split(keys[joined], np.searchsorted(ranked[joined], cuts))
             columns = [pa.array(np.concatenate(x) if x else np.zeros(0), kind) for x, kind in ((sizes_of, pa.int64()), (known, pa.int64()), (logs, pa.float64()), (parts, pa.float64()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *columns, _lists(rare), _lists(rare_pairs)], ["doc_id", "held_out", "n_tokens", "known", "logs", "parts", "rare", "rare_pairs"])
 

@@ -75,7 +75,7 @@ class Sizes:
 
     @classmethod
     def of(cls, words: int) -> Sizes:
-        buckets, classes, heads = _power(12 * words ** (1 / 5), 64), _power(3 * words ** (1 / 5), 16), _power(words ** (1 / 2) / 2, 128)
+        buckets, classes, heads = _power(12 * words ** (1 / 5), 64), _power(3 * words ** (1 / 5), 16), _power(words ** (1 / 2) / 2, 32)
         while cls(buckets, classes, heads).rows * classes > TABLE_CELLS:
             buckets //= 2
         while heads * classes > TABLE_CELLS:

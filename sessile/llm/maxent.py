@@ -39,7 +39,7 @@ from sessile.llm.common import arrow_rows, fold, give_back, stored, table
 
 FOLDS, HELD_OUT = 7, 2
 #: Words and pairs known to all tasks at most; the rest is joined.
-FREQUENT, FREQUENT_PAIRS = 200_000, 1_000_000
+FREQUENT, FREQUENT_PAIRS = 200_000, 250_000
 #: Cells at most of a table that every task holds.
 TABLE_CELLS = 1 << 22
 ACTIVE = 4
@@ -47,7 +47,7 @@ UPDATES, PAIR_UPDATES = 25, 4
 #: A pair has a weight if it was seen so often.
 LEAST_SEEN = 2
 #: Slots of the bitmap that tells most pairs without a weight from those to be joined.
-SLOTS = 1 << 25
+SLOTS, PART = 1 << 25, 1 << 19
 #: The inverse variance of a Gaussian prior on the weights of pairs.
 PRIOR = 1.0
 #: Cells of one row of the sums that tasks send.
@@ -329,6 +329,7 @@ def train(cells: DataFrame, sizes: Sizes, updates: int = UPDATES) -> tuple[np.nd
     for _ in range(updates if seen.any() else 0):
         expected, likelihood = summed(weights)
         told.append(likelihood)
+        give_back()
         weights = weights + 2.0 / ACTIVE * (seen - expected) / (np.maximum(seen, expected) + 5.0)
     return weights, told
 
@@ -408,6 +409,7 @@ def train_pairs(pairs: DataFrame, lexicon: Lexicon, totals: np.ndarray, class_su
         below = np.tile(class_sums, sizes.heads) + cell_sums(pairs, model)
         if k < PAIR_UPDATES:
             model.below.append(below.astype(np.float32))
+        give_back()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -418,19 +420,29 @@ def train_pairs(pairs: DataFrame, lexicon: Lexicon, totals: np.ndarray, class_su
 
 
 def slots(keys: np.ndarray) -> np.ndarray:
-    return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 25)).astype(np.int64)
+    return (tokens.mixed(keys.view(np.uint64)) % np.uint64(SLOTS)).astype(np.int64)
 
 
 def bitmap(pairs: DataFrame) -> np.ndarray:
-    """A table of SLOTS bits, true at the slot of each pair: a pair whose bit is false is not among them."""
+    """A table of SLOTS bits, true at the slot of each pair: a pair whose bit is false is not among them.
+
+    Parts are made apart, each from its distinct slots (PART at most), so the driver gets bits alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(slots(batch.column("k").to_numpy()))], ["slot"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(slots(batch.column("k").to_numpy())))], ["slot"])
 
-    bits = arrow_rows(pairs.select("k"), 200_000).mapInArrow(run, "slot long").groupBy(F.shiftright("slot", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, int(slot % 8))")).alias("bits")).toPandas()
+    def bits(part: pa.Table) -> pa.Table:
+        at = part["slot"].to_numpy()
+        out = np.zeros(PART, bool)
+        out[at % PART] = True
+        return pa.table({"part": pa.array([int(at[0]) // PART]), "bits": pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())})
+
+    slot = arrow_rows(pairs.select("k"), 200_000).mapInArrow(run, "slot long").distinct()
     out = np.zeros(SLOTS // 8, np.uint8)
-    out[bits["byte"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64)
+    for r in slot.groupBy(F.expr(f"slot div {PART}")).applyInArrow(bits, "part long, bits binary").collect():
+        out[r.part * PART // 8 : (r.part + 1) * PART // 8] = np.frombuffer(r.bits, np.uint8)
     return out
 
 
@@ -491,6 +503,7 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
         class_words[r.g] -= 1
         class_tokens[single[r.w]], class_words[single[r.w]] = r.c, 1
 
+    give_back()
     after = counted.filter((F.col("key") >= sizes.first_total) & (F.col("key") < sizes.first_pair)).toPandas()
     totals = np.zeros(sizes.heads * sizes.classes)
     totals[after["key"].to_numpy(np.int64) - sizes.first_total] = after["n"].to_numpy(np.int64)

@@ -30,7 +30,8 @@ def decision_gate(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").withColumn("source", F.col("s_suppkey"))
     decision = F.element_at(F.array(*map(F.lit, ("retain", "exclude", "pending_review", "retain_reextracted", "retain"))), (F.col("s_suppkey") % 5 + 1).cast("int"))
     d = s.filter("s_suppkey % 11 <> 0").select("source", decision.alias("decision"))
-    d = d.unionByName(d.filter("source % 13 = 0")).unionByName(d.filter("source % 17 = 0").withColumn("source", F.col("source") + 1000000))
+    d = d.unionByName(d.filter("source % 13 = 0"))
+    d = d.unionByName(d.filter("source % 17 = 0").withColumn("source", F.col("source") + 1000000))  # doubled ones too
     return quality.decision_violations(d, s.select("source"), s.filter("s_nationkey % 2 = 0").select("source"))
 
 

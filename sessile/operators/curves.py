@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ from sessile.functions.clean import draw
 from sessile.sources.work import materialised
 
 LEAST, MOST = 0.0, 180.0
+#: Sources of one group of the sums, and subsets that are drawn together.
+BLOCK, TOGETHER = 256, 64
 
 
 def drawn_subsets(sources: DataFrame, source: str, sizes: Sequence[int], draws: int) -> DataFrame:
@@ -26,6 +30,24 @@ def drawn_subsets(sources: DataFrame, source: str, sizes: Sequence[int], draws:
     return chosen.join(first, ["size", "subset"], "left_semi")
 
 
+def _breaks(data: DataFrame, values: np.ndarray) -> DataFrame:
+    """(source, at, a, b): sums of the rows' breaks by source and by the interval between two of the rising values."""
+
+    def breaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y, p = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "p"))
+            names = batch.column("source").dictionary_encode()
+            who = np.tile(names.indices.to_numpy(zero_copy_only=False), 3).astype(np.int64)
+            at = np.concatenate([LEAST - p, y - p, MOST - p])
+            turn = np.repeat([-1.0, 2.0, -1.0], len(y))
+            code, where = np.unique(who * (len(values) + 1) + np.searchsorted(values, at), return_inverse=True)
+            sums = [np.bincount(where, w, len(code)) for w in (turn, turn * at)]
+            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(code // (len(values) + 1))), pa.array((code % (len(values) + 1)).astype(np.int32)), *map(pa.array, sums)], ["source", "at", "a", "b"])
+
+    kind = data.schema["source"].dataType.simpleString()
+    return materialised(data.mapInArrow(breaks, f"source {kind}, at int, a double, b double").groupBy("source", "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "curve-breaks")
+
+
 def learning_curve(rows: DataFrame, source: str, observed: str, predicted: str, subsets: DataFrame) -> DataFrame:
     """[E5 A13] (size, subset, test_sources, test_rows, mae): the mean residual of a subset's rows corrects the rows of all other sources.
 
@@ -45,19 +67,7 @@ def learning_curve(rows: DataFrame, source: str, observed: str, predicted: str,
     values = np.array([r[2] for r in ordered])
     asked = data.sparkSession.createDataFrame([(*r, k) for k, r in enumerate(ordered)], "size int, subset int, shift double, train_rows long, train_sources long, train_y double, at int")
 
-    def breaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            y, p = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "p"))
-            names = batch.column("source").dictionary_encode()
-            who = np.tile(names.indices.to_numpy(zero_copy_only=False), 3).astype(np.int64)
-            at = np.concatenate([LEAST - p, y - p, MOST - p])
-            turn = np.repeat([-1.0, 2.0, -1.0], len(y))
-            code, where = np.unique(who * (len(values) + 1) + np.searchsorted(values, at), return_inverse=True)
-            sums = [np.bincount(where, w, len(code)) for w in (turn, turn * at)]
-            yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(code // (len(values) + 1))), pa.array((code % (len(values) + 1)).astype(np.int32)), *map(pa.array, sums)], ["source", "at", "a", "b"])
-
-    kind = data.schema["source"].dataType.simpleString()
-    parts = materialised(data.mapInArrow(breaks, f"source {kind}, at int, a double, b double").groupBy("source", "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "curve-breaks")
+    parts = _breaks(data, values)
     whole = own.agg(F.sum("n").alias("n"), F.sum("y").alias("y"), F.count("*").alias("k")).first()
     upto = F.sum("a"), F.sum("b")
     # Totals have one row an interval; as-of sums of a source come from one window over its breaks and its subsets.
@@ -72,3 +82,81 @@ def learning_curve(rows: DataFrame, source: str, observed: str, predicted: str,
     out = asked.join(total, "at").join(mine, ["size", "subset"])
     error = (F.lit(whole["y"]) + F.col("shift") * F.col("a") - F.col("b") - F.col("own")) / (whole["n"] - F.col("train_rows"))
     return out.filter(F.col("train_rows") < whole["n"]).select("size", "subset", (whole["k"] - F.col("train_sources")).alias("test_sources"), (whole["n"] - F.col("train_rows")).alias("test_rows"), F.round(error, 6).alias("mae"))
+
+
+def drawn_curve(rows: DataFrame, source: str, observed: str, predicted: str, draws: int) -> DataFrame:
+    """[E5 A13] learning_curve of drawn_subsets of every size from one to all sources but one, for many sources.
+
+    There are sources x draws subsets with up to all sources each. Members never travel
+    as rows: all draws of a size are made in one place, from the sources' sums, and leave
+    a bit for each source. A group of some sources then meets its own bits of all subsets.
+    """
+    data = rows.select(F.col(source).alias("source"), F.col(observed).cast("double").alias("y"), F.col(predicted).cast("double").alias("p")).na.drop()
+    spark = data.sparkSession
+    own = materialised(data.groupBy("source").agg(F.count("*").alias("n"), F.sum("y").alias("y"), F.sum(F.col("y") - F.col("p")).alias("r")), "curve-sources")
+    whole = own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("y").alias("y"), F.count("*").alias("k")).first()
+    each = F.array_sort(F.collect_list(F.struct("source", F.col("source").cast("string").alias("name"), "n", "y", "r")))
+    listed = own.agg(each.alias("e")).select(*[F.col(f"e.{c}").alias(c) for c in ("name", "n", "y", "r")])  # four values a source, not its rows
+    sizes = max(1, TOGETHER // draws)  # draws of one size stay together, so that equal ones are seen
+    groups = spark.range(0, -(-max(whole["k"] - 1, 0) // sizes), 1, 8 * spark.sparkContext.defaultParallelism).withColumnRenamed("id", "group")
+    last = whole["k"] - 1
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                at = batch.slice(i, 1)
+                names = [x.encode() for x in at.column("name").to_pylist()[0]]
+                n, y, r = (at.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("n", "y", "r"))
+                first, out = at.column("group")[0].as_py() * sizes + 1, []
+                for size in range(first, min(first + sizes, last + 1)):
+                    seen = set()
+                    for subset in range(1, draws + 1):
+                        prefix = b"%d|%d|" % (size, subset)
+                        number = np.frombuffer(b"".join([hashlib.md5(prefix + x).digest()[:4] for x in names]), ">u4")
+                        # Sources are in order, so a draw and a place together are distinct and order ties.
+                        key = (number.astype(np.uint64) << np.uint64(32)) | np.arange(len(names), dtype=np.uint64)
+                        member = np.zeros(len(names), bool)
+                        member[np.argpartition(key, size - 1)[:size]] = True
+                        bits = np.packbits(member, bitorder="little").tobytes()
+                        if bits not in seen:
+                            seen.add(bits)
+                            out.append((size, subset, float(r[member].sum() / n[member].sum()), int(n[member].sum()), float(y[member].sum()), bits))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.float64(), pa.binary()), strict=True)], ["size", "subset", "shift", "train_rows", "train_y", "bits"])
+
+    chosen = materialised(groups.crossJoin(F.broadcast(listed)).mapInArrow(drawn, "size int, subset int, shift double, train_rows long, train_y double, bits binary"), "curve-drawn")
+    ordered = sorted((tuple(r) for r in chosen.select("size", "subset", "shift", "train_rows").collect()), key=lambda r: (r[2], r[0], r[1]))  # one row a subset
+    values = np.array([r[2] for r in ordered])
+    asked = spark.createDataFrame([(*r, k) for k, r in enumerate(ordered)], "size int, subset int, shift double, train_rows long, at int")
+    parts = _breaks(data, values)
+    total = parts.groupBy("at").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).unionByName(asked.select("at", F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))).groupBy("at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    running = Window.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)  # a row a subset
+    total = total.select("at", F.sum("a").over(running).alias("a"), F.sum("b").over(running).alias("b"))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                every = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                ats = batch.column("at").to_numpy().astype(np.int32).tobytes()
+                cut = [np.ascontiguousarray(every[:, k : k + BLOCK // 8]).tobytes() for k in range(0, every.shape[1], BLOCK // 8)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int64()), pa.array([ats] * len(cut)), pa.array(cut)], ["block", "ats", "bits"])
+
+    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(len(values))
+        if len(b):
+            order = np.concatenate([np.frombuffer(x, np.int32) for x in a["ats"]])
+            member = np.concatenate([np.frombuffer(x, np.uint8).reshape(len(t) // 4, -1) for x, t in zip(a["bits"], a["ats"], strict=True)])
+            for place, mine in b.groupby("place"):
+                in_it = np.zeros(len(values), bool)
+                in_it[order] = (member[:, place % BLOCK // 8] >> np.uint8(place % 8)) & 1
+                here = mine["at"].to_numpy() < len(values)
+                s, t = (np.cumsum(np.bincount(mine["at"].to_numpy()[here], mine[c].to_numpy()[here], len(values))) for c in ("a", "b"))
+                out += np.where(in_it, values * s - t, 0.0)
+        return pd.DataFrame({"at": np.arange(len(values), dtype=np.int32), "own": out})
+
+    tiles = chosen.select("size", "subset", "bits").join(F.broadcast(asked.select("size", "subset", "at")), ["size", "subset"]).select("at", "bits").mapInArrow(blocks, "block long, ats binary, bits binary")
+    places = own.agg(F.array_sort(F.collect_list("source")).alias("e")).select(F.posexplode("e").alias("place", "source"))
+    placed = parts.join(places, "source").select((F.floor(F.col("place") / BLOCK)).alias("block"), "place", "at", "a", "b")
+    mine = tiles.groupBy("block").cogroup(placed.groupBy("block")).applyInPandas(sums, "at int, own double").groupBy("at").agg(F.sum("own").alias("own"))
+    error = (F.lit(whole["y"]) - F.col("train_y") + F.col("shift") * F.col("a") - F.col("b") - F.col("own")) / (whole["n"] - F.col("train_rows"))
+    out = asked.join(chosen.select("size", "subset", "train_y"), ["size", "subset"]).join(total, "at").join(mine, "at")
+    return out.select("size", "subset", (F.lit(whole["k"]) - F.col("size")).alias("test_sources"), (whole["n"] - F.col("train_rows")).alias("test_rows"), F.round(error, 6).alias("mae"))

@@ -19,13 +19,13 @@ def residual_means(train: DataFrame, group: str, shrink: float) -> tuple[DataFra
     return overall, each.crossJoin(F.broadcast(overall)).select(group, "n_train", ((F.col("s") + shrink * F.col("overall")) / (F.col("n_train") + shrink)).alias("group_mean"))
 
 
-def order_statistic(scores: DataFrame, keys: Sequence[str], level: float, ties: Sequence[Column] = ()) -> DataFrame:
+def order_statistic(scores: DataFrame, keys: Sequence[str], level: float, ties: Sequence[Column] = (), weight: Column | None = None) -> DataFrame:
     """[W8] For each key the score of rank min(k + 1, n), k = ceil((n + 1) level): the 'higher' quantile of split conformal.
 
-    How ties are ordered does not matter to the score.
+    How ties are ordered does not matter to the score. A row counts as often as its weight says.
     """
     rank = lambda n: F.least(F.ceil((n + 1) * level) + 1, n)
-    return quantiles.order_values(scores, keys, F.col("score"), {"quantile": rank}).select(*keys, "quantile", "n")
+    return quantiles.order_values(scores, keys, F.col("score"), {"quantile": rank}, weight).select(*keys, "quantile", "n")
 
 
 def conformal_quantile(scores: DataFrame, level: float) -> float:

@@ -3,7 +3,8 @@
 A double's sign and exponent are its first digit, its 52 bits of fraction the other
 three. Each level counts rows by one digit, with partial aggregation, and goes on with
 the rows of the digits that hold a wanted rank. No window has more rows than a digit has
-values, whatever the number of rows, their scale, or their ties.
+values, whatever the number of rows, their scale, or their ties. Rows are counted by
+value once, before all levels, so what is read again has a row for each distinct value.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessile.sources.work import materialised
+
 #: Bits of the fraction's digits, the first one first.
 BITS = (16, 18, 18)
 _DIGITS = ("_d0", "_d1", "_d2", "_d3")
@@ -51,15 +54,23 @@ def value_of(parts: Sequence[Column]) -> Column:
     return F.when(parts[0] == 0, 0.0).otherwise(F.signum(parts[0].cast("double")) * size)
 
 
-def order_values(frame: DataFrame, keys: Sequence[str], value: Column, ranks: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
+def _counted(frame: DataFrame, own: Mapping[str, Column], value: Column, weight: Column) -> DataFrame:
+    """(own keys, digits, _w): how often each value is there; nulls and NaNs are left out."""
+    v = value.cast("double")
+    rows = frame.select(*[c.alias(k) for k, c in own.items()], v.alias("_v"), weight.cast("long").alias("_w")).filter("_v IS NOT NULL AND NOT isnan(_v)")
+    counts = materialised(rows.groupBy(*own, "_v").agg(F.sum("_w").alias("_w")), "values")
+    return counts.select(*own, "_w", *[d.alias(n) for n, d in zip(_DIGITS, digits(F.col("_v")), strict=True)])
+
+
+def order_values(frame: DataFrame, keys: Sequence[str], value: Column, ranks: Mapping[str, Callable[[Column], Column]], weight: Column | None = None) -> DataFrame:
     """(keys, n, a column for each name): the value at a rank from 1, given as a function of the group's size.
 
     Nulls and NaNs are left out; a group without values has no row, and a rank outside
     1..n gives null. Null keys are a group. Without keys there is one row, or none.
+    A weight is the number of times, 1 at least, that its row counts.
     """
-    v = value.cast("double")
     own = [f"_k{i}" for i in range(len(keys))]
-    rows = frame.filter(v.isNotNull() & ~F.isnan(v)).select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], *[d.alias(n) for n, d in zip(_DIGITS, digits(value), strict=True)])
+    rows = _counted(frame, {o: F.col(k) for k, o in zip(keys, own, strict=True)}, value, F.lit(1) if weight is None else weight)
 
     def same(left: DataFrame, right: DataFrame, at: Sequence[str]) -> Column:
         # Digits are never null; keys may be.
@@ -73,7 +84,7 @@ def order_values(frame: DataFrame, keys: Sequence[str], value: Column, ranks: Ma
         else:
             some = wanted.select(*before).distinct()
             here = rows.join(some, same(rows, some, before), "left_semi")
-        counts = here.groupBy(*before, digit).agg(F.count("*").alias("_c"))
+        counts = here.groupBy(*before, digit).agg(F.sum("_w").alias("_c"))
         group = Window.partitionBy(*before)
         counts = counts.withColumn("_upto", F.sum("_c").over(group.orderBy(digit)))
         if wanted is None:
@@ -97,8 +108,7 @@ def whole_values(frame: DataFrame, value: Column, ranks: Mapping[str, Callable[[
     For figures that later steps need as numbers. What a level brings to the driver is
     one row for each rank.
     """
-    v = value.cast("double")
-    rows = frame.filter(v.isNotNull() & ~F.isnan(v)).select(*[d.alias(n) for n, d in zip(_DIGITS, digits(value), strict=True)])
+    rows = _counted(frame, {}, value, F.lit(1))
     n, left = 0, {}
     at: dict[str, tuple[int, ...]] = {}
     for level, digit in enumerate(_DIGITS):
@@ -110,7 +120,7 @@ def whole_values(frame: DataFrame, value: Column, ranks: Mapping[str, Callable[[
             here = rows.filter(reduce(lambda x, y: x | y, [reduce(lambda x, y: x & y, [F.col(c) == d for c, d in zip(before, digits_, strict=True)]) for digits_ in some]))
         else:
             here = rows
-        counts = here.groupBy(*before, digit).agg(F.count("*").alias("_c")).withColumn("_upto", F.sum("_c").over(Window.partitionBy(*before).orderBy(digit)))
+        counts = here.groupBy(*before, digit).agg(F.sum("_w").alias("_c")).withColumn("_upto", F.sum("_c").over(Window.partitionBy(*before).orderBy(digit)))
         if not level:
             counts = counts.cache()
             n = counts.agg(F.max("_upto")).first()[0] or 0

@@ -151,13 +151,14 @@ def before_after(spark, sf_dir):
 def conformal_final(spark, sf_dir):
     """[E12 E14 W8] The final interval: its quantile fitted on the development rows, and two rules to abstain: spread above its P80, or width above its P90 or novelty above 1."""
     m = measurements(spark, sf_dir)
-    fit = m.filter(DEVELOPMENT).select(F.round(F.abs(F.col("angle") - F.col("pred_a")) / F.col("score"), 9).alias("score"))
-    quantile = calibrate.conformal_quantile(fit, 0.9)
-    cut = quantiles.whole_quantiles(m.filter(DEVELOPMENT), F.col("score"), {"p80": 0.8})["p80"]
+    dev = measurements(spark, sf_dir, with_id=False).filter(DEVELOPMENT)  # order statistics need no ids
+    quantile = calibrate.conformal_quantile(dev.select(F.round(F.abs(F.col("angle") - F.col("pred_a")) / F.col("score"), 9).alias("score")), 0.9)
+    cut = quantiles.whole_quantiles(dev, F.col("score"), {"p80": 0.8})["p80"]
     half = quantile * F.col("score")
-    d = m.withColumn("p80", F.lit(cut)).select("measurement_id", "v4_split", "liquid_id", "score", "p80", F.round(F.greatest(F.col("pred_a") - half, F.lit(0.0)), 6).alias("lower"), F.round(F.least(F.col("pred_a") + half, F.lit(180.0)), 6).alias("upper"))
+    lower, upper = F.round(F.greatest(F.col("pred_a") - half, F.lit(0.0)), 6), F.round(F.least(F.col("pred_a") + half, F.lit(180.0)), 6)
+    wide = quantiles.whole_quantiles(dev, F.round(upper - lower, 6), {"p90": 0.9})["p90"]
+    d = m.withColumn("p80", F.lit(cut)).select("measurement_id", "v4_split", "liquid_id", "score", "p80", lower.alias("lower"), upper.alias("upper"))
     d = d.withColumn("width", F.round(F.col("upper") - F.col("lower"), 6)).withColumn("novelty", F.col("score") / 10 + F.col("liquid_id") / 20)
-    wide = quantiles.whole_quantiles(d.filter(DEVELOPMENT), F.col("width"), {"p90": 0.9})["p90"]
     yes = lambda x: F.when(x, "yes").otherwise("no")
     return d.withColumn("p90", F.lit(wide)).select("measurement_id", "lower", "upper", yes(F.col("score") > F.col("p80")).alias("by_spread"), yes((F.col("novelty") > 1) | (F.col("width") > F.col("p90"))).alias("by_novelty"))
 

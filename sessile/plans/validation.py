@@ -125,17 +125,18 @@ def residual_baselines(spark, sf_dir):
 
 
 def _conformal(spark, sf_dir):
-    m = measurements(spark, sf_dir).withColumn("fold", (draw(F.lit("fold"), "source_group_id") % 5).cast("int"))
+    m = measurements(spark, sf_dir, with_id=False).withColumn("fold", (draw(F.lit("fold"), "source_group_id") % 5).cast("int"))
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("method"), c.alias("scale")) for k, c in (("constant", F.lit(1.0)), ("uncertainty", F.col("score")), ("root", F.sqrt("score")))]))
-    d = m.select("measurement_id", "fold", "angle", "pred_a", kinds.alias("k")).select("*", "k.*").drop("k")
+    d = m.select("fold", "angle", "pred_a", kinds.alias("k")).select("*", "k.*").drop("k")
     return d.withColumn("score", F.round(F.abs(F.col("angle") - F.col("pred_a")) / F.col("scale"), 9))
 
 
 def conformal_cv(spark, sf_dir):
     """[E11 W8 O3 A9] Intervals of each fold by the order statistic of the other folds; the narrowest valid method is chosen."""
     d = _conformal(spark, sf_dir)
-    other = d.withColumn("target", F.explode(F.filter(F.sequence(F.lit(0), F.lit(4)), lambda x: x != F.col("fold")))).select("method", "target", "score", "measurement_id")
-    q = calibrate.order_statistic(other, ["method", "target"], 0.9, [F.col("measurement_id")]).select("method", F.col("target").alias("fold"), "quantile")
+    counts = d.groupBy("method", "fold", "score").agg(F.count("*").alias("times"))  # before it is dealt to the other folds
+    other = counts.withColumn("target", F.explode(F.filter(F.sequence(F.lit(0), F.lit(4)), lambda x: x != F.col("fold")))).select("method", "target", "score", "times")
+    q = calibrate.order_statistic(other, ["method", "target"], 0.9, weight=F.col("times")).select("method", F.col("target").alias("fold"), "quantile")
     half = F.col("quantile") * F.col("scale")
     out = d.join(F.broadcast(q), ["method", "fold"]).withColumn("lower", F.greatest(F.col("pred_a") - half, F.lit(0.0))).withColumn("upper", F.least(F.col("pred_a") + half, F.lit(180.0)))
     inside = ((F.col("angle") >= F.col("lower")) & (F.col("angle") <= F.col("upper"))).cast("double")

@@ -174,3 +174,22 @@ def test_a_million_sources_of_a_hundred_sizes(spark):
     whole = sum(loads.values())
     assert out.count() == 1_000_000 and all(abs(loads[b] - f * whole) <= 1 for b, f in enumerate((0.7, 0.15, 0.15)))
     assert folds.greedy_bins(groups.filter("n > 500"), "source", "n", (0.5, 0.5)).collect() == []
+
+
+def test_order_values_read_their_rows_once_and_count_weights(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    data = [(k % 3, float(k % 40) / 7, k % 5 + 1) for k in range(200)]
+    frame = spark.createDataFrame(data, "g int, v double, w int").mapInPandas(read, "g int, v double, w int")
+    got = {r.g: (r.n, r.q) for r in quantiles.order_values(frame, ["g"], F.col("v"), {"q": lambda n: F.floor(n / 2) + 1}, F.col("w")).collect()}
+    assert seen.value == 200
+    for g in range(3):
+        every = sorted(v for k, v, w in data if k == g for _ in range(w))
+        assert got[g] == (len(every), every[len(every) // 2])
+    n, _ = quantiles.whole_values(frame, F.col("v"), {"q": lambda n: 3})
+    assert (n, seen.value) == (200, 400)

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from sessile.functions.clean import draw
 from sessile.sources.work import materialised
 
-#: A side of a join is broadcast only if it has at most so many rows, counted.
-BROADCAST_ROWS = 100_000
+#: Clusters of a bootstrap are broadcast only if they are at most so many, counted: a few numbers each, where a join by shuffles moves every draw.
+BROADCAST_CLUSTERS = 1_000_000
 
 
 def numbered(frame: DataFrame, group: str, order: Sequence[Column]) -> DataFrame:
@@ -104,18 +104,22 @@ def bootstrap(clusters: DataFrame, keys: Sequence[str], resamples: int, seed: in
     absolute errors). A resample draws as many clusters as there are, by fixed draws;
     sums of the drawn clusters are all it needs.
     """
+    clusters = materialised(clusters, "clusters")  # read for sizes, points and draws
     sizes = clusters.groupBy(*keys).agg(F.count("*").alias("c")).collect()  # a row for each group that is compared
     spark = clusters.sparkSession
+    # A draw depends on b and j alone and its cluster on the group's size: it is made once, and groups of one size share it.
+    each_size = sorted({row["c"] for row in sizes})
+    first = {c: sum(each_size[:k]) for k, c in enumerate(each_size)}  # clusters of all sizes have numbers of one range
+    most = max(each_size, default=0)
+    draws = spark.range(resamples * most).select((F.floor(F.col("id") / max(most, 1)) + 1).alias("b"), (F.col("id") % max(most, 1) + 1).alias("j")).withColumn("u", draw(F.lit(seed), "b", "j"))
+    listed = spark.createDataFrame([(c, first[c]) for c in each_size], "c long, first long")
+    draws = draws.join(F.broadcast(listed), F.col("j") <= F.col("c")).select("b", (F.col("first") + F.col("u") % F.col("c")).alias("_at"))
     kinds = ", ".join(f"`{k}` {clusters.schema[k].dataType.simpleString()}" for k in keys)
-    drawn = []
-    for row in sizes:
-        # One range for all draws of a group: b and j by division, so that tasks share them evenly.
-        n = spark.range(resamples * row["c"]).select(*[F.lit(row[k]).cast(clusters.schema[k].dataType).alias(k) for k in keys], (F.floor(F.col("id") / row["c"]) + 1).alias("b"), (F.col("id") % row["c"] + 1).alias("j"), F.lit(row["c"]).alias("c"))
-        drawn.append(n)
-    draws = reduce(DataFrame.unionByName, drawn) if drawn else spark.createDataFrame([], f"{kinds}{', ' if keys else ''}b long, j long, c long")
-    draws = draws.withColumn("idx", (draw(F.lit(seed), "b", "j") % F.col("c")).cast("long"))
-    few = sum(row["c"] for row in sizes) <= BROADCAST_ROWS
-    each = draws.join(F.broadcast(clusters) if few else clusters, [*keys, "idx"]).groupBy(*keys, "b").agg(((F.sum("ea") - F.sum("eb")) / F.sum("n")).alias("d"))
+    counted = clusters.groupBy(*keys).agg(F.count("*").alias("c")) if not keys else spark.createDataFrame([tuple(row) for row in sizes], f"{kinds}, c long")
+    same = reduce(lambda x, y: x & y, [clusters[k].eqNullSafe(counted[k]) for k in keys], F.lit(True))
+    numbered_ = clusters.join(F.broadcast(counted), same).join(F.broadcast(listed), "c").select(*[clusters[k] for k in keys], (F.col("first") + F.col("idx")).alias("_at"), "n", "ea", "eb")
+    few = sum(row["c"] for row in sizes) <= BROADCAST_CLUSTERS
+    each = draws.join(F.broadcast(numbered_) if few else numbered_, "_at").groupBy(*keys, "b").agg(((F.sum("ea") - F.sum("eb")) / F.sum("n")).alias("d"))
     point = clusters.groupBy(*keys).agg(F.round((F.sum("ea") - F.sum("eb")) / F.sum("n"), 6).alias("point"), F.count("*").alias("clusters"))
     ends = each.groupBy(*keys).agg(F.round(F.percentile("d", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("d", F.lit(0.975)), 6).alias("high"), F.round(F.avg((F.col("d") < 0).cast("double")), 6).alias("p_better"))
     return point.join(ends, list(keys)) if keys else point.crossJoin(ends)

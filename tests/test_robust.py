@@ -193,3 +193,27 @@ def test_order_values_read_their_rows_once_and_count_weights(spark):
         assert got[g] == (len(every), every[len(every) // 2])
     n, _ = quantiles.whole_values(frame, F.col("v"), {"q": lambda n: 3})
     assert (n, seen.value) == (200, 400)
+
+
+def test_bootstrap_reads_its_clusters_once_and_groups_share_draws(spark):
+    import hashlib
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    data = [(g, i, i % 4 + 1, float(g * 3 + i * i % 7), float(i % 5)) for g, c in ((1, 5), (2, 5), (3, 9)) for i in range(c)]
+    kind = "g int, idx long, n long, ea double, eb double"
+    got = {r.g: r for r in folds.bootstrap(spark.createDataFrame(data, kind).mapInPandas(read, kind), ["g"], 30, 5).collect()}
+    assert seen.value == len(data)
+    for g, c in ((1, 5), (2, 5), (3, 9)):
+        own = [r[2:] for r in data if r[0] == g]
+        deltas = []
+        for b in range(1, 31):
+            drawn = [own[int(hashlib.md5(f"5|{b}|{j}".encode()).hexdigest()[:8], 16) % c] for j in range(1, c + 1)]
+            deltas.append((sum(x[1] for x in drawn) - sum(x[2] for x in drawn)) / sum(x[0] for x in drawn))
+        assert (got[g].low, got[g].high) == pytest.approx(tuple(np.quantile(deltas, (0.025, 0.975))), abs=1e-6)
+        assert got[g].clusters == c and got[g].p_better == pytest.approx(np.mean(np.array(deltas) < 0), abs=1e-6)

@@ -51,7 +51,9 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
     def _save(self, rows: DataFrame) -> None:
-        rows.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+        # Dealt by bucket, not by digest: a bucket is in one task, however many tasks there are, so a batch has one file a bucket.
+        dealt = rows.repartition(self.buckets, F.pmod(F.hash("digest"), F.lit(self.buckets)))
+        dealt.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
 
     def append(self, digested: DataFrame, batch: int) -> DataFrame:
         """Add the digests that are new. Returns the batch's groups: digest, first_id, group_size.
@@ -64,7 +66,7 @@ class DigestIndex:
             kind = digested.schema["doc_id"].dataType.simpleString()
             self._save(self.spark.createDataFrame([], f"digest binary, keep_id {kind}, batch int"))
         fresh = groups.hint("merge").join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
-        self._save(fresh.select("digest", F.col("first_id").alias("keep_id"), F.lit(batch).alias("batch")).repartition(self.buckets, "digest").sortWithinPartitions("digest"))
+        self._save(fresh.select("digest", F.col("first_id").alias("keep_id"), F.lit(batch).alias("batch")))
         return groups
 
     def resolve(self, digested: DataFrame, groups: DataFrame) -> DataFrame:

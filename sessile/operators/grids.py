@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 
 #: The most columns and rows that a cell may span in HTML.
 MOST_COLUMNS, MOST_ROWS = 1000, 65534
-_EVENT = re.compile(r"<!--.*?-->|<!\[CDATA\[(.*?)\]\]>|<(/?)([A-Za-z][\w:.-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.S)
+# What a tag may hold is taken without going back: a quote that never closes costs one pass.
+_EVENT = re.compile(r"<!--.*?-->|<!\[CDATA\[(.*?)\]\]>|<(/?)([A-Za-z][\w:.-]*)((?:[^<>\"'/]++|\"[^\"]*+\"|'[^']*+'|/(?!>))*+)(/?)>", re.S)
+_SPLIT = re.compile(r"(<!--.*?-->|<!\[CDATA\[.*?\]\]>|<(?:/?)[A-Za-z][\w:.-]*(?:[^<>\"'/]++|\"[^\"]*+\"|'[^']*+'|/(?!>))*+(?:/?)>)", re.S)
+#: Tags that are remembered as they are written; texts repeat them all the time.
+MOST_TAGS = 4096
 _ATTRIBUTE = re.compile(r"([\w:.-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _NUMBER = r"\d+(?:\.\d+)?"
 
@@ -88,6 +92,22 @@ def _number(attributes: dict[str, str], name: str) -> int:
     return int(found.group(1)) if found else 1
 
 
+def _tag(written: str) -> tuple[str | None, str, str, str, str]:
+    """CDATA text, `/` of an end tag, name in lower case without its prefix, attributes, and `/` of a tag that stands alone."""
+    found = _TAGS.get(written)
+    if found is None:
+        cdata, end, name, attributes, alone = _EVENT.fullmatch(written).groups()
+        found = cdata, end, (name or "").lower().rpartition(":")[2], attributes, alone
+        if len(written) <= 256:
+            if len(_TAGS) >= MOST_TAGS:
+                _TAGS.clear()
+            _TAGS[written] = found
+    return found
+
+
+_TAGS: dict[str, tuple[str | None, str, str, str, str]] = {}
+
+
 def grids(markup: str | None) -> list[Grid]:
     """All tables of a text of markup, in the order in which they begin.
 
@@ -99,7 +119,6 @@ def grids(markup: str | None) -> list[Grid]:
     wraps: list[dict] = []
     open_: list[Grid] = []
     caption: list[str] | None = None
-    last = 0
 
     def text(piece: str, raw: bool = False) -> None:
         piece = piece if raw else html.unescape(piece)
@@ -113,15 +132,15 @@ def grids(markup: str | None) -> list[Grid]:
         if wraps and wraps[-1].get("grid") is grid and not grid.caption:
             grid.caption = wraps[-1].get("caption", "")
 
-    for m in _EVENT.finditer(markup or ""):
-        text(markup[last : m.start()])
-        last = m.end()
-        cdata, end, name, attributes, alone = m.groups()
+    pieces = _SPLIT.split(markup or "")
+    for at in range(1, len(pieces), 2):
+        if pieces[at - 1]:
+            text(pieces[at - 1])
+        cdata, end, name, attributes, alone = _tag(pieces[at])
         if cdata is not None:
             text(cdata, raw=True)
         if not name:
             continue
-        name = name.lower().rpartition(":")[2]
         if name == "table-wrap":
             if not end:
                 wraps.append({"id": _attributes(attributes).get("id", "")})
@@ -157,8 +176,8 @@ def grids(markup: str | None) -> list[Grid]:
                 if end:
                     grid.end_cell()
                 else:
-                    own = _attributes(attributes)
-                    grid.start_cell(_number(own, "colspan"), _number(own, "rowspan"))
+                    own = _attributes(attributes) if attributes else {}
+                    grid.start_cell(_number(own, "colspan") if own else 1, _number(own, "rowspan") if own else 1)
                     if alone:
                         grid.end_cell()
             elif name in ("thead", "tbody", "tfoot"):
@@ -167,7 +186,7 @@ def grids(markup: str | None) -> list[Grid]:
                 text(" ")
         elif name in ("p", "br", "break", "li", "div", "title"):
             text(" ")
-    text((markup or "")[last:])
+    text(pieces[-1])
     while open_:
         close(open_.pop())
     for wrap in wraps:
@@ -176,13 +195,19 @@ def grids(markup: str | None) -> list[Grid]:
     return out
 
 
-def table_grids(docs: DataFrame) -> DataFrame:
-    """[S5] (doc_id, table, table_id, caption, depth, row, cells) of all tables in (doc_id, xml); null documents have none."""
+def table_grids(docs: DataFrame, first: TableSpec | None = None) -> DataFrame:
+    """[S5] (doc_id, table, table_id, caption, depth, row, cells) of all tables in (doc_id, xml), or of each document's first one that fits a spec; null documents have none."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(d, t, g.id, g.caption, g.depth, r, cells) for d, xml in zip(f["doc_id"], f["xml"], strict=True) for t, g in enumerate(grids(xml)) for r, cells in enumerate(g.rows)]
+            rows = []
+            for d, xml in zip(f["doc_id"], f["xml"], strict=True):
+                for t, g in enumerate(grids(xml)):
+                    if first is None or first.fits(g):
+                        rows += [(d, t, g.id, g.caption, g.depth, r, cells) for r, cells in enumerate(g.rows)]
+                        if first is not None and g.rows:
+                            break
             yield pd.DataFrame(rows, columns=["doc_id", "table", "table_id", "caption", "depth", "row", "cells"])
 
     return docs.select("doc_id", "xml").mapInPandas(run, f"doc_id {kind}, table int, table_id string, caption string, depth int, row int, cells array<string>")
@@ -222,6 +247,10 @@ class TableSpec:
     rules: tuple[tuple[str, int, str], ...] = ()
     constants: tuple[tuple[str, str], ...] = ()
 
+    def fits(self, grid: Grid) -> bool:
+        caption = grid.caption.lower()
+        return self.table_id in ("", grid.id) and all(word.lower() in caption for word in self.caption)
+
 
 #: What a value looks like, as the sources print it.
 PATTERNS = {"plain": rf"^({_NUMBER})()$", "with_deviation": rf"^({_NUMBER})(?:\s*[±+−-]\s*({_NUMBER}))?$", "first": rf"({_NUMBER})()"}
@@ -248,7 +277,19 @@ def measurements_of(rows: DataFrame, spec: TableSpec) -> DataFrame:
         fits &= F.lower("caption").contains(word.lower())
     mine = rows.filter(fits)
     first = mine.groupBy("doc_id").agg(F.min("table").alias("table"))
-    mine = mine.join(first, ["doc_id", "table"], "left_semi").filter(F.col("row") >= spec.skip)
+    return _measured(mine.join(first, ["doc_id", "table"], "left_semi"), spec)
+
+
+def measurements_in(docs: DataFrame, spec: TableSpec) -> DataFrame:
+    """[S5 S5a S5b] measurements_of the grids of (doc_id, xml): the first table that fits is told where a document is parsed, so each is parsed once and its rows stay where they are.
+
+    A null doc_id is a document like any other here; measurements_of leaves it out.
+    """
+    return _measured(table_grids(docs, spec), spec)
+
+
+def _measured(mine: DataFrame, spec: TableSpec) -> DataFrame:
+    mine = mine.filter(F.col("row") >= spec.skip)
     shape = F.size("cells") != spec.exact if spec.exact is not None else F.size("cells") < spec.least
     label = _cell(spec.label)
     row_reason = F.when(shape, "cells").when(label == "", "no_label")
@@ -274,8 +315,8 @@ def measurements_of(rows: DataFrame, spec: TableSpec) -> DataFrame:
 def report(found: DataFrame) -> DataFrame:
     """[S5b] (doc_id, n_rows, n_labels, n_liquids, skipped): what was read, and how many cells were left for each reason."""
     kept = F.col("reason").isNull()
-    counts = found.groupBy("doc_id").agg(F.count_if(kept).alias("n_rows"), F.count_distinct(F.when(kept, F.col("label"))).alias("n_labels"), F.count_distinct(F.when(kept, F.col("liquid"))).alias("n_liquids"))
-    left = found.filter(~kept).groupBy("doc_id", "reason").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n")))).alias("skipped"))
-    return counts.join(left, "doc_id", "left")
-
-
+    # One pass over what was found: a row for each document and reason, those of what was kept with their names.
+    each = found.groupBy("doc_id", "reason").agg(F.count("*").alias("n"), *[F.size(F.collect_set(F.when(kept, F.col(c)))).cast("long").alias(f"n_{c}s") for c in ("label", "liquid")])
+    skipped = F.map_from_entries(F.array_sort(F.collect_list(F.when(~kept, F.struct("reason", "n")))))
+    told = [F.coalesce(F.sum(F.when(kept, F.col(c))), F.lit(0)).alias(name) for c, name in (("n", "n_rows"), ("n_labels", "n_labels"), ("n_liquids", "n_liquids"))]
+    return each.groupBy("doc_id").agg(*told, F.when(F.count("reason") > 0, skipped).alias("skipped"))

@@ -31,13 +31,13 @@ GRID_SPEC = TableSpec((Measured("water", 1, 2), Measured("formamide", 3, 4)), ca
 
 def table_grid_rows(spark, sf_dir):
     """[S5 S5a S5b] Measurement rows of tables with spans and nested tables, each with its label, value, deviation and reason."""
-    found = grids.measurements_of(grids.table_grids(_articles(spark, sf_dir)), GRID_SPEC)
+    found = grids.measurements_in(_articles(spark, sf_dir), GRID_SPEC)
     return found.select("doc_id", "table_id", "row", "label", "liquid", "value", "deviation", F.coalesce("reason", F.lit("kept")).alias("reason"), F.col("constants")["contact_angle_type"].alias("angle_type"))
 
 
 def table_grid_report(spark, sf_dir):
     """[S5b] What each article gave: rows, labels, liquids, and the reasons of what was left."""
-    found = grids.measurements_of(grids.table_grids(_articles(spark, sf_dir)), GRID_SPEC)
+    found = grids.measurements_in(_articles(spark, sf_dir), GRID_SPEC)
     skipped = F.array_join(F.transform(F.map_entries("skipped"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
     return grids.report(found).select("doc_id", "n_rows", "n_labels", "n_liquids", F.coalesce(skipped, F.lit("")).alias("skipped"))
 

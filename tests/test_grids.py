@@ -71,3 +71,22 @@ def test_labels_that_span_rows_and_the_first_table_that_fits(spark):
     xml = wrap("x", "Angles", row("a", "b", "c"), body) + wrap("y", "Angles again", row("a", "b", "c"), row("q", "water", "9"))
     found = read(spark, xml, TableSpec((Measured("", 2),), caption=("angles",), pattern="with_deviation", least=3)).orderBy("row").collect()
     assert [(r.table_id, r.label, r.value) for r in found] == [("x", "glass", 31.0), ("x", "glass", 44.0)]
+
+
+def test_each_document_is_parsed_once(spark, monkeypatch):
+    xml = "<table-wrap><caption>Angles</caption><table><tr><td>h</td><td>w</td></tr><tr><td>a</td><td>1</td></tr></table></table-wrap>" * 2
+    docs = spark.createDataFrame([(k, xml) for k in range(3)] + [(9, None)], "doc_id long, xml string")
+    spec = grids.TableSpec((grids.Measured("water", 1),), caption=("angles",))
+    found = grids.measurements_in(docs, spec)
+    assert sorted(map(str, found.collect())) == sorted(map(str, grids.measurements_of(grids.table_grids(docs), spec).collect()))
+    for d in (found, grids.report(found)):
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInPandas") == 1, plan
+    assert {(r.doc_id, r.n_rows, r.n_labels, r.n_liquids, r.skipped) for r in grids.report(found).collect()} == {(k, 1, 1, 1, None) for k in range(3)}
+
+
+def test_tags_as_written():
+    tags = ["<td>", "</TD >", "<br/>", "<a//>", "<x:td a='>' b=\"/>\" c=d/>", "<!-- <td> -->", "<![CDATA[ <td> ]]>"]
+    assert [grids._tag(t)[1:] for t in tags[:5]] == [("", "td", "", ""), ("/", "td", " ", ""), ("", "br", "", "/"), ("", "a", "/", "/"), ("", "td", " a='>' b=\"/>\" c=d", "/")]
+    assert grids._tag(tags[5])[2] == "" and grids._tag(tags[6])[0] == " <td> "
+    assert grids._SPLIT.split("x<" + "".join(tags) + "< 3")[1::2] == tags

@@ -180,7 +180,9 @@ def legacy_fields(spark, sf_dir):
     """[P24 P6] Twenty-four text fields cast to numbers, parts that are missing taken from others, and the reasons to skip a row joined by ';'."""
     m = measurements(spark, sf_dir)
     text = lambda k: F.when((F.col("measurement_id") + k) % 7 == 0, "n/a").when((F.col("measurement_id") + k) % 11 == 0, "").when((F.col("measurement_id") + k) % 13 == 0, "inf").otherwise((F.floor(F.col("angle")).cast("long") * k).cast("string"))
-    d = m.select("measurement_id", *[c.finite(text(k)).alias(f"f{k}") for k in range(1, FIELDS + 1)])
+    # A text is cast once: what is asked of the number more than once reads a column.
+    d = m.select("measurement_id", *[text(k).try_cast("double").alias(f"f{k}") for k in range(1, FIELDS + 1)])
+    d = d.select("measurement_id", *[c.finite(f"f{k}").alias(f"f{k}") for k in range(1, FIELDS + 1)])
     dispersion, polar = F.col("f3"), F.col("f4")
     d = d.withColumn("lw", F.coalesce("f5", dispersion)).withColumn("plus", F.coalesce("f6", polar / 2)).withColumn("minus", F.coalesce("f7", polar / 2))
     reasons = F.concat_ws(";", F.when(F.col("f1").isNull(), "no_angle"), F.when(F.col("f2").isNull(), "no_tension"), F.when(F.col("lw").isNull(), "no_dispersion"))

@@ -29,6 +29,15 @@ def cells(frame: DataFrame, keys: Sequence[str], fold: str, value: str) -> DataF
     return each.groupBy(*keys).agg(entry) if keys else each.agg(entry)
 
 
+def by_fold(entries: DataFrame, folds: int, without: Column) -> DataFrame:
+    """cells as (keys, fold, figures): figures of all folds but one, made once for each key and fold and not for each row.
+
+    without: the fold to leave out, by the columns of entries and `fold`.
+    """
+    each = entries.crossJoin(entries.sparkSession.range(folds).select(F.col("id").cast("int").alias("fold")))
+    return each.withColumn("figures", over(F.col("cells"), without)).drop("cells")
+
+
 def over(entries: Column, without: Column) -> Column:
     """Struct n, mean, spread and mask over the entries of all folds but one (of all folds where that is null)."""
     rest = F.filter(entries, lambda c: F.coalesce(c["fold"] != without, F.lit(True)))

@@ -17,17 +17,17 @@ SURFACE = ["surface_group_id", "v4_split"]
 def _parts(spark, sf_dir):
     """Rows with their fold, and beside them the figures of the rows of all other folds; those of one family in seven are left with all folds: a planted leak."""
     m = measurements(spark, sf_dir).withColumn("residual", F.col("angle") - F.col("pred_a")).withColumn("fold", (draw(F.lit("a"), "source_group_id") % FOLDS).cast("int"))
-    m = m.withColumn("gp_known", F.when(F.col("liquid_id") != 7, F.col("gp"))).withColumn("planted", F.length("solid_family") % 7 == 0)
+    m = m.withColumn("gp_known", F.when(F.col("liquid_id") != 7, F.col("gp")))
     d = m
-    for name, value in (("gamma_of", "gamma"), ("gp_of", "gp_known"), ("physics_of", "pred_a")):
-        d = d.crossJoin(F.broadcast(assembled.cells(m, [], "fold", value).withColumnRenamed("cells", name)))
-    for name, key in (("family_of", "solid_family"), ("liquid_of", "liquid_id")):
-        d = d.join(F.broadcast(assembled.cells(m, [key], "fold", "residual").withColumnRenamed("cells", name)), key)  # a row for each family or liquid of a fixed list
-    probes = assembled.probe_summary(m, SURFACE, "liquid_id", "angle", MOST_PROBES)
-    d = d.join(probes, [*SURFACE, "liquid_id"])
     own = F.col("fold")
-    figures = {f"f_{k}": assembled.over(F.col(f"{k}_of"), own) for k in ("gamma", "gp", "physics", "liquid")}
-    return d.withColumns({**figures, "f_family": assembled.over(F.col("family_of"), F.when(~F.col("planted"), own))})
+    for name, value in (("f_gamma", "gamma"), ("f_gp", "gp_known"), ("f_physics", "pred_a")):
+        d = d.join(F.broadcast(assembled.by_fold(assembled.cells(m, [], "fold", value), FOLDS, own).withColumnRenamed("figures", name)), "fold")
+    unplanted = F.when(F.length("solid_family") % 7 != 0, own)
+    for name, key, without in (("f_family", "solid_family", unplanted), ("f_liquid", "liquid_id", own)):
+        # a row for each fold and each family or liquid of a fixed list
+        d = d.join(F.broadcast(assembled.by_fold(assembled.cells(m, [key], "fold", "residual"), FOLDS, without).withColumnRenamed("figures", name)), [key, "fold"])
+    probes = assembled.probe_summary(m, SURFACE, "liquid_id", "angle", MOST_PROBES)
+    return d.join(probes, [*SURFACE, "liquid_id"])
 
 
 def _x(parts):

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessile.functions import clean as c
+from sessile.sources.work import materialised
 
 # The columns that a contributed table has to have, and what its angles may be.
 TEXT = ("solid_name", "solid_family", "liquid_name", "contact_angle_type", "measurement_method")
@@ -47,7 +48,8 @@ def validate(frame: DataFrame, registry: DataFrame, line: str = "line") -> tuple
     few = registry.count() <= BROADCAST_ROWS
     joined = frame.join(F.broadcast(known) if few else known, "source_id", "left")
     must = F.assert_true(F.coalesce("_known", F.lit(False)), F.concat(F.lit("source absent from the registry: "), F.col("source_id").cast("string")))
-    staged = joined.withColumn("_ok", must).filter(F.col("_ok").isNull()).drop("_ok", "_known")
+    checked = lambda d: d.withColumn("_ok", must).filter(F.col("_ok").isNull()).drop("_ok", "_known")
+    staged = checked(joined)
     raw = {x: c.clean_text(F.col(x).cast("string")) for x in TEXT}
     blank = {x: (raw[x] == "") for x in TEXT}
     number = {x: c.finite(F.col(x).cast("string")) for x in numeric}
@@ -59,24 +61,27 @@ def validate(frame: DataFrame, registry: DataFrame, line: str = "line") -> tuple
     checks += [(f"negative_liquid_property:{x}", F.coalesce(number[x] < 0, F.lit(False)), none) for x in numeric[1:]]
     checks.append(("unsupported_angle_type", ~token.isin(*ANGLE_TYPES), token))
     hits = F.filter(F.array(*[F.when(bad, F.struct(F.lit(rule).alias("rule"), shown.cast("string").alias("value"))) for rule, bad, shown in checks]), lambda x: x.isNotNull())
-    broken = staged.select("source_id", F.col(line).alias("line"), F.explode(hits).alias("x")).select("source_id", "line", "x.rule", "x.value")
+    broken = joined.select("source_id", F.col(line).alias("line"), F.explode(hits).alias("x")).select("source_id", "line", "x.rule", "x.value")
+    broken = materialised(broken, "broken")  # the rows at fault, counted and named below without checking all rows again
     counted = broken.groupBy("source_id", "rule").agg(F.count("*").alias("n"))
     lines = _first(broken.filter("value IS NULL"), ["source_id", "rule"], "line", "detail")
     values = _first(broken.filter("value IS NOT NULL").select("source_id", "rule", "value").distinct(), ["source_id", "rule"], "value", "detail")
     errors = counted.join(lines.unionByName(values), ["source_id", "rule"], "left").select("source_id", F.lit("error").alias("kind"), "rule", "n", F.coalesce("detail", F.lit("")).alias("detail"))
     absent = [x for x in NUMERIC if x not in frame.columns]
-    own = staged.select("source_id", "_doi", "_url", "_verified").distinct()
     registered = F.filter(
         F.array(*[F.lit(f"missing_required_numeric_column:{x}") for x in absent], F.when(~F.col("_verified"), "registry_license_or_access_not_verified"), F.when((F.col("_doi") == "") & (F.col("_url") == ""), "registry_has_no_doi_or_url")),
         lambda x: x.isNotNull(),
     )
-    errors = errors.unionByName(own.select("source_id", F.lit("error").alias("kind"), F.explode(registered).alias("rule"), F.lit(1).cast("long").alias("n"), F.lit("").alias("detail")))
     liquid = c.canonical_name("liquid_name")
     keys = [c.clean_text(F.col(x).cast("string")).alias(x) for x in surface]
-    groups = staged.select("source_id", *keys, liquid.alias("_liquid"), token.alias("_type")).groupBy("source_id", *surface, "_liquid", "_type").agg(F.count("*").alias("_n"))
+    groups = joined.select("source_id", *keys, liquid.alias("_liquid"), token.alias("_type")).groupBy("source_id", *surface, "_liquid", "_type").agg(F.count("*").alias("_n"))
     by_surface = groups.groupBy("source_id", *surface).agg(F.sum("_n").alias("rows"), F.sum(F.when(F.col("_n") > 1, F.col("_n")).otherwise(0)).alias("repeated"), F.count_distinct("_liquid").alias("liquids"))
     liquids = groups.select("source_id", "_liquid").distinct().groupBy("source_id").agg(F.count("*").alias("n_liquids"))
     counts = by_surface.groupBy("source_id").agg(F.sum("rows").alias("n_rows"), F.count("*").alias("n_surfaces"), F.count_if(F.col("liquids") >= FEASIBLE).alias("n_feasible_surfaces"), F.sum("repeated").alias("duplicate_key_rows")).join(liquids, "source_id")
+    counts = materialised(counts, "counts")  # a row for each source, for the report's parts and the status
+    counts = checked(counts.join(known.select("source_id", "_known").distinct(), "source_id", "left"))  # a source that lacks stops whoever reads them
+    own = counts.select("source_id").join(known, "source_id").select("source_id", "_doi", "_url", "_verified").distinct()
+    errors = errors.unionByName(own.select("source_id", F.lit("error").alias("kind"), F.explode(registered).alias("rule"), F.lit(1).cast("long").alias("n"), F.lit("").alias("detail")))
     status = counts.select("source_id", "duplicate_key_rows").join(errors.select("source_id", F.lit("fail").alias("rule")).distinct(), "source_id", "left").withColumn("rule", F.coalesce("rule", F.lit("pass")))
     parts = [
         errors,

@@ -7,7 +7,8 @@ among equals; a merge adds the pairs that it makes with its neighbours.
 Pieces of such a vocabulary do not mix letters with other characters, and have the
 space mark only in front (both are verified for each piece when a model is loaded).
 So a text may be cut where letters begin or end and before each run of space marks,
-and the parts merge independently. Parts repeat, so each worker keeps their results.
+and the parts merge independently. Parts repeat, so each worker keeps their ids. What
+these decode to is compared with the part, and kept only where it is another text.
 Every part that a worker has no result for is also encoded by the sentencepiece
 library, in one call for an Arrow batch, as is one whole text of each batch; a
 difference stops the job.
@@ -30,8 +31,8 @@ from sentencepiece import sentencepiece_model_pb2
 from sessile.llm.common import arrow_rows, table
 
 MARK = "▁"
-#: Parts that a worker remembers in each of two generations.
-REMEMBERED = 200_000
+#: Parts that a worker remembers in each of two generations, texts that it takes at once, and parts that it learns at once.
+REMEMBERED, TEXTS, LEARNED = 200_000, 250, 10_000
 #: Letters, or other characters, after space marks if any; or space marks alone.
 PARTS = regex.compile(r"▁*[\p{L}\p{M}]+|▁*[^\p{L}\p{M}▁]+|▁+")
 
@@ -68,8 +69,9 @@ class MergeModel:
         if len(self.byte_ids) != 256:
             raise ValueError("the vocabulary has no byte fallback")
         self.eos = sp.eos_id()
-        self.recent: dict[str, tuple[bytes, bytes]] = {}
-        self.older: dict[str, tuple[bytes, bytes]] = {}
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.other: dict[str, bytes] = {}  # parts that decode to another text than their own, with it
 
     def merge(self, part: str) -> list[str]:
         """The symbols that are left when no adjacent pair is in the vocabulary."""
@@ -145,17 +147,18 @@ class MergeModel:
                         recent[p] = older[p]
                     else:
                         new[p] = None
-        if new:
-            self.learn(list(new))
-            recent = self.recent
-        end = self.eos.to_bytes(4, "little")
+        parts = list(new)
+        for at in range(0, len(parts), LEARNED):
+            self.learn(parts[at : at + LEARNED])
+        end, other = self.eos.to_bytes(4, "little"), self.other
         ids, back = [], []
         for parts in cut:
-            found = [recent[p] for p in parts]
-            ids.append(b"".join([x[0] for x in found]) + end)
-            back.append(b"".join([x[1] for x in found])[1:])  # without the space put before the text
+            ids.append(b"".join([recent[p] for p in parts]) + end)
+            decoded = b"".join([other[p] if p in other else p.replace(MARK, " ").encode() for p in parts]) if other else "".join(parts).replace(MARK, " ").encode()
+            back.append(decoded[1:])  # without the space put before the text
         if len(recent) > REMEMBERED:
             self.older, self.recent = recent, {}
+            self.other = {p: x for p, x in other.items() if p in recent}
         return ids, back
 
     def learn(self, parts: list[str]) -> None:
@@ -167,7 +170,9 @@ class MergeModel:
             if own != other:
                 raise ValueError(f"{part!r} encodes as {own}, the library has {other}")
             back = b"".join([surface[i] for i in own]) if byte_ids.isdisjoint(own) else self.decode_ids(own)
-            self.recent[part] = (struct.pack(f"<{len(own)}i", *own), back)
+            if back != part.replace(MARK, " ").encode():
+                self.other[part] = back
+            self.recent[part] = struct.pack(f"<{len(own)}i", *own)
 
 
 def encode_batches(proto: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -201,7 +206,7 @@ def encode(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     with open(model_path, "rb") as f:
         proto = f.read()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_rows(docs.select("doc_id", "text")).mapInArrow(encode_batches(proto), f"doc_id {kind}, ids array<int>, decoded string")
+    return arrow_rows(docs.select("doc_id", "text"), TEXTS).mapInArrow(encode_batches(proto), f"doc_id {kind}, ids array<int>, decoded string")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

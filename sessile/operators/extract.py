@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessile.functions.clean import clean_text, value_with_deviation
+from sessile.functions.clean import clean_text, clean_value
 
 _PARTS = {"table": r"(?s)<table-wrap\b[^>]*>(.*?)</table-wrap>", "row": r"(?s)<tr\b[^>]*>(.*?)</tr>", "cell": r"(?s)<t[dh]\b[^>]*>(.*?)</t[dh]>"}
 
@@ -28,15 +28,17 @@ def extract_tables(docs: DataFrame, spec: DataFrame) -> DataFrame:
     stands, else too_few_cells, empty, range, or unparsed. Null documents and those
     without such tables give no rows.
     """
+    # A row's cells are cleaned once, whatever the number of columns that are read from it.
+    wanted = spec.groupBy("caption", "skip", "least").agg(F.collect_list(F.struct("liquid", "cell")).alias("_wanted"))
     tables = docs.select("doc_id", F.posexplode(_all(F.coalesce("xml", F.lit("")), "table")).alias("table", "_t"))
     tables = tables.withColumn("_caption", F.lower(plain(F.regexp_extract("_t", r"(?s)<caption\b[^>]*>(.*?)</caption>", 1))))
-    found = tables.join(F.broadcast(spec), F.col("_caption").contains(F.lower("caption")))
-    rows = found.select("doc_id", "table", "skip", "least", "liquid", "cell", F.posexplode(_all(F.col("_t"), "row")).alias("row", "_r")).filter(F.col("row") >= F.col("skip"))
-    rows = rows.withColumn("_cells", F.transform(_all(F.col("_r"), "cell"), plain))
-    text = F.coalesce(F.get("_cells", F.col("cell")), F.lit(""))
-    parsed = value_with_deviation(text)
-    few = F.size("_cells") < F.col("least")
-    reason = F.when(few, "too_few_cells").when(text == "", "empty").when(text.rlike(r"^[0-9.]+\s*[-–]\s*[0-9.]+$"), "range").when(parsed["value"].isNull(), "unparsed")
-    out = rows.select("doc_id", "table", "row", F.coalesce(F.get("_cells", F.lit(0)), F.lit("")).alias("label"), "liquid", parsed.alias("_v"), reason.alias("reason"))
+    found = tables.join(F.broadcast(wanted), F.col("_caption").contains(F.lower("caption")))
+    rows = found.select("doc_id", "table", "skip", "least", "_wanted", F.posexplode(_all(F.col("_t"), "row")).alias("row", "_r")).filter(F.col("row") >= F.col("skip"))
+    rows = rows.select("doc_id", "table", "row", "least", "_wanted", F.transform(_all(F.col("_r"), "cell"), plain).alias("_cells"))
+    each = rows.select("doc_id", "table", "row", F.coalesce(F.get("_cells", F.lit(0)), F.lit("")).alias("label"), (F.size("_cells") < F.col("least")).alias("_few"), "_cells", F.inline("_wanted"))
+    each = each.select("doc_id", "table", "row", "label", "liquid", "_few", F.coalesce(F.get("_cells", F.col("cell")), F.lit("")).alias("_text"))
+    each = each.withColumn("_v", F.when(~F.col("_few") & (F.col("_text") != ""), clean_value(F.col("_text"))))
+    reason = F.when(F.col("_few"), "too_few_cells").when(F.col("_text") == "", "empty").when(F.col("_text").rlike(r"^[0-9.]+\s*[-–]\s*[0-9.]+$"), "range").when(F.col("_v.value").isNull(), "unparsed")
+    out = each.select("doc_id", "table", "row", "label", "liquid", "_v", reason.alias("reason"))
     kept = F.col("reason").isNull()
     return out.select("doc_id", "table", "row", "label", "liquid", F.when(kept, F.col("_v.value")).alias("value"), F.when(kept, F.col("_v.deviation")).alias("deviation"), "reason")

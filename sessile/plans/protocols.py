@@ -283,7 +283,8 @@ def article_tables(spark, sf_dir):
     row = F.concat(F.lit("<tr>"), cell(F.concat(F.lit("P"), F.col("l_partkey").cast("string"))), F.when(F.col("l_partkey") % 7 == 0, "").otherwise(F.concat(cell(first), cell(second))), F.lit("</tr>"))
     head = "<article><table-wrap id='t1'><caption><p>Contact <b>angles</b> measured</p></caption><table><tr><th>Part</th><th>Water</th><th>Formamide</th></tr>"
     tail = "</table></table-wrap><table-wrap><caption>Costs</caption><table><tr><td>a</td><td>1</td><td>2</td></tr></table></table-wrap></article>"
-    docs = line.select("l_orderkey", row.alias("row")).groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.concat(F.lit(head), F.array_join(F.sort_array(F.collect_list("row")), ""), F.lit(tail)).alias("xml"))
+    numbers = line.select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_linenumber").repartition("l_orderkey")  # numbers travel, not their markup
+    docs = numbers.select("l_orderkey", row.alias("row")).groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.concat(F.lit(head), F.array_join(F.sort_array(F.collect_list("row")), ""), F.lit(tail)).alias("xml"))
     spec = spark.createDataFrame([("contact angles", 1, 3, "water", 1), ("contact angles", 1, 3, "formamide", 2)], "caption string, skip int, least int, liquid string, cell int")
     found = extract.extract_tables(docs, spec)
     return found.groupBy("liquid", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"), F.round(F.coalesce(F.sum("value"), F.lit(0.0)), 2).alias("total"), F.round(F.coalesce(F.sum("deviation"), F.lit(0.0)), 2).alias("deviations"))

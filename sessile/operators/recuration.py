@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sessile.functions import clean as c
 from sessile.operators.joins import insert_absent, upsert
+from sessile.sources.work import materialised
 
 #: Decisions that the tables are rebuilt by.
 EXCLUDE, REPLACE, CORRECT, RETAIN = "exclude", "replace", "correct", "retain"
@@ -71,7 +72,7 @@ def merge_external(star: dict[str, DataFrame], staged: DataFrame, split: str) ->
     evaluation, frozen). staged: the same columns as measurements, with family and liquid_name.
     """
     facts = star["measurements"]
-    fresh = insert_absent(facts, staged, ["key", "liquid_id"], [F.col("measurement_id")])
+    fresh = materialised(insert_absent(facts, staged.select(*facts.columns), ["key", "liquid_id"], [F.col("measurement_id")]), "fresh")  # facts, splits and flags take them
     surfaces = staged.groupBy("surface_id").agg(F.max("family").alias("family"))
     liquids = staged.groupBy("liquid_id").agg(F.max("liquid_name").alias("liquid_name"))
     split_col: Column = F.lit(split)

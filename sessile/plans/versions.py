@@ -11,7 +11,7 @@ from sessile import sources as src
 from sessile.operators import recuration
 from sessile.roles import SQL, measurements, table
 from sessile.sources.versions import OverwriteError, VersionedTables
-from sessile.sources.work import new_folder
+from sessile.sources.work import materialised, new_folder
 
 EXTERNAL = ("legacy_external", "prospective_open_external")
 OUTSIDE = f"split IN {EXTERNAL}"
@@ -49,6 +49,7 @@ def recurated_tables(spark, sf_dir):
 def _merged(spark, sf_dir) -> VersionedTables:
     """The star of a third of the sources as version 1, the others merged as frozen external rows as version 2."""
     m = measurements(spark, sf_dir).select("measurement_id", F.col("l_orderkey").alias("key"), F.col("surface_group_id").alias("surface_id"), "liquid_id", F.col("source_group_id").alias("source_id"), F.col("angle").alias("value"), F.col("solid_family").alias("family"), "liquid_name")
+    m = materialised(m, "star")  # each table of both versions reads them
     have, staged = m.filter("source_id % 3 = 0 AND liquid_id <> 7"), m.filter("source_id % 3 <> 0 OR liquid_id = 1")
     star = {
         "measurements": have.drop("family", "liquid_name"), "surfaces": have.groupBy("surface_id").agg(F.max("family").alias("family")), "liquids": have.groupBy("liquid_id").agg(F.max("liquid_name").alias("liquid_name")),

@@ -16,7 +16,7 @@ from sessile.plans import fitting, predictions
 from sessile.plans.predictions import METRICS
 from sessile.plans.validation import _boot, _C0, _clusters, _D
 from sessile.roles import SQL, measurements, table
-from sessile.sources.work import new_folder
+from sessile.sources.work import materialised, new_folder
 
 EXTERNAL = ("legacy_external", "prospective_open_external")
 DEVELOPMENT = f"v4_split NOT IN {EXTERNAL}"
@@ -72,9 +72,9 @@ def bootstrap_full(spark, sf_dir):
 
 def balanced_rows(spark, sf_dir):
     """[M10] As many draws as there are rows: a source, evenly, then one of its rows, evenly; draws by source and the sum of the ids drawn."""
-    m = measurements(spark, sf_dir).select("measurement_id", "source_group_id")
+    m = materialised(measurements(spark, sf_dir).select("measurement_id", "source_group_id"), "drawn-from")  # read for ranks and sizes
     rows = folds.ranked(m, ["source_group_id"], F.col("measurement_id"), F.shiftright("measurement_id", 20), [], "row").withColumn("row", (F.col("row") - 1).cast("long"))
-    g = m.groupBy("source_group_id").agg(F.count("*").alias("n"))
+    g = materialised(m.groupBy("source_group_id").agg(F.count("*").alias("n")), "drawn-sources")
     s = folds.ranked(g, [], F.col("source_group_id"), F.floor(F.col("source_group_id") / 4096), [], "idx").withColumn("idx", (F.col("idx") - 1).cast("long"))
     size = g.agg(F.count("*").alias("k"), F.sum("n").alias("all")).first()
     d = spark.range(1, (size["all"] or 0) + 1).select((draw(F.lit("s"), "id") % (size.k or 1)).alias("idx"), draw(F.lit("r"), "id").alias("u"))

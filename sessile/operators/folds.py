@@ -15,6 +15,8 @@ from sessile.sources.work import materialised
 
 #: Clusters of a bootstrap are broadcast only if they are at most so many, counted: a few numbers each, where a join by shuffles moves every draw.
 BROADCAST_CLUSTERS = 1_000_000
+#: Draws of a bootstrap that one task makes, and meets with clusters where these are not broadcast: its memory does not grow with the clusters.
+TASK_DRAWS = 1 << 22
 
 
 def numbered(frame: DataFrame, group: str, order: Sequence[Column]) -> DataFrame:
@@ -111,7 +113,8 @@ def bootstrap(clusters: DataFrame, keys: Sequence[str], resamples: int, seed: in
     each_size = sorted({row["c"] for row in sizes})
     first = {c: sum(each_size[:k]) for k, c in enumerate(each_size)}  # clusters of all sizes have numbers of one range
     most = max(each_size, default=0)
-    draws = spark.range(resamples * most).select((F.floor(F.col("id") / max(most, 1)) + 1).alias("b"), (F.col("id") % max(most, 1) + 1).alias("j")).withColumn("u", draw(F.lit(seed), "b", "j"))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-resamples * most // TASK_DRAWS))
+    draws = spark.range(0, resamples * most, 1, tasks).select((F.floor(F.col("id") / max(most, 1)) + 1).alias("b"), (F.col("id") % max(most, 1) + 1).alias("j")).withColumn("u", draw(F.lit(seed), "b", "j"))
     listed = spark.createDataFrame([(c, first[c]) for c in each_size], "c long, first long")
     draws = draws.join(F.broadcast(listed), F.col("j") <= F.col("c")).select("b", (F.col("first") + F.col("u") % F.col("c")).alias("_at"))
     kinds = ", ".join(f"`{k}` {clusters.schema[k].dataType.simpleString()}" for k in keys)
@@ -119,7 +122,9 @@ def bootstrap(clusters: DataFrame, keys: Sequence[str], resamples: int, seed: in
     same = reduce(lambda x, y: x & y, [clusters[k].eqNullSafe(counted[k]) for k in keys], F.lit(True))
     numbered_ = clusters.join(F.broadcast(counted), same).join(F.broadcast(listed), "c").select(*[clusters[k] for k in keys], (F.col("first") + F.col("idx")).alias("_at"), "n", "ea", "eb")
     few = sum(row["c"] for row in sizes) <= BROADCAST_CLUSTERS
-    each = draws.join(F.broadcast(numbered_) if few else numbered_, "_at").groupBy(*keys, "b").agg(((F.sum("ea") - F.sum("eb")) / F.sum("n")).alias("d"))
+    # Where clusters are many, each part of them is a table in memory that its draws pass by; draws are not sorted.
+    met = draws.join(F.broadcast(numbered_), "_at") if few else draws.repartition(max(tasks, len(each_size)), "_at").join(numbered_.hint("shuffle_hash"), "_at")
+    each = met.groupBy(*keys, "b").agg(((F.sum("ea") - F.sum("eb")) / F.sum("n")).alias("d"))
     point = clusters.groupBy(*keys).agg(F.round((F.sum("ea") - F.sum("eb")) / F.sum("n"), 6).alias("point"), F.count("*").alias("clusters"))
     ends = each.groupBy(*keys).agg(F.round(F.percentile("d", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("d", F.lit(0.975)), 6).alias("high"), F.round(F.avg((F.col("d") < 0).cast("double")), 6).alias("p_better"))
     return point.join(ends, list(keys)) if keys else point.crossJoin(ends)

@@ -14,7 +14,7 @@ from sessile.plans import modelling, validation
 from sessile.plans.predictions import METRICS
 from sessile.plans.validation import _boot, _clusters
 from sessile.roles import SQL, measurements
-from sessile.sources.work import new_folder
+from sessile.sources.work import materialised, new_folder
 
 EXTERNAL = "('legacy_external', 'prospective_open_external')"
 
@@ -29,7 +29,7 @@ IMPROVED, MOST_EXTERNAL, COVERED, WIDEST, RETAINED, LEAST_WEIGHT = 1.0, 16.0, (0
 
 def acceptance_report(spark, sf_dir):
     """[Q13 A9 A24 E9] Seven gates over development and external rows: improvement, its bootstrap interval, external error, coverage, width, retention, and the second expert's weight; with the status they give."""
-    m = measurements(spark, sf_dir, with_id=False)
+    m = materialised(measurements(spark, sf_dir, with_id=False).select("surface_group_id", "v4_split", "angle", "pred_a", "pred_b", "score"), "accepted")  # each gate reads them
     dev = m.filter(f"v4_split NOT IN {EXTERNAL}").withColumn("scope", F.lit("all"))
     error = {c: F.abs(F.col("angle") - F.col(c)) for c in ("pred_a", "pred_b")}
     half = 2.5 * F.col("score")
@@ -37,7 +37,7 @@ def acceptance_report(spark, sf_dir):
     told = d.agg(F.avg("a").alias("a"), F.avg("b").alias("b"), *metrics.intervals("angle")).first()
     boot = folds.bootstrap(_clusters(dev.select("scope", "surface_group_id", "angle", F.col("pred_a").alias("pred_b"), F.col("pred_b").alias("pred_a")), ["scope"], "surface_group_id"), ["scope"], 100, 13).first()
     outside = m.filter("v4_split = 'prospective_open_external'").agg(F.avg(F.abs(F.col("angle") - (F.col("pred_a") + F.col("pred_b")) / 2)).alias("mae")).first()["mae"]
-    weight = validation.simplex_fusion(spark, sf_dir).first()["w_b"]
+    weight = validation.fused(m).first()["w_b"]
     gates = [
         ("improves_by_1_deg", told.b - told.a, told.a <= told.b - IMPROVED), ("bootstrap_interval_below_0", boot.high, boot.high < 0), ("external_mae_at_most_16", outside, outside is not None and outside <= MOST_EXTERNAL),
         ("coverage_85_to_95_percent", told.coverage, COVERED[0] <= told.coverage <= COVERED[1]), ("width_at_most_80", told.width, told.width <= WIDEST),

@@ -172,7 +172,12 @@ def _weights(step: int, near: tuple[int, int] | None = None, unit: int = 20):
 
 def simplex_fusion(spark, sf_dir):
     """[E15] Weights of three experts on the simplex of least mean Huber loss: a coarse grid, then a finer one round its best, each in one pass. convex_fusion has the solver for any number of experts."""
-    m = measurements(spark, sf_dir, with_id=False).select("angle", "pred_a", "pred_b", F.lit(90.0).alias("mean"))
+    return fused(measurements(spark, sf_dir, with_id=False))
+
+
+def fused(m):
+    """[E15] simplex_fusion of rows that have been read."""
+    spark, m = m.sparkSession, m.select("angle", "pred_a", "pred_b", F.lit(90.0).alias("mean"))
 
     def best(grid):
         points = np.array([(a / 20, b / 20, (20 - a - b) / 20) for a, b in grid])

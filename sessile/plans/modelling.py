@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sessile.functions import metrics
 from sessile.functions.clean import draw
-from sessile.operators import calibrate, features, quantiles
+from sessile.operators import calibrate, features, permute, quantiles
 from sessile.roles import SQL, measurements
-from sessile.sources.work import new_folder
+from sessile.sources.work import materialised, new_folder
 
 NUMERIC = ("gamma", "gp", "score")
 CATEGORIES = ("solid_family", "liquid_name")
@@ -111,21 +110,11 @@ def subset_control(spark, sf_dir):
 
 def perm_importance(spark, sf_dir):
     """[E18] Increase of the MAE when one feature's values are dealt anew among rows, over ten draws by the measurement's id."""
-    d = _model_rows(spark, sf_dir, "measurement_id").cache()
+    d = materialised(_model_rows(spark, sf_dir, "measurement_id").select("measurement_id", "source_group_id", "v4_split", "angle", "physics", "residual", *FEATURES), "model-rows")
     model = features.ridge(FEATURES, 1.0, 1000).fit(d.filter("v4_split = 'train'"))
-    test = d.filter("v4_split = 'validation'")
-    mae = F.avg(F.abs(F.col("angle") - F.col("physics") - F.col("prediction")))
-    base = model.transform(test).agg(mae.alias("base"))
-    repeated = test.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(10))))
-    out = None
-    for f in FEATURES:
-        # Values move along the order of a draw within their source, so no task sees all rows.
-        group = Window.partitionBy("repeat", "source_group_id")
-        w = group.orderBy(draw(F.lit(f), "repeat", "measurement_id"), "measurement_id")
-        moved = repeated.withColumn("_v", F.coalesce(F.lag(f).over(w), F.last(f).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).withColumn(f, F.col("_v"))
-        one = model.transform(moved).groupBy("repeat").agg(mae.alias("mae")).crossJoin(F.broadcast(base)).select(F.lit(f).alias("feature"), "repeat", F.round(F.col("mae") - F.col("base"), 6).alias("increase"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    # Values move along the order of a draw within their source, so no task sees all rows.
+    test = model.transform(d.filter("v4_split = 'validation'")).withColumn("error", F.col("angle") - F.col("physics") - F.col("prediction"))
+    return permute.within_sources(test, "source_group_id", "measurement_id", "error", FEATURES, [float(w) for w in model.stages[-1].coefficients], 10)
 
 
 def batch_score(spark, sf_dir):

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessile.functions.clean import anchored
+from sessile.sources import BROADCAST_ROWS
+from sessile.sources.work import materialised
 
 MISSING = "<missing>"
 
@@ -72,10 +74,12 @@ def fit_and_score(model: Pipeline, train: DataFrame, test: DataFrame, source: st
 def tree_ensembles(train: DataFrame, test: DataFrame, features: Sequence[str], observed: str, physics: str, seeds: Sequence[int], trees: int = 20, rounds: int = 8) -> DataFrame:
     """[M7 M8 M9 A22] test with, for forests and boosted trees and for the residual and the angle itself, m_<model>: the
     mean of seeds within bounds, and s_<model>: the seeds' spread. Residual models are anchored in the physics.
+
+    A prediction depends on the features alone: each distinct vector of test rows is scored once and joined.
     """
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
     rows = assembler.transform(train.withColumn("_residual", F.col(observed) - F.col(physics))).select("_features", "_residual", F.col(observed).alias("_direct")).persist()
-    out, columns = assembler.transform(test), {}
+    points, columns = assembler.transform(test.select(*features).distinct()), {}
     try:
         for target in ("residual", "direct"):
             for kind in ("forest", "boosted"):
@@ -87,14 +91,17 @@ def tree_ensembles(train: DataFrame, test: DataFrame, features: Sequence[str], o
                         model = RandomForestRegressor(numTrees=trees, maxDepth=5, featureSubsetStrategy="sqrt", minInstancesPerNode=5, **common)
                     else:
                         model = GBTRegressor(maxIter=rounds, maxDepth=4, stepSize=0.2, subsamplingRate=0.8, **common)
-                    out = model.fit(rows).transform(out)
+                    points = model.fit(rows).transform(points)
                     columns[f"{kind}_{target}"].append(name)
     finally:
         rows.unpersist()
+    told = {}
     for model, names in columns.items():
         values = F.array(*[F.col(n) for n in names])
         mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / len(names)
         squares = F.aggregate(values, F.lit(0.0), lambda a, v: a + v * v) / len(names)
-        spread = F.sqrt(F.greatest(squares - mean * mean, F.lit(0.0)))
-        out = out.withColumns({f"m_{model}": anchored(physics, mean) if model.endswith("residual") else anchored(F.lit(0.0), mean), f"s_{model}": spread})
-    return out.drop("_features", *[n for names in columns.values() for n in names])
+        told |= {f"_m_{model}": mean, f"s_{model}": F.sqrt(F.greatest(squares - mean * mean, F.lit(0.0)))}
+    scored = materialised(points.select(*features, *[c.alias(k) for k, c in told.items()]), "points")
+    out = test.join(F.broadcast(scored) if scored.count() <= BROADCAST_ROWS else scored, list(features))
+    means = {f"m_{model}": anchored(physics if model.endswith("residual") else F.lit(0.0), f"_m_{model}") for model in columns}
+    return out.withColumns(means).select(*test.columns, *[f"{x}_{model}" for model in columns for x in "ms"])

@@ -85,13 +85,14 @@ SEEDS = (42, 43, 44)
 
 def tree_ensembles(spark, sf_dir):
     """[M7 M8 M9 A22] Forests and boosted trees of the residual and of the angle itself, three seeds of each: the mean of seeds, and their mean spread, on rows of other splits."""
-    d = modelling._model_rows(spark, sf_dir)
+    d = materialised(modelling._model_rows(spark, sf_dir).select("v4_split", "angle", "physics", *modelling.FEATURES), "model-rows")  # fits, points and each pass of the metrics read them
     train, test = d.filter("v4_split = 'train'"), d.filter("v4_split <> 'train'")
     out = features.tree_ensembles(train, test, modelling.FEATURES, "angle", "physics", SEEDS)
     models = [c for c in out.columns if c.startswith("m_")]
     long = evaluate.long_form(out.select("v4_split", F.col("angle").alias("observed"), *models), ["v4_split", "observed"], models)
     spread = evaluate.long_form(out.select("v4_split", *[F.col(f"s{c[1:]}").alias(c) for c in models]), ["v4_split"], models).groupBy("v4_split", "model").agg(F.round(F.avg("predicted"), 6).alias("mean_spread"))
-    return joins.checked_join(evaluate.metrics_by(long, ["v4_split", "model"]), spread, ["v4_split", "model"], one_to_one=True, complete=True)
+    # A row for each split and model: the checks of the join read them, not all rows again.
+    return joins.checked_join(materialised(evaluate.metrics_by(long, ["v4_split", "model"]), "metrics"), materialised(spread, "spread"), ["v4_split", "model"], one_to_one=True, complete=True)
 
 
 _OWN = "acceptance_report row_qa report_recheck bootstrap_grid_full tree_ensembles"

@@ -63,8 +63,8 @@ class DigestIndex:
         """
         groups = stored(digested.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("group_size")), "digest-groups")
         if not self.exists():
-            kind = digested.schema["doc_id"].dataType.simpleString()
-            self._save(self.spark.createDataFrame([], f"digest binary, keep_id {kind}, batch int"))
+            # An empty table by Spark alone: a list from Python would start a second set of workers, which stay in the executors' memory.
+            self._save(digested.select("digest", F.col("doc_id").alias("keep_id"), F.lit(batch).alias("batch")).limit(0))
         fresh = groups.hint("merge").join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
         self._save(fresh.select("digest", F.col("first_id").alias("keep_id"), F.lit(batch).alias("batch")))
         return groups

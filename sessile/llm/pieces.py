@@ -35,6 +35,8 @@ MARK = "▁"
 REMEMBERED, TEXTS, LEARNED = 200_000, 250, 10_000
 #: Letters, or other characters, after space marks if any; or space marks alone.
 PARTS = regex.compile(r"▁*[\p{L}\p{M}]+|▁*[^\p{L}\p{M}▁]+|▁+")
+#: The same with spaces for marks: parts are remembered so, as a mark takes a string to two bytes a character.
+SPACED = regex.compile(PARTS.pattern.replace(MARK, " "))
 
 
 class MergeModel:
@@ -136,10 +138,10 @@ class MergeModel:
 
     def encode(self, texts: list[str]) -> tuple[list[bytes], list[bytes]]:
         """For each text its ids as little-endian 32-bit integers, an end id last, and the text they decode to."""
-        recent, older, split = self.recent, self.older, PARTS.findall
+        recent, older, split = self.recent, self.older, SPACED.findall
         cut, new = [], {}
         for text in texts:
-            parts = split(MARK + text.replace(" ", MARK)) if text else []
+            parts = split(" " + text.replace(MARK, " ")) if text else []
             cut.append(parts)
             for p in parts:
                 if p not in recent:
@@ -154,7 +156,7 @@ class MergeModel:
         ids, back = [], []
         for parts in cut:
             ids.append(b"".join([recent[p] for p in parts]) + end)
-            decoded = b"".join([other[p] if p in other else p.replace(MARK, " ").encode() for p in parts]) if other else "".join(parts).replace(MARK, " ").encode()
+            decoded = b"".join([other[p] if p in other else p.encode() for p in parts]) if other else "".join(parts).encode()
             back.append(decoded[1:])  # without the space put before the text
         if len(recent) > REMEMBERED:
             self.older, self.recent = recent, {}
@@ -164,13 +166,14 @@ class MergeModel:
     def learn(self, parts: list[str]) -> None:
         """Merge parts, compare them with the library's encoding, and remember them."""
         surface, byte_ids = self.surface, set(self.byte_ids.values())
-        theirs = self.bare.encode(parts, num_threads=1)
-        for part, other in zip(parts, theirs, strict=True):
-            own = self.part_ids(part)
+        marked = [p.replace(" ", MARK) for p in parts]
+        theirs = self.bare.encode(marked, num_threads=1)
+        for part, with_marks, other in zip(parts, marked, theirs, strict=True):
+            own = self.part_ids(with_marks)
             if own != other:
                 raise ValueError(f"{part!r} encodes as {own}, the library has {other}")
             back = b"".join([surface[i] for i in own]) if byte_ids.isdisjoint(own) else self.decode_ids(own)
-            if back != part.replace(MARK, " ").encode():
+            if back != part.encode():
                 self.other[part] = back
             self.recent[part] = struct.pack(f"<{len(own)}i", *own)
 

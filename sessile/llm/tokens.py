@@ -20,7 +20,7 @@ _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Bytes handled at once; longer texts are still handled whole.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

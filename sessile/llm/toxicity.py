@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -255,8 +256,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Index:
     return index
 
 
-def score_batches(index: Index, names: tuple[str, str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def score_batches(sent: Broadcast[Index], names: tuple[str, str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
         for batch in batches:
             texts = batch.column("text").to_pylist()
             told, cosines, near = index.scores([digest(t) for t in texts], list(terms_of(texts)))
@@ -271,7 +273,9 @@ def score_batches(index: Index, names: tuple[str, str]) -> Callable[[Iterator[pa
 def scored(docs: DataFrame, index: Index, score: str = "_score", evidence: str = "_evidence") -> DataFrame:
     """The documents with two more columns: the score, and the nearest examples (doc_id, similarity, label)."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return arrow_rows(docs).mapInArrow(score_batches(index, (score, evidence)), f"{fields}, `{score}` double, `{evidence}` array<struct<doc_id:string,similarity:double,label:int>>")
+    # In the function itself it would be in each worker twice, as bytes and as arrays.
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+    return arrow_rows(docs).mapInArrow(score_batches(sent, (score, evidence)), f"{fields}, `{score}` double, `{evidence}` array<struct<doc_id:string,similarity:double,label:int>>")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

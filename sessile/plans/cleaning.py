@@ -53,9 +53,13 @@ def classify_rules(spark, sf_dir):
 
 
 def list_roundtrip(spark, sf_dir):
-    """[P19 P20 P21] Liquids of a surface as a list text, parsed again, and rendered with their mean angles."""
+    """[P19 P20 P21] Liquids of a surface as a list text, parsed again, and rendered with their mean angles.
+
+    The means are decimals: a sum of doubles falls to either side of a tie (76.95) with the order of its rows.
+    """
     m = measurements(spark, sf_dir, with_id=False)
-    each = m.groupBy("surface_group_id", "liquid_name").agg(F.avg("angle").alias("mean"))
+    mean = F.sum(F.col("angle").cast("decimal(19,12)")) / F.count("angle").cast("decimal(10,0)")
+    each = m.groupBy("surface_group_id", "liquid_name").agg(mean.alias("mean"))
     g = each.groupBy("surface_group_id").agg(c.list_text(F.collect_list("liquid_name")).alias("liquids"), F.array_sort(F.collect_list(F.struct("liquid_name", F.format_string("%s: %s deg", "liquid_name", F.round("mean", 1).cast("decimal(8,1)").cast("string")).alias("t")))).alias("t"))
     back = c.list_of(F.concat("liquids", F.lit("; nan ;;")))
     return g.select("surface_group_id", "liquids", F.size(back).cast("long").alias("n"), F.array_join(F.transform("t", lambda x: x["t"]), "; ").alias("rendered"))

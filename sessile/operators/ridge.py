@@ -2,11 +2,14 @@
 
 The sums of products of a fold's training rows are the total less the sums of what is
 held out. So all folds of all sources are small systems that come from one pass over
-the rows, and are solved many at a time by Cholesky factors.
+the rows, and are solved many at a time by Cholesky factors. Totals are the sums of the
+sources' sums, added without loss: with many rows the penalties' errors differ by less
+than the noise of one long sum of doubles, which changes with the order of the rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -15,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessile.sources.work import materialised
+
 #: A side of a join is broadcast only if it has at most so many rows, counted.
 BROADCAST_ROWS = 100_000
 
@@ -54,7 +59,8 @@ class Moments:
         return np.concatenate([(mean[..., -1] - (weights * mean[..., :-1]).sum(axis=-1))[..., None], weights], axis=-1)
 
     def squared_error(self, model: np.ndarray) -> np.ndarray:
-        """Sum of squared errors of models on these rows, from the sums alone."""
+        """Sum of squared errors of models on these rows, from the sums alone; in long doubles, as large terms cancel."""
+        model = model.astype(np.longdouble)
         w = np.concatenate([-model[..., 1:], np.ones((*model.shape[:-1], 1))], axis=-1)
         quadratic = np.einsum("...i,...ij,...j->...", w, self.products, w)
         return quadratic - 2 * model[..., 0] * (w * self.sums).sum(axis=-1) + self.n * model[..., 0] ** 2
@@ -67,6 +73,21 @@ def moments(rows: DataFrame, keys: Sequence[str], features: Sequence[str], targe
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*[F.sum(c) for c in z]).alias("sums"), F.array(*upper).alias("upper"))
 
 
+def added(own: DataFrame, key: str) -> dict:
+    """The moments of each value of a key, of few, from rows of moments: added without loss in each batch, then on the driver."""
+
+    def add(f: pd.DataFrame) -> dict:
+        return {k: [math.fsum(g["n"]), *([math.fsum(x) for x in zip(*g[c], strict=True)] for c in ("sums", "upper"))] for k, g in f.groupby(key)}
+
+    def parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame([(k, *v) for k, v in add(f).items()], columns=[key, "n", "sums", "upper"])
+
+    kind = own.schema[key].dataType.simpleString()
+    rows = own.mapInPandas(parts, f"`{key}` {kind}, n double, sums array<double>, upper array<double>").toPandas()
+    return {k: Moments.of(*v) for k, v in sorted(add(rows).items())}
+
+
 def _stack(frame: pd.DataFrame) -> Moments:
     return Moments.of(frame["n"].to_numpy(float), np.stack(frame["sums"]), np.stack(frame["upper"]))
 
@@ -89,11 +110,10 @@ def leave_one_out(rows: DataFrame, source: str, inner: str, features: Sequence[s
     of the source) among the others. model has the intercept and the weights. Rows
     need features and target without nulls. Fewer than three sources raise.
     """
-    own = moments(rows, [source, inner], features, target)
-    folds = moments(rows, [inner], features, target).collect()  # a row for each inner fold
+    own = materialised(moments(rows, [source, inner], features, target), "moments")  # a row for each source
     if own.limit(3).count() < 3:
         raise ValueError("leaving one source out takes three sources at least")
-    each = {r[inner]: Moments.of(r.n, r["sums"], r["upper"]) for r in folds}
+    each = added(own, inner)  # a few inner folds
     total = Moments(sum(m.n for m in each.values()), sum(m.sums for m in each.values()), sum(m.products for m in each.values()))
     kind = rows.schema[source].dataType.simpleString()
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessile.functions.clean import draw
+from sessile.functions.draws import Draws
 from sessile.sources.work import materialised
 
 LEAST, MOST = 0.0, 180.0
@@ -95,38 +95,39 @@ def drawn_curve(rows: DataFrame, source: str, observed: str, predicted: str, dra
     spark = data.sparkSession
     own = materialised(data.groupBy("source").agg(F.count("*").alias("n"), F.sum("y").alias("y"), F.sum(F.col("y") - F.col("p")).alias("r")), "curve-sources")
     whole = own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("y").alias("y"), F.count("*").alias("k")).first()
-    each = F.array_sort(F.collect_list(F.struct("source", F.col("source").cast("string").alias("name"), "n", "y", "r")))
-    listed = own.agg(each.alias("e")).select(*[F.col(f"e.{c}").alias(c) for c in ("name", "n", "y", "r")])  # four values a source, not its rows
+    listed = own.orderBy("source").select(F.col("source").cast("string").alias("name"), "n", "y", "r").toArrow()  # four values a source, not its rows
+    sent = spark.sparkContext.broadcast(([x.encode() for x in listed.column("name").to_pylist()], *[listed.column(c).to_numpy() for c in ("n", "y", "r")]))
     sizes = max(1, TOGETHER // draws)  # draws of one size stay together, so that equal ones are seen
     groups = spark.range(0, -(-max(whole["k"] - 1, 0) // sizes), 1, 8 * spark.sparkContext.defaultParallelism).withColumnRenamed("id", "group")
     last = whole["k"] - 1
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, n, y, r = sent.value
+        keys = Draws(names)
         for batch in batches:
-            for i in range(batch.num_rows):
-                at = batch.slice(i, 1)
-                names = [x.encode() for x in at.column("name").to_pylist()[0]]
-                n, y, r = (at.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("n", "y", "r"))
-                first, out = at.column("group")[0].as_py() * sizes + 1, []
-                for size in range(first, min(first + sizes, last + 1)):
+            for group in batch.column("group").to_pylist():
+                out = []
+                for size in range(group * sizes + 1, min((group + 1) * sizes, last) + 1):
                     seen = set()
-                    for subset in range(1, draws + 1):
-                        prefix = b"%d|%d|" % (size, subset)
-                        number = np.frombuffer(b"".join([hashlib.md5(prefix + x).digest()[:4] for x in names]), ">u4")
-                        # Sources are in order, so a draw and a place together are distinct and order ties.
-                        key = (number.astype(np.uint64) << np.uint64(32)) | np.arange(len(names), dtype=np.uint64)
-                        member = np.zeros(len(names), bool)
-                        member[np.argpartition(key, size - 1)[:size]] = True
-                        bits = np.packbits(member, bitorder="little").tobytes()
-                        if bits not in seen:
-                            seen.add(bits)
-                            out.append((size, subset, float(r[member].sum() / n[member].sum()), int(n[member].sum()), float(y[member].sum()), bits))
+                    for at in range(0, draws, TOGETHER):
+                        subsets = range(at + 1, min(at + TOGETHER, draws) + 1)
+                        for subset, number in zip(subsets, keys.numbers([b"%d|%d|" % (size, k) for k in subsets]), strict=True):
+                            # Sources are in order, so of equal draws at the end the first ones are taken.
+                            end = np.partition(number, size - 1)[size - 1]
+                            member = number < end
+                            member[np.flatnonzero(number == end)[: size - np.count_nonzero(member)]] = True
+                            bits = np.packbits(member, bitorder="little").tobytes()
+                            if bits not in seen:
+                                seen.add(bits)
+                                where = np.flatnonzero(member)
+                                rows = int(n[where].sum())
+                                out.append((size, subset, float(r[where].sum() / rows), rows, float(y[where].sum()), bits))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.float64(), pa.binary()), strict=True)], ["size", "subset", "shift", "train_rows", "train_y", "bits"])
 
-    chosen = materialised(groups.crossJoin(F.broadcast(listed)).mapInArrow(drawn, "size int, subset int, shift double, train_rows long, train_y double, bits binary"), "curve-drawn")
-    ordered = sorted((tuple(r) for r in chosen.select("size", "subset", "shift", "train_rows").collect()), key=lambda r: (r[2], r[0], r[1]))  # one row a subset
-    values = np.array([r[2] for r in ordered])
-    asked = spark.createDataFrame([(*r, k) for k, r in enumerate(ordered)], "size int, subset int, shift double, train_rows long, at int")
+    chosen = materialised(groups.mapInArrow(drawn, "size int, subset int, shift double, train_rows long, train_y double, bits binary"), "curve-drawn")
+    ordered = chosen.select("size", "subset", "shift", "train_rows", "train_y").toArrow().sort_by([(c, "ascending") for c in ("shift", "size", "subset")])  # one row a subset
+    values = ordered.column("shift").to_numpy()
+    asked = spark.createDataFrame(ordered.append_column("at", pa.array(np.arange(len(values), dtype=np.int32))))
     parts = _breaks(data, values)
     total = parts.groupBy("at").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).unionByName(asked.select("at", F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))).groupBy("at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     running = Window.orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)  # a row a subset
@@ -145,9 +146,9 @@ def drawn_curve(rows: DataFrame, source: str, observed: str, predicted: str, dra
         if len(b):
             order = np.concatenate([np.frombuffer(x, np.int32) for x in a["ats"]])
             member = np.concatenate([np.frombuffer(x, np.uint8).reshape(len(t) // 4, -1) for x, t in zip(a["bits"], a["ats"], strict=True)])
+            member = np.ascontiguousarray(member[np.argsort(order)].T)  # each subset is in one tile: by rising shift, a row for eight sources
             for place, mine in b.groupby("place"):
-                in_it = np.zeros(len(values), bool)
-                in_it[order] = (member[:, place % BLOCK // 8] >> np.uint8(place % 8)) & 1
+                in_it = (member[place % BLOCK // 8] & np.uint8(1 << place % 8)).astype(bool)
                 here = mine["at"].to_numpy() < len(values)
                 s, t = (np.cumsum(np.bincount(mine["at"].to_numpy()[here], mine[c].to_numpy()[here], len(values))) for c in ("a", "b"))
                 out += np.where(in_it, values * s - t, 0.0)
@@ -158,5 +159,5 @@ def drawn_curve(rows: DataFrame, source: str, observed: str, predicted: str, dra
     placed = parts.join(places, "source").select((F.floor(F.col("place") / BLOCK)).alias("block"), "place", "at", "a", "b")
     mine = tiles.groupBy("block").cogroup(placed.groupBy("block")).applyInPandas(sums, "at int, own double").groupBy("at").agg(F.sum("own").alias("own"))
     error = (F.lit(whole["y"]) - F.col("train_y") + F.col("shift") * F.col("a") - F.col("b") - F.col("own")) / (whole["n"] - F.col("train_rows"))
-    out = asked.join(chosen.select("size", "subset", "train_y"), ["size", "subset"]).join(total, "at").join(mine, "at")
+    out = asked.join(total, "at").join(mine, "at")
     return out.select("size", "subset", (F.lit(whole["k"]) - F.col("size")).alias("test_sources"), (whole["n"] - F.col("train_rows")).alias("test_rows"), F.round(error, 6).alias("mae"))

@@ -65,7 +65,7 @@ def import_validation(spark, sf_dir):
 
 def import_staged(spark, sf_dir):
     """[Q4 P4 P5 P33] The staged rows: canonical liquids, defaults of the registry, keys and the status of their source."""
-    staged, _ = imports.validate(*_contributed(spark, sf_dir))
+    staged = imports.stage(*_contributed(spark, sf_dir))
     return staged.select("line", "source_group_id", "liquid_name", "contact_angle_deg", "reference_doi", "reference_url", "license_verified", "surface_group_id", "liquid_id", "source_row_id", "split", "import_status")
 
 
